@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -73,3 +75,9 @@ def emit_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], list], fields:
 
 def texts(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+@lru_cache(1)
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter; built once a worker."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)

@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mix_sql
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import training_mix
+
+    return training_mix(documents(spark, sf_dir)).orderBy("position_1", "doc_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,5 +43,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, model, keep=["doc_id"]).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_bpe": op4_bpe, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {}
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit_languages, predict_languages
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    found = predict_languages(docs.select("doc_id", "text"), fit_languages(docs), keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op6_language": op6_language, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mix_sql()}

@@ -43,6 +43,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, model, keep=["doc_id"]).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+#: Stands in for the secret that a deployment passes in.
+PII_KEY = "public-example-key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit_languages, predict_languages
 
@@ -52,5 +62,5 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op6_language": op6_language, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_language": op6_language, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mix_sql()}

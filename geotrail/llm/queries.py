@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import mix_sql
+from .substring_dedup import REPEATS_SQL
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codes(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -62,5 +69,5 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_language": op6_language, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mix_sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_language": op6_language, "op7_substring": op7_substring, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mix_sql(), "op7_substring": REPEATS_SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import mix_sql
+from .onebit_ann import NEAREST_SQL
 from .substring_dedup import REPEATS_SQL
 
 
@@ -21,6 +22,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_mix(documents(spark, sf_dir)).orderBy("position_1", "doc_id")
 
 
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +42,12 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .onebit_ann import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -69,5 +82,5 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_language": op6_language, "op7_substring": op7_substring, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mix_sql(), "op7_substring": REPEATS_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op3_license": op3_license, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_language": op6_language, "op7_substring": op7_substring, "op8_nearest": op8_nearest, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mix_sql(), "op7_substring": REPEATS_SQL, "op8_nearest": NEAREST_SQL}

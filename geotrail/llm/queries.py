@@ -22,6 +22,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_mix(documents(spark, sf_dir)).orderBy("position_1", "doc_id")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media_chunks import media_features
+
+    return media_features(documents(spark, sf_dir))
+
+
 def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
@@ -82,5 +88,5 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op3_license": op3_license, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_language": op6_language, "op7_substring": op7_substring, "op8_nearest": op8_nearest, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_media": op2_media, "op3_license": op3_license, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_language": op6_language, "op7_substring": op7_substring, "op8_nearest": op8_nearest, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mix_sql(), "op7_substring": REPEATS_SQL, "op8_nearest": NEAREST_SQL}

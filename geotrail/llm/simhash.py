@@ -11,77 +11,99 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, cut, texts
+from .common import append_arrow, cut, emit_arrow, texts
 from .components import connected_components
+from .substring_dedup import mix
 
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """64 majority bits over XXH64 of all ``width``-word shingles of the A-Z-lowered text; no word: 0."""
-    if not text:
-        return 0
-    words = text.encode().lower().split()  # bytes: only A-Z, and only 9-13 and 32
-    if not words:
-        return 0
-    line = b" ".join(words)
-    n = max(1, len(words) - width + 1)
-    size = np.fromiter(map(len, words), np.int64, len(words))
+def fingerprint(text: str | None, width: int = 3, seed: int = 42, words: int = 1) -> list[int]:
+    """``words`` times 64 majority bits over hashes of all ``width``-word shingles of the A-Z-lowered text.
+
+    The first 64 bits are over XXH64, the others over keyed mixtures of it. No word: zeros.
+    """
+    run = text.encode().lower().split() if text else []  # bytes: only A-Z, and only 9-13 and 32
+    if not run:
+        return [0] * words
+    line = b" ".join(run)
+    n = max(1, len(run) - width + 1)
+    size = np.fromiter(map(len, run), np.int64, len(run))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[:n].tolist()
-    ends = (ends[width - 1 :] if len(words) >= width else ends[-1:]).tolist()
+    ends = (ends[width - 1 :] if len(run) >= width else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((words, 64), np.int64)
     for at in range(0, n, BLOCK):
         h = np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], np.uint64)
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+        for k in range(words):
+            own = mix(h * np.uint64(2 * k + 1) + np.uint64(k)) if k else h
+            ones[k] += np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1).view(">u8").ravel().tolist()
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", keep: list[str] | None = None, width: int = 3) -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", keep: list[str] | None = None, width: int = 3, words: int = 1) -> DataFrame:
+    """Appends the fingerprint: a long, or an array of longs for more than 64 bits."""
+
     def kernel(batch: pa.RecordBatch) -> list:
-        return [np.array([fingerprint(t, width) for t in texts(batch, text)], np.uint64).view(np.int64)]
+        bits = np.array([fingerprint(t, width, words=words) for t in texts(batch, text)], np.uint64).reshape(-1, words).view(np.int64)
+        return [bits[:, 0].copy() if words == 1 else list(bits)]
+
+    return append_arrow(docs, kernel, f"{out} {'long' if words == 1 else 'array<long>'}", keep)
 
-    return append_arrow(docs, kernel, f"{out} long", keep)
+
+def _apart(a: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Hamming distances of the rows of ``a`` and ``f``."""
+    total = np.zeros((len(a), len(f)), np.int32)
+    for k in range(f.shape[1]):
+        total += np.bitwise_count(a[:, None, k] ^ f[None, :, k])
+    return total
 
 
 def _near(f: np.ndarray, distance: int) -> np.ndarray:
-    """For each fingerprint the smallest index of its component within the group."""
-    label = np.arange(len(f))
+    """For each fingerprint (a row) the smallest index of its component within the group.
+
+    All that are close to the first one are linked through it, so only the rest is compared with all.
+    """
+    close = (_apart(f[:1], f) <= distance)[0]
+    rest = np.flatnonzero(~close)
+    label = np.where(close, 0, np.arange(len(f)))
+    if not len(rest):
+        return label
+    near = np.concatenate([_apart(f[rest[at : at + 256]], f) <= distance for at in range(0, len(rest), 256)])
+    label[rest[near[:, close].any(axis=1)]] = 0
+    among = near[:, rest]
     while True:
-        new = label.copy()
-        for at in range(0, len(f), 256):
-            close = np.bitwise_count(f[at : at + 256, None] ^ f[None, :]) <= distance
-            new[at : at + 256] = np.where(close, label[None, :], len(f)).min(axis=1)
-        new = new[new]
-        if (new == label).all():
+        new = np.where(among, label[rest][None, :], len(f)).min(axis=1)
+        if (new == label[rest]).all():
             return label
-        label = new
+        label[rest] = new
 
 
-def _star_links(distance: int):
-    """Links of each run of equal (key, i, j): every fingerprint to the first of its component in the group."""
+def _star_links(distance: int, words: int):
+    """Links of each run of equal (key, i, j): every node to the first of its component in the group."""
 
-    def links(f: np.ndarray, out: list) -> None:
-        if len(f) == 2:
-            if int(f[0] ^ f[1]).bit_count() <= distance:
-                out.append(f)
-        elif len(f) > 2:
-            root = _near(f, distance)
-            far = np.flatnonzero(root != np.arange(len(f)))
+    def links(g: np.ndarray, out: list) -> None:
+        if len(g) == 2:
+            if _apart(g[:1, 1:], g[1:, 1:])[0, 0] <= distance:
+                out.append(g[:, 0])
+        elif len(g) > 2:
+            root = _near(g[:, 1:], distance)
+            far = np.flatnonzero(root != np.arange(len(g)))
             if len(far):
-                out.append(np.column_stack([f[root[far]], f[far]]).ravel())
+                out.append(np.column_stack([g[root[far], 0], g[far, 0]]).ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []
+        held_key, held = None, np.zeros((0, words + 1), np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
-            f = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
+            col = lambda k: batch.column(k).to_numpy(zero_copy_only=False)
+            key = np.column_stack([col(k) for k in range(3)])
+            g = np.column_stack([col(k).view(np.uint64) for k in range(3, 4 + words)])
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            parts = np.split(f, cuts)
+            parts = np.split(g, cuts)
             firsts = key[np.concatenate([[0], cuts])]
             out: list = []
             if held_key is not None and (held_key == firsts[0]).all():
@@ -93,8 +115,7 @@ def _star_links(distance: int):
             held_key, held = firsts[-1], parts[-1]
             yield from _edges(out)
         out = []
-        if held_key is not None:
-            links(held, out)
+        links(held, out)
         yield from _edges(out)
 
     return run
@@ -113,30 +134,73 @@ def block_masks(blocks: int, distance: int) -> list[int]:
     return [sum(kept) for kept in combinations(parts, blocks - distance)]
 
 
+def _links(rows: DataFrame, prints: DataFrame | None, words: int, distance: int, group: int) -> DataFrame:
+    """Links among the nodes that share a key: ``rows`` (key, node), ``prints`` (node, f0, f1, ...), or None
+    where a node is its own fingerprint.
+
+    Groups of more than ``group`` are dealt to chunk pairs, so that no task holds one whole; within a group only links
+    to the first of each component come out, never all pairs.
+    """
+    f = [f"f{k}" for k in range(words)]
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = rows.join(many, "key").withColumn("chunks", F.ceil(F.col("n") / group).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
+    met = met.select("key", "own", "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    met = met.withColumn("f0", F.col("node")) if prints is None else met.join(prints, "node").select("key", "i", "j", "node", *f)
+    met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return met.mapInArrow(_star_links(distance, words), "a long, b long").distinct()
+
+
 def near_links(prints: DataFrame, distance: int = 3, blocks: int = 6, group: int = 2000) -> DataFrame:
     """(a, b) links that join all distinct fingerprints ``fp`` within ``distance`` bits, transitively.
 
-    Each fingerprint goes once under every mask; rows that share a masked value meet. Groups of more than ``group`` are
-    dealt to chunk pairs, so that no task holds one whole; within a group only links to the first of each component
-    come out, never all pairs.
+    Each fingerprint goes once under every mask; rows that share a masked value meet.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, distance)]
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)])
-    rows = prints.select("fp", F.explode(keys).alias("key"))
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / group).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
-    met = rows.join(many, "key").withColumn("chunks", chunks).withColumn("own", own)
-    met = met.select("key", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return met.mapInArrow(_star_links(distance), "a long, b long").distinct()
+    rows = prints.select(F.col("fp").alias("node"), F.explode(keys).alias("key"))
+    return _links(rows, None, 1, distance, group)
+
+
+#: Similar texts: 64-bit words of the fingerprint, differing bits allowed, and sampled blocks of bits that are joined on.
+#: Texts whose five-word shingles have a Jaccard similarity of 0.8 differ in 39 of 256 bits on average.
+WORDS, DISTANCE, SAMPLES, SAMPLE_BITS = 4, 44, 80, 24
+
+
+def sampled_masks(words: int = WORDS, samples: int = SAMPLES, bits: int = SAMPLE_BITS) -> np.ndarray:
+    """(samples, words): random blocks of ``bits`` bits, by a fixed seed."""
+    rng = np.random.default_rng(19)
+    masks = np.zeros((samples, words), np.uint64)
+    for row in masks:
+        for b in rng.choice(64 * words, bits, replace=False):
+            row[b // 64] |= np.uint64(1) << np.uint64(b % 64)
+    return masks
+
+
+def similar_links(prints: DataFrame, distance: int = DISTANCE, group: int = 1000) -> DataFrame:
+    """(a, b) links among long fingerprints: ``prints`` (node, f0, ..., f3), nodes distinct.
+
+    At such distances no partition into blocks keeps pairs apart, so blocks are sampled: texts of similarity 0.9 share
+    one with a chance of 0.99, of 0.85 of 0.9. All that meet are verified by their whole distance.
+    """
+    masks = sampled_masks()
+
+    def kernel(batch: pa.RecordBatch) -> list:
+        key = np.arange(len(masks), dtype=np.uint64)[None, :] + np.zeros((batch.num_rows, 1), np.uint64)
+        for k in range(masks.shape[1]):
+            f = batch.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64)
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + (f[:, None] & masks[None, :, k]))
+        return [key.view(np.int64).ravel(), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(masks))]
+
+    rows = emit_arrow(prints, kernel, "key long, node long")
+    return _links(rows, prints, masks.shape[1], distance, group)
 
 
-def fingerprint_components(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
-    """Distinct ``fp`` -> (fp, label): the smallest fingerprint reached over links."""
-    found = connected_components(near_links(prints.select("fp").distinct(), distance, blocks))
-    return prints.select("fp").distinct().join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+def labelled(nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """Distinct ``node`` -> (node, label): the smallest node reached over links."""
+    found = connected_components(links)
+    return nodes.select(node).distinct().join(found.withColumnRenamed("node", node), node, "left").select(node, F.coalesce("label", node).alias("label"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, blocks: int = 6, width: int = 3) -> DataFrame:
@@ -149,23 +213,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     prints = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", ["doc_id"], width))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = fingerprint_components(classes, distance, blocks).join(classes, "fp")
+    labels = labelled(classes, near_links(classes.select("fp"), distance, blocks), "fp").join(classes, "fp")
     least = labels.groupBy("label").agg(F.min("first").alias("component_id"))
     by_print = labels.join(least, "label").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, blocks: int = 6, width: int = 5) -> DataFrame:
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, width: int = 5) -> DataFrame:
     """``docs`` without near-copies: of each component the row with the smallest id (nulls last), then text digest.
 
-    Columns stay as they are; of repeated equal rows one stays.
+    Texts link if their 256-bit fingerprints of five-word shingles differ in at most ``distance`` bits, which stands for
+    a similarity of about 0.8 or more. Null and empty texts are copies of each other. Columns stay as they are; of
+    repeated equal rows one stays.
     """
     cols = docs.columns
-    keyed = with_fingerprint(docs, text, "__fp", width=width).withColumn("__h", F.xxhash64(text))
-    slim = cut(keyed.select(F.col("__fp").alias("fp"), F.col(doc_id).alias("id"), F.col("__h").alias("h")))
-    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("fp").alias("fp"), F.col("h").alias("h"))
-    classes = cut(slim.groupBy("fp").agg(F.min(order).alias("first")))
-    labels = fingerprint_components(classes, distance, blocks).join(classes, "fp")
+    keyed = with_fingerprint(docs, text, "__fp", width=width, words=WORDS).withColumn("__h", F.xxhash64(text)).withColumn("__node", F.xxhash64("__fp"))
+    slim = cut(keyed.select(F.col("__node").alias("node"), *[F.get("__fp", F.lit(k)).alias(f"f{k}") for k in range(WORDS)], F.col(doc_id).alias("id"), F.col("__h").alias("h")))
+    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("node").alias("node"), F.col("h").alias("h"))
+    classes = cut(slim.groupBy("node").agg(F.min(order).alias("first"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(WORDS)]))
+    labels = labelled(classes, similar_links(classes.drop("first"), distance), "node").join(classes.select("node", "first"), "node")
     kept = labels.groupBy("label").agg(F.min("first").alias("k")).select("k.*")
-    on = (F.col("__fp") == kept["fp"]) & F.col(doc_id).eqNullSafe(kept["id"]) & (F.col("__h") == kept["h"])
-    return keyed.join(kept.drop("no_id"), on, "left_semi").dropDuplicates(["__fp", doc_id, "__h"]).select(*cols)
+    on = (F.col("__node") == kept["node"]) & F.col(doc_id).eqNullSafe(kept["id"]) & (F.col("__h") == kept["h"])
+    return keyed.join(kept.drop("no_id"), on, "left_semi").dropDuplicates(["__node", doc_id, "__h"]).select(*cols)

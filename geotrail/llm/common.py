@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -32,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of its own in the shared checkpoint folder: smaller than a checkpoint for wide or many rows."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def append_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], list], fields: str, keep: list[str] | None = None) -> DataFrame:
     """Appends what ``kernel`` computes from each slice of rows.
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, cut, emit_arrow, texts
+from .common import append_arrow, cut_table, emit_arrow, texts
 
 WINDOW, SEED = 35, 10
 _Q = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -79,22 +79,18 @@ def _seeds(window: int, seed: int):
 
 
 def _runs(window: int, seed: int):
-    """h, r1, r2: anchor and two hashes of the run's words; k1, k2: the text; at: first window * 64 + windows."""
+    """h, r: anchor and hash of the run's words; k1, k2: the text; at: first window * 64 + windows."""
 
     def kernel(batch: pa.RecordBatch) -> list:
-        cols: list[list] = [[], [], [], [], [], []]
+        cols: list[list] = [[], [], [], [], []]
         for t, k1, k2 in zip(texts(batch, "text"), texts(batch, "k1"), texts(batch, "k2"), strict=True):
             w = words_of(t)
             if len(w) < window:
                 continue
-            hashes = word_hashes(w)
-            h, start, n, first = anchors(hashes, window, seed)
-            end = start + n + window - 1
-            for col, x in zip(cols, (h, first.of(start, end), RangeHash(hashes, _Q[1]).of(start, end)), strict=False):
-                col.append(_signed(x))
-            for col, x in zip(cols[3:], (k1, k2), strict=False):
-                col.append(np.full(len(h), x, np.int64))
-            cols[5].append(start * 64 + n)
+            h, start, n, first = anchors(word_hashes(w), window, seed)
+            run = _signed(first.of(start, start + n + window - 1))
+            for col, x in zip(cols, (_signed(h), run, np.full(len(h), k1), np.full(len(h), k2, np.int32), start * 64 + n), strict=True):
+                col.append(x)
         return [np.concatenate(c) if c else [] for c in cols]
 
     return kernel
@@ -113,7 +109,7 @@ def _windows(window: int):
             start = np.repeat((at >> 6) - (np.cumsum(n) - n), n) + np.arange(n.sum())
             for col, q in zip(cols, _Q, strict=False):
                 col.append(_signed(RangeHash(hashes, q).of(start, start + window)))
-            for col, x in zip(cols[2:], (np.full(len(start), k1), np.full(len(start), k2), start * 64 + 1, np.repeat(weight, n)), strict=True):
+            for col, x in zip(cols[2:], (np.full(len(start), k1), np.full(len(start), k2, np.int32), start * 64 + 1, np.repeat(weight, n)), strict=True):
                 col.append(x)
         return [np.concatenate(c) if c else [] for c in cols]
 
@@ -148,29 +144,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A word goes if a window of ``window`` consecutive words covers it whose words also start anywhere else, in the same
     text or another row, all judged on the input; so all copies of a passage go. Null texts have no words; texts
-    shorter than a window keep all. Equality is that of 128-bit hashes. Other columns are not read, equal rows are
-    copies of each other. Texts are known by 128 bits of hash, so equal texts share their rows in every join; counts per
+    shorter than a window keep all. Equality is that of 128 bits of hashes. Other columns are not read, equal rows are
+    copies of each other. Texts are known by 96 bits of hash, so equal texts share their rows in every join; counts per
     anchor, run and window are aggregated before they are shuffled, and hot keys are left to joins that split.
     """
     if not seed <= window - 1 <= 62:
         raise ValueError("window must exceed seed and be at most 63")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    own = own.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    own = own.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
     many = emit_arrow(own.select("text"), _seeds(window, seed), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    runs = emit_arrow(own.select("text", "k1", "k2"), _runs(window, seed), "h long, r1 long, r2 long, k1 long, k2 long, at long")
-    runs = cut(runs.join(many, "h", "left_semi")).withColumn("o", F.xxhash64("k1", "k2", "at"))
-    classes = runs.groupBy("h", "r1", "r2").agg(F.count("*").alias("n"), F.min("o").alias("one"))
+    runs = emit_arrow(own.select("text", "k1", "k2"), _runs(window, seed), "h long, r long, k1 long, k2 int, at long")
+    runs = cut_table(runs.join(many, "h", "left_semi")).withColumn("o", F.xxhash64("k1", "k2", "at"))
+    classes = runs.groupBy("h", "r").agg(F.count("*").alias("n"), F.min("o").alias("one"))
     kinds = classes.groupBy("h").agg(F.count("*").alias("kinds"))
     classes = classes.join(kinds, "h").where("n > 1 or kinds > 1")
-    met = runs.join(classes, ["h", "r1", "r2"])
+    met = runs.join(classes, ["h", "r"])
     # where an anchor extends differently, one occurrence of each run shows its windows, for at most two occurrences
-    need = met.where("kinds > 1 and o = one").select("k1", "k2", (F.col("at") * 4 + F.least("n", F.lit(2))).alias("code")).distinct()
-    need = need.groupBy("k1", "k2").agg(F.collect_list("code").alias("need"))
-    windows = emit_arrow(own.join(need, ["k1", "k2"]), _windows(window), "w1 long, w2 long, k1 long, k2 long, at long, n long").distinct()
+    need = met.where("kinds > 1 and o = one").select("k1", "k2", (F.col("at") * 4 + F.least("n", F.lit(2))).alias("code"))
+    need = need.groupBy("k1", "k2").agg(F.collect_set("code").alias("need"))
+    shown = own.join(need, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    windows = emit_arrow(shown, _windows(window), "w1 long, w2 long, k1 long, k2 int, at long, n long")
     again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
     single = windows.where("n = 1").join(again, ["w1", "w2"], "left_semi").select("k1", "k2", "at")
-    covers = met.where("n > 1").select("k1", "k2", "at").unionByName(single).distinct()
-    covers = covers.groupBy("k1", "k2").agg(F.collect_list("at").alias("covers"))
+    covers = met.where("n > 1").select("k1", "k2", "at").unionByName(single)
+    covers = covers.groupBy("k1", "k2").agg(F.collect_set("at").alias("covers"))
     whole = own.join(covers, ["k1", "k2"], "left")
     return append_arrow(whole, _kept(window, with_text), "n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text, keep=["doc_id"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,30 +15,52 @@ from .sequence import FLIGHT, along, since_last
 POLICY = ("grid_ord", "max_rank", "min_inliers", "min_ratio", "min_similarity")
 
 
-def policy_grid(ranks=config.RANKS, inliers=config.INLIERS, ratios=config.RATIOS, similarities=config.SIMILARITIES) -> Column:
-    """All policies as an array of structs in nesting order: a constant of fixed size."""
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(POLICY, (k, *p), strict=True)]) for k, p in enumerate(product(ranks, inliers, ratios, similarities))])
+@dataclass(frozen=True)
+class Grid:
+    """All combinations of thresholds, numbered in nesting order: a policy is found from its number."""
+
+    ranks: tuple = config.RANKS
+    inliers: tuple = config.INLIERS
+    ratios: tuple = config.RATIOS
+    similarities: tuple = config.SIMILARITIES
+
+    @property
+    def parts(self) -> tuple[tuple, ...]:
+        return self.ranks, self.inliers, self.ratios, self.similarities
+
+    def numbers(self) -> Column:
+        n = 1
+        for p in self.parts:
+            n *= len(p)
+        return F.sequence(F.lit(0), F.lit(n - 1))
+
+    def policy(self, number: Column) -> Column:
+        fields, step = [], 1
+        for name, values in zip(POLICY[:0:-1], self.parts[::-1], strict=True):
+            at = F.floor(number / step).cast("int") % len(values) + 1
+            fields.append(F.element_at(F.array(*[F.lit(v) for v in values]), at).alias(name))
+            step *= len(values)
+        return F.struct(number.alias("grid_ord"), *fields[::-1])
 
 
 def accepts(p: Column, rank="rank", inliers="lg_inlier_count", ratio="lg_inlier_ratio", sim="sim") -> Column:
     return (F.col(rank) <= p["max_rank"]) & (F.col(inliers) >= p["min_inliers"]) & (F.col(ratio) >= p["min_ratio"]) & (F.col(sim) >= p["min_similarity"])
 
 
-def policy_summaries(rows: DataFrame, grid: Column | None = None, cfg: Gate = Gate()) -> DataFrame:
+def policy_summaries(rows: DataFrame, grid: Grid = Grid(), cfg: Gate = Gate()) -> DataFrame:
     """One row per flight and policy. ``rows``: dataset_id, start_seconds, frame_count, rank, lg_*, sim, error_m.
 
     Each row goes on only under the policies that accept it; gaps include those before the first and after the last fix.
     """
-    grid = policy_grid() if grid is None else grid
     span = rows.groupBy(FLIGHT).agg(F.count("*").alias("total_frames"), F.min("start_seconds").alias("t0"), F.max("start_seconds").alias("t1"))
-    hits = rows.withColumn("p", F.explode(F.filter(grid, lambda p: accepts(p)))).select(FLIGHT, "start_seconds", "frame_count", "error_m", "p.grid_ord")
+    hits = rows.select(FLIGHT, "start_seconds", "frame_count", "error_m", F.explode(F.filter(grid.numbers(), lambda k: accepts(grid.policy(k)))).alias("grid_ord"))
     w = Window.partitionBy(FLIGHT, "grid_ord").orderBy("start_seconds", "frame_count")
     hits = hits.withColumn("gap", F.col("start_seconds") - F.lag("start_seconds").over(w))
     e = F.col("error_m")
     agg = hits.groupBy(FLIGHT, "grid_ord").agg(
         F.count("*").alias("n"), F.avg(e).alias("mean_error_m"), stats.linear(e, 0.5).alias("median_error_m"), stats.linear(e, 0.9).alias("p90_error_m"), F.max(e).alias("max_error_m"),
         F.count_if(e <= cfg.good_error_m).alias("good_fixes"), F.avg("gap").alias("mean_gap_s"), stats.linear(F.col("gap"), 0.5).alias("median_gap_s"), F.max("gap").alias("max_gap"), F.min("start_seconds").alias("f0"), F.max("start_seconds").alias("f1"))
-    policies = span.withColumn("p", F.explode(grid)).select(FLIGHT, "total_frames", "t0", "t1", "p.*")
+    policies = span.withColumn("k", F.explode(grid.numbers())).withColumn("p", grid.policy(F.col("k"))).select(FLIGHT, "total_frames", "t0", "t1", "p.*")
     out = policies.join(agg, [FLIGHT, "grid_ord"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("good_fixes", F.coalesce("good_fixes", F.lit(0)))
     longest = F.coalesce(F.greatest(F.col("f0") - F.col("t0"), F.col("t1") - F.col("f1"), "max_gap"), F.col("t1") - F.col("t0"))
     return out.select(

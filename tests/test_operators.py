@@ -195,3 +195,20 @@ def test_providers_score_each_key_once(spark):
     rows = spark.createDataFrame([(1,), (1,), (2,)], "k long")
     got = providers.scored_once(providers.from_table(table, ["k"]), ["k"])(rows)
     assert sorted((r.k, str(r.v)) for r in got.collect()) == [(1, "x"), (1, "x"), (2, "None")]
+
+
+def test_grid_numbers_follow_nesting_order(spark):
+    from itertools import product
+
+    grid = gating.Grid((1, 2), (50, 100, 150), (0.5,), (0.9, 0.95))
+    rows = spark.range(1).select(F.explode(grid.numbers()).alias("k")).select(grid.policy(F.col("k")).alias("p")).select("p.*").orderBy("grid_ord").collect()
+    assert [tuple(r)[1:] for r in rows] == list(product(*grid.parts)) and [r.grid_ord for r in rows] == list(range(12))
+
+
+def test_camera_values(spark):
+    d = spark.range(1).select(geo.ground_distance(F.lit(118.0), 60.0).alias("d"), geo.haversine(32.0, 35.0, 32.0, 35.0).alias("z"), geo.gsd_at_centre(F.lit(-1.0)).alias("g")).first()
+    assert d.d == pytest.approx(118 / math.tan(math.radians(60))) and d.z == 0.0 and d.g == 0.0
+    w, depth = spark.range(1).select(*geo.footprint(F.lit(100.0), 0.0)).first()
+    assert w == math.inf and depth == math.inf
+    m = geo.camera_matrix(1920, 1080)
+    assert m["fx"] == pytest.approx(m["fy"]) and (m["cx"], m["cy"]) == (960.0, 540.0)

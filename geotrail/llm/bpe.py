@@ -25,7 +25,7 @@ from .common import append_arrow, texts
 #: One character that stands for the word-end suffix; the byte alphabet has none of this plane.
 END = "\ue000"
 #: Distinct space-separated pieces, and distinct words, whose ids a Python worker keeps.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 120_000
 
 
 def byte_alphabet() -> list[str]:
@@ -119,7 +119,7 @@ class PieceCodec:
         """The pair-compatibility table, filled as pairs come up."""
         known = self.fits.get(a << 20 | b)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             known = self.fits[a << 20 | b] = self._no_merge_across(a, b, float("inf"))
         return known

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows that one call of a Python kernel sees; bounds its memory whatever Arrow's batch size is.
-SLICE_ROWS = 256
+SLICE_ROWS = 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

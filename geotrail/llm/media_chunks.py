@@ -104,7 +104,11 @@ def codec(dictionary: bytes) -> Codec:
 
 def train_dictionary(docs: DataFrame, text: str) -> bytes:
     """From a bounded sample by hash order; results never depend on it. Too little to train on: none."""
-    some = docs.select(F.col(text).alias("t")).where(F.length("t").between(1, DICTIONARY_CHARS)).orderBy(F.xxhash64("t"), "t").limit(DICTIONARY_TEXTS).toArrow()
+    fit = docs.select(F.col(text).alias("t")).where(F.length("t").between(1, DICTIONARY_CHARS))
+    # a hash threshold keeps a few times the sample, so what meets in one task to be ordered does not grow with the input
+    share = min(1.0, 4 * DICTIONARY_TEXTS / max(1, fit.count()))
+    fit = fit.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = fit.orderBy(F.xxhash64("t"), "t").limit(DICTIONARY_TEXTS).toArrow()
     raw = [t.encode() for t in some["t"].to_pylist()]
     try:
         return zstandard.train_dictionary(DICTIONARY, raw).as_bytes() if sum(map(len, raw)) > 20 * DICTIONARY else b""

@@ -1,17 +1,17 @@
-"""SimHash near-duplicates: pigeonhole blocks, joins on blocks, verified Hamming distances, components."""
+"""SimHash near-duplicates: pigeonhole or sampled blocks, joins on blocks, verified distances or similarities, components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append_arrow, cut, emit_arrow, texts
+from .common import append_arrow, cut, cut_table, emit_arrow, texts
 from .components import connected_components
 from .substring_dedup import mix
 
@@ -19,14 +19,11 @@ from .substring_dedup import mix
 BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42, words: int = 1) -> list[int]:
-    """``words`` times 64 majority bits over hashes of all ``width``-word shingles of the A-Z-lowered text.
-
-    The first 64 bits are over XXH64, the others over keyed mixtures of it. No word: zeros.
-    """
+def _shingles(text: str | None, width: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of all ``width``-word shingles of the A-Z-lowered text, in blocks; of fewer words all are one shingle."""
     run = text.encode().lower().split() if text else []  # bytes: only A-Z, and only 9-13 and 32
     if not run:
-        return [0] * words
+        return
     line = b" ".join(run)
     n = max(1, len(run) - width + 1)
     size = np.fromiter(map(len, run), np.int64, len(run))
@@ -34,15 +31,33 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42, words: int = 1
     starts = (ends - size)[:n].tolist()
     ends = (ends[width - 1 :] if len(run) >= width else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros((words, 64), np.int64)
     for at in range(0, n, BLOCK):
-        h = np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], np.uint64)
+        yield np.array([digest(line[a:b], seed) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], np.uint64)
+
+
+def distinct_shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted digests of the distinct shingles; none for no word."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(text, width, seed)]))
+
+
+def _majority(blocks: Iterator[np.ndarray], words: int) -> list[int]:
+    n, ones = 0, np.zeros((words, 64), np.int64)
+    for h in blocks:
+        n += len(h)
         for k in range(words):
             own = mix(h * np.uint64(2 * k + 1) + np.uint64(k)) if k else h
             ones[k] += np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > n, axis=1).view(">u8").ravel().tolist()
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42, words: int = 1) -> list[int]:
+    """``words`` times 64 majority bits over hashes of all ``width``-word shingles of the A-Z-lowered text.
+
+    The first 64 bits are over XXH64, the others over keyed mixtures of it. No word: zeros.
+    """
+    return _majority(_shingles(text, width, seed), words)
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", keep: list[str] | None = None, width: int = 3, words: int = 1) -> DataFrame:
     """Appends the fingerprint: a long, or an array of longs for more than 64 bits."""
 
@@ -163,9 +178,14 @@ def near_links(prints: DataFrame, distance: int = 3, blocks: int = 6, group: int
     return _links(rows, None, 1, distance, group)
 
 
-#: Similar texts: 64-bit words of the fingerprint, differing bits allowed, and sampled blocks of bits that are joined on.
-#: Texts whose five-word shingles have a Jaccard similarity of 0.8 differ in 39 of 256 bits on average.
-WORDS, DISTANCE, SAMPLES, SAMPLE_BITS = 4, 44, 80, 24
+#: Similar texts: 64-bit words of the fingerprint, differing bits up to which a pair is compared, and sampled blocks of
+#: bits that are joined on. Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in 39 of 256
+#: bits on average, with a deviation of 6.
+WORDS, DISTANCE, SAMPLES, SAMPLE_BITS = 4, 56, 160, 24
+#: Least similarity of linked texts, as a fraction.
+SIMILAR = (4, 5)
+#: Bits of the map of candidates that executors pick texts by (8 MB), before the exact join.
+MAP_BITS = 1 << 26
 
 
 def sampled_masks(words: int = WORDS, samples: int = SAMPLES, bits: int = SAMPLE_BITS) -> np.ndarray:
@@ -178,23 +198,124 @@ def sampled_masks(words: int = WORDS, samples: int = SAMPLES, bits: int = SAMPLE
     return masks
 
 
-def similar_links(prints: DataFrame, distance: int = DISTANCE, group: int = 1000) -> DataFrame:
-    """(a, b) links among long fingerprints: ``prints`` (node, f0, ..., f3), nodes distinct.
+def _pairs(words: int, distance: int, most: int):
+    """Pairs (a, b) of each run of equal ``run`` that are close, of other label and of sizes that allow the similarity.
+
+    A run of more than ``most`` such pairs a row gives only each row's nearest ``most``, and its rows (run, node) again
+    as ``open``. Columns: run, node, label, size, f0, f1, ...
+    """
+    part, whole = SIMILAR
+
+    def pairs(run: int, g: np.ndarray, out: list) -> None:
+        node, label, size, f = g[:, 0], g[:, 1], g[:, 2].view(np.int64), g[:, 3:]
+        fits, apart = np.zeros((len(g), len(g)), bool), np.zeros((len(g), len(g)), np.int16)
+        for at in range(0, len(g), 256):
+            to = slice(at, at + 256)
+            apart[to] = _apart(f[to], f)
+            small, large = np.minimum(size[to, None], size[None]), np.maximum(size[to, None], size[None])
+            fits[to] = (apart[to] <= distance) & (label[to, None] != label[None]) & (whole * small >= part * large)
+        if full := int(fits.sum()) > 2 * most * len(g):
+            near = np.argsort(np.where(fits, apart, np.int16(0x7FFF)), axis=1, kind="stable")[:, :most]
+            x, y = np.repeat(np.arange(len(g)), near.shape[1]), near.ravel()
+            x, y = x[fits[x, y]], y[fits[x, y]]
+            out.append(np.column_stack([np.full(len(g), run, np.int64).view(np.uint64), node, np.ones(len(g), np.uint64)]))
+        else:
+            x, y = np.nonzero(np.triu(fits))
+        a, b = node[x].view(np.int64), node[y].view(np.int64)
+        found = np.column_stack([np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)]).view(np.uint64)
+        out.append(np.unique(found, axis=0) if full else found)
+
+    def of_two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, m = x[:, 2].view(np.int64), y[:, 2].view(np.int64)
+        fits = (np.bitwise_count(x[:, 3:] ^ y[:, 3:]).sum(axis=1) <= distance) & (x[:, 1] != y[:, 1])
+        fits &= whole * np.minimum(n, m) >= part * np.maximum(n, m)
+        a, b = x[fits, 0].view(np.int64), y[fits, 0].view(np.int64)
+        return np.column_stack([np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)]).view(np.uint64)
+
+    def emit(out: list) -> Iterator[pa.RecordBatch]:
+        if out:
+            rows = np.concatenate(out).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(rows[:, 2] > 0)], names=["a", "b", "open"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            g = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(1, 4 + words)])
+            starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            ends = np.append(starts[1:], len(key))
+            two = (ends - starts == 2) & (starts > 0) & (ends < len(key))  # most runs, all at once
+            out: list = [of_two(g[starts[two]], g[starts[two] + 1])]
+            for first, at, to in zip(key[starts[~two]].tolist(), starts[~two].tolist(), ends[~two].tolist(), strict=True):
+                if held and held_key != first:
+                    pairs(held_key, np.concatenate(held), out)
+                    held = []
+                held_key = first
+                held.append(g[at:to])
+            yield from emit(out)
+        out = []
+        if held:
+            pairs(held_key, np.concatenate(held), out)
+        yield from emit(out)
+
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose ``sets`` (node, grams) have a Jaccard similarity of ``SIMILAR`` or more."""
+    part, whole = SIMILAR
+    side = lambda p: sets.select(F.col("node").alias(p), F.col("grams").alias(f"g{p}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = both.select("a", "b", (F.size("ga") + F.size("gb")).alias("total"), F.size(F.array_intersect("ga", "gb")).alias("shared"))
+    return both.where(F.col("shared") * whole >= (F.col("total") - F.col("shared")) * part).select("a", "b")
 
-    At such distances no partition into blocks keeps pairs apart, so blocks are sampled: texts of similarity 0.9 share
-    one with a chance of 0.99, of 0.85 of 0.9. All that meet are verified by their whole distance.
+
+def similar_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], distance: int = DISTANCE, group: int = 1000, most: int = 8) -> DataFrame:
+    """(a, b) links among shingle sets: ``prints`` (node, size, f0, ..., f3), nodes distinct; ``sets_of`` gives the
+    (node, grams) of a table of nodes.
+
+    At such distances no partition into blocks keeps pairs apart, so blocks are sampled: texts of similarity 0.8 share
+    one with a chance of about 0.95. Fingerprints only propose: pairs that meet and are within ``distance`` bits are
+    linked if their sets have the similarity. Where most rows of a group are close, their nearest ones are verified
+    first, and then, with a growing limit until none is left, the pairs that are not yet in one component.
     """
     masks = sampled_masks()
+    words = masks.shape[1]
 
     def kernel(batch: pa.RecordBatch) -> list:
         key = np.arange(len(masks), dtype=np.uint64)[None, :] + np.zeros((batch.num_rows, 1), np.uint64)
-        for k in range(masks.shape[1]):
+        for k in range(words):
             f = batch.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64)
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + (f[:, None] & masks[None, :, k]))
         return [key.view(np.int64).ravel(), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(masks))]
 
-    rows = emit_arrow(prints, kernel, "key long, node long")
-    return _links(rows, prints, masks.shape[1], distance, group)
+    f = [f"f{k}" for k in range(words)]
+    rows = emit_arrow(prints.select("node", *f), kernel, "key long, node long")
+    met = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    met = met.withColumn("chunks", F.ceil(F.col("n") / group).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
+    met = met.select("key", "own", "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    met = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("run"), "node", F.col("node").alias("label"))
+    links, seen, sets = None, None, None
+    while True:
+        groups = met.join(prints.select("node", "size", *f), "node").select("run", "node", "label", "size", *f)
+        groups = groups.repartition("run").sortWithinPartitions("run")
+        found = cut(groups.mapInArrow(_pairs(words, distance, most), "a long, b long, open boolean").distinct())
+        pairs = found.where("not open").select("a", "b")
+        if sets is None:
+            sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        new = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
+        good = cut(verified(new, sets))
+        links = good if links is None else links.unionByName(good)
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        left = found.where("open").select(F.col("a").alias("run"), F.col("b").alias("node"))
+        if left.isEmpty():
+            return links
+        left = cut(left.join(labelled(prints, links, "node"), "node"))
+        several = left.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+        met, most = left.join(several.select("run"), "run"), most * 8
 
 
 def labelled(nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
@@ -219,19 +340,49 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _picked(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, grams): sorted distinct shingles of the texts of ``nodes`` (node, key); ``docs`` has (key, text).
+
+    A map of bits of the keys, of a fixed size, goes to the executors, so that other texts are not shuffled.
+    """
+    at = F.pmod(F.col("key"), F.lit(MAP_BITS)).cast("long")
+    words = nodes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {MAP_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(MAP_BITS // 64, np.uint64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+
+    def kernel(batch: pa.RecordBatch) -> list:
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        spot = key % MAP_BITS
+        hit = np.flatnonzero(bits[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1))
+        text = batch.column(1)
+        return [key[hit], [distinct_shingles(text[k].as_py(), width).view(np.int64) for k in hit.tolist()]]
+
+    made = emit_arrow(docs, kernel, "key long, grams array<long>")
+    return cut_table(made.join(nodes, "key").dropDuplicates(["node"]).select("node", "grams"))
+
+
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, width: int = 5) -> DataFrame:
     """``docs`` without near-copies: of each component the row with the smallest id (nulls last), then text digest.
 
-    Texts link if their 256-bit fingerprints of five-word shingles differ in at most ``distance`` bits, which stands for
-    a similarity of about 0.8 or more. Null and empty texts are copies of each other. Columns stay as they are; of
-    repeated equal rows one stays.
+    Texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; 256-bit fingerprints of the
+    sets propose the pairs. Null and empty texts are copies of each other. Columns stay as they are; of repeated equal
+    rows one stays.
     """
     cols = docs.columns
-    keyed = with_fingerprint(docs, text, "__fp", width=width, words=WORDS).withColumn("__h", F.xxhash64(text)).withColumn("__node", F.xxhash64("__fp"))
-    slim = cut(keyed.select(F.col("__node").alias("node"), *[F.get("__fp", F.lit(k)).alias(f"f{k}") for k in range(WORDS)], F.col(doc_id).alias("id"), F.col("__h").alias("h")))
-    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("node").alias("node"), F.col("h").alias("h"))
-    classes = cut(slim.groupBy("node").agg(F.min(order).alias("first"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(WORDS)]))
-    labels = labelled(classes, similar_links(classes.drop("first"), distance), "node").join(classes.select("node", "first"), "node")
-    kept = labels.groupBy("label").agg(F.min("first").alias("k")).select("k.*")
-    on = (F.col("__node") == kept["node"]) & F.col(doc_id).eqNullSafe(kept["id"]) & (F.col("__h") == kept["h"])
-    return keyed.join(kept.drop("no_id"), on, "left_semi").dropDuplicates(["__node", doc_id, "__h"]).select(*cols)
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id).isNull(), doc_id, F.col(text).isNull(), text))
+    f = [f"f{k}" for k in range(WORDS)]
+
+    def kernel(batch: pa.RecordBatch) -> list:
+        sets = [distinct_shingles(t, width) for t in texts(batch, "text")]
+        bits = np.array([_majority(iter(np.split(g, range(BLOCK, len(g), BLOCK))), WORDS) for g in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+        node = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in sets], np.uint64).view(np.int64)
+        return [pa.array(x) for x in (node, np.array([len(g) for g in sets], np.int64), *bits.T.copy())]
+
+    slim = keyed.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col("__key").alias("key"), F.col(text).alias("text"))
+    slim = cut(append_arrow(slim, kernel, "node long, size long, " + ", ".join(f"{x} long" for x in f), ["id", "h", "key"]))
+    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("h").alias("h"), F.col("key").alias("key"))
+    classes = cut(slim.groupBy("node").agg(F.min(order).alias("first"), *[F.min(x).alias(x) for x in ("size", *f)]))
+    sets_of = lambda nodes: _picked(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), cut(classes.join(nodes, "node").select("node", "first.key")), width)
+    labels = labelled(classes, similar_links(classes.drop("first"), sets_of, distance), "node").join(classes.select("node", "first"), "node")
+    kept = labels.groupBy("label").agg(F.min("first").alias("k")).select(F.col("k.key").alias("__key"))
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*cols)

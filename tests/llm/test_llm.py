@@ -344,6 +344,48 @@ def components(ids, pairs):
     return {i: find(i) for i in ids}
 
 
+def brute_jaccard(a, b, width=5):
+    sets = []
+    for t in (a, b):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_similar_texts_are_verified_by_their_shingles(spark):
+    rng = np.random.default_rng(7)
+    docs = []
+    for changes in [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12] * 4:  # Jaccard similarities from 0.96 to 0.6
+        w = [f"w{x}" for x in rng.integers(0, 5000, 250)]
+        docs.append(" ".join(w))
+        for at in range(changes):
+            w[5 + at * 20] = f"new{at}"
+        docs.append(" ".join(w))
+    line = " ".join(f"r{x}" for x in range(12))
+    for k in range(6):  # a repeated line outweighs the rest of the text
+        docs.append(" ".join([line] * 60 + [f"o{k}_{x}" for x in range(40)]))
+        docs.append(" ".join([line] * 90 + [f"o{k}_{x}" for x in range(40)]))
+    # a large group: most are close to each other, but not all of them similar
+    base = [f"b{x}" for x in range(250)]
+    for k in range(60):
+        w = list(base)
+        for at in range(k % 10):
+            w[int(rng.integers(50)) * 5] = f"n{k}_{at}"
+        docs.append(" ".join(w))
+    near = {(a, b): brute_jaccard(docs[a], docs[b]) for b in range(len(docs)) for a in range(b)}
+    want = set(components(range(len(docs)), [p for p, j in near.items() if j >= 0.8]).values())
+    surely = set(components(range(len(docs)), [p for p, j in near.items() if j >= 0.9]).values())
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each_group(df).collect()}
+    assert want <= kept <= surely and len(kept - want) <= 3
+    met = dict(enumerate(docs[100:]))
+    prints = [(i, len(g), *np.array(simhash._majority(iter([g]), simhash.WORDS), np.uint64).view(np.int64).tolist()) for i, t in met.items() for g in [simhash.distinct_shingles(t)]]
+    sets = lambda nodes: nodes.join(spark.createDataFrame([(i, simhash.distinct_shingles(t).view(np.int64).tolist()) for i, t in met.items()], "node long, grams array<long>"), "node")
+    links = simhash.similar_links(spark.createDataFrame(prints, "node long, size long, f0 long, f1 long, f2 long, f3 long"), sets, group=25, most=1)
+    got = {r.node: r.label for r in connected_components(links).collect()}
+    assert {i: got.get(i, i) for i in met} == components(met, [(a, b) for b in met for a in range(b) if brute_jaccard(met[a], met[b]) >= 0.8])
+
+
 def test_simhash(odd, none):
     got = simhash.near_duplicates(odd)
     assert got.count() == odd.count() and simhash.near_duplicates(none).count() == 0

@@ -62,7 +62,12 @@ def training_mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tup
     equal id follow each other by size, equal rows are interchangeable, so reruns agree. Running sums go over buckets of
     the order key, pre-aggregated, so a source with most rows is spread like any other.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"))
+    return _mix(docs.withColumn("__row", F.lit(0)), share, cap, weights, tilts, doc_id, text, source).drop("__row")
+
+
+def _mix(docs: DataFrame, share: float, cap: int, weights: tuple, tilts: tuple, doc_id: str, text: str, source: str) -> DataFrame:
+    """``training_mix`` with the column ``__row`` of ``docs``, by which rows of equal id and size follow each other."""
+    rows = docs.select("__row", F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"))
     key = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
     rows = cut(rows.withColumn("key", F.substring(key, 1, 16)).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -71,34 +76,28 @@ def training_mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tup
     b = buckets.withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words").alias("b")
     s = sources.alias("s")
     b = b.join(s, F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "bucket", "ahead", "source_size", "target", "tilt").alias("b")
-    own = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "__row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("within", F.coalesce(F.sum("size").over(own), F.lit(0))).alias("r")
     placed = placed.join(b, F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bucket") == F.col("b.bucket")))
-    placed = placed.select("doc_id", "size", "source_size", "target", "tilt", (F.col("ahead") + F.col("within")).alias("start"))
+    placed = placed.select("__row", "doc_id", "size", "source_size", "target", "tilt", (F.col("ahead") + F.col("within")).alias("start"))
     wanted = F.round("target").cast("long")
     starts = [F.col("start") + k * F.col("source_size") for k in range(cap)]
     takes = [F.greatest(F.lit(0), F.least(F.col("size"), wanted - at)).cast("long") for at in starts]
     places = [F.when(take > 0, position(at / F.col("target"), F.col("tilt"))).alias(f"position_{k}") for k, (at, take) in enumerate(zip(starts, takes, strict=True), 1)]
-    return placed.select("doc_id", "size", "source_size", "target", sum(takes[1:], takes[0]).alias("taken"), *places)
+    return placed.select("__row", "doc_id", "size", "source_size", "target", sum(takes[1:], takes[0]).alias("taken"), *places)
 
 
-def in_training_order(docs: DataFrame, **options) -> DataFrame:
+def in_training_order(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple = WEIGHTS, tilts: tuple = TILTS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Rows of ``docs`` as training reads them: one for each pass that takes words of it, range-sorted by position.
 
-    Columns stay as they are. Rows of equal id, size and source share their positions; documents of no words are taken
-    by no pass.
+    Columns stay as they are. Every row has positions of its own, whatever its id; rows that are equal in all columns
+    stand as one with the positions of all. Documents of no words are taken by no pass.
     """
-    doc_id, text, source = (options.get(k, k) for k in ("doc_id", "text", "source"))
-    cap = options.get("cap", 2)
     cols = docs.columns
-    mixed = training_mix(docs, **options).select("doc_id", "size", "source_size", *[f"position_{k}" for k in range(1, cap + 1)])
-    times = F.filter(F.array(*[f"position_{k}" for k in range(1, cap + 1)]), lambda p: p.isNotNull())
-    order = Window.partitionBy("doc_id", "size", "source_size").orderBy(times)
-    plan = mixed.withColumn("n", F.row_number().over(order)).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "n", times.alias("__times"))
-    plan = plan.groupBy("__id", "__size").agg(F.min_by("__times", "n").alias("__times"))
-    own = docs.withColumn("__words", n_words(text))
-    out = own.join(plan, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
-    out = out.select(*cols, F.explode("__times").alias("__at"))
+    own = docs.withColumn("__row", F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))]))
+    mixed = _mix(own, share, cap, weights, tilts, doc_id, text, source)
+    plan = mixed.select("__row", F.explode(F.filter(F.array(*[f"position_{k}" for k in range(1, cap + 1)]), lambda p: p.isNotNull())).alias("__at"))
+    out = own.dropDuplicates(["__row"]).join(plan, "__row").select(*cols, "__at")
     return out.repartitionByRange("__at", doc_id).sortWithinPartitions("__at", doc_id).select(*cols)
 
 

@@ -435,6 +435,22 @@ def test_toxicity(spark, odd, none):
     assert toxicity.toxicity_scores(odd, nothing).where("predicted = 1").count() == 0
 
 
+def test_every_row_has_its_own_passes(spark):
+    docs = []
+    for k in range(40):  # repeated and null ids, of equal size in different sources or of other text
+        docs += [(k % 4 if k % 2 else None, f"x{k // 8} b c", s) for s in ("s0", "s1", None)]
+    docs += docs[:30]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    per = {}
+    for r in mixing.training_mix(df).collect():
+        at = (r.doc_id, r.size, r.source_size, round(r.target, 6))
+        per[at] = per.get(at, 0) + (r.position_1 is not None) + (r.position_2 is not None)
+    got = mixing.in_training_order(df).groupBy("source", "doc_id").count().collect()
+    assert sum(r["count"] for r in got) == sum(per.values())
+    for i in {d[0] for d in docs}:
+        assert sorted(r["count"] for r in got if r.doc_id == i) == sorted(n for at, n in per.items() if at[0] == i and n)
+
+
 # --- pipeline
 
 

@@ -174,6 +174,28 @@ def test_bpe_on_random_strings():
         assert c.encode(s).tolist() == t.encode(s, add_special_tokens=False).ids
 
 
+def test_bpe_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, c = Tokenizer.from_file(path), bpe.PieceCodec.from_json(open(path, "rb").read())
+    lines = [f"a{chr(k)}b {chr(k)}" for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    for at in range(0, len(lines), 1 << 16):
+        part = lines[at : at + (1 << 16)]
+        ids, ends = c.encode_all(part)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in t.encode_batch(part, add_special_tokens=False)]
+
+
+def test_bpe_caches_keep_what_is_asked_for_again():
+    c = bpe.Cache(4000)
+    for k in range(500):
+        found, other = c.find(["often", f"w{k}"])
+        assert other == (["often", f"w{k}"] if k == 0 else [f"w{k}"]) or sorted(other) == ["often", "w0"]
+        for x in other:
+            c.put(x, b"1234")
+    assert len(c.young) + len(c.old) < 30 and c.find(["often"])[0] == {"often": b"1234"}
+
+
 # --- personal data
 
 

@@ -19,7 +19,10 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])(?:\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/])"
-CANDIDATE = "|".join((EMAIL, CARD, SSN, PHONE, ADDRESS, DATE))
+#: Numbers begin with one of few characters, so at most places one look ahead spares the other alternatives.
+CANDIDATE = EMAIL + r"|(?=[\d+(])(?:" + "|".join((CARD, SSN, PHONE, ADDRESS, DATE)) + ")"
+#: Stands before and after a candidate while the text is parted; the escape for the first of its characters in a text.
+MARK, ESCAPE, FIRST = "\x00\x02", "\x00\x01", "\x00"
 
 
 def keyed(key: str, tag: Column | str, message: Column) -> Column:
@@ -113,15 +116,46 @@ def address_pseudonym(value: Column, key: str) -> Column:
     return F.when(F.forall(o, lambda x: x <= 255), F.concat_ws(".", *[x.cast("bigint").cast("string") for x in octets]))
 
 
+def slash_pseudonym(first: Column, second: Column, year: Column, key: str) -> Column:
+    """Of a date with slashes that is valid with the day first or else the month first; null of any other.
+
+    Dates that read both ways permute among each other, and so do those that read one way alone, so the pseudonym reads
+    the same ways: days 13 to 28 with all months of a century, later days among the months that have them.
+    """
+    century, of_century = (F.floor(year / 100) * 100).cast("bigint"), year % 100
+    tag = lambda name: F.concat(F.lit(f"slash {name} "), century.cast("string"))
+    two = lambda c: F.lpad(c.cast("bigint").cast("string"), 2, "0")
+    shown = lambda a, b, y: F.concat(two(a), F.lit("/"), two(b), F.lit("/"), F.lpad((century + y).cast("bigint").cast("string"), 4, "0"))
+
+    both = feistel((first - 1) * 12 + second - 1, of_century, F.lit(144), F.lit(100), key, tag("both"))
+    either = shown(F.floor(both["a"] / 12) + 1, both["a"] % 12 + 1, both["b"])
+
+    month, day, day_first = F.least(first, second), F.greatest(first, second), first > second
+    placed = lambda m, d, y: F.when(day_first, shown(d, m, y)).otherwise(shown(m, d, y))
+    some = feistel(of_century * 12 + month - 1, day - 13, F.lit(1200), F.lit(16), key, tag("some"))
+    early = placed(some["a"] % 12 + 1, some["b"] + 13, F.floor(some["a"] / 12))
+    long_months = F.array(*[F.lit(m) for m in (1, 3, 5, 7, 8, 10, 12)])
+    last = feistel(of_century, F.array_position(long_months, month.cast("int")) - 1, F.lit(100), F.lit(7), key, tag("31"))
+    last = placed(F.element_at(long_months, (last["b"] + 1).cast("int")), day, last["a"])
+    late = feistel(of_century, F.when(month == 1, 0).otherwise(month - 2), F.lit(100), F.lit(11), key, F.concat(tag("late"), day.cast("string")))
+    late = placed(F.when(late["b"] == 0, 1).otherwise(late["b"] + 2), day, late["a"])
+    leaps = F.when(century % 400 == 0, 25).otherwise(24)  # the first year of other centuries has no such day
+    skipped = 25 - leaps
+    leap = feistel(F.floor(of_century / 4) - skipped, F.lit(0), leaps, F.lit(1), key, tag("leap"))
+    leap = placed(month, day, (leap["a"] + skipped) * 4)
+
+    valid = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), two(month), two(day)).try_cast("date")
+    one_way = F.when(day <= 28, early).when(day == 31, last).when((day == 29) & (month == 2), leap).otherwise(late)
+    return F.when((year < 1) | (month < 1), None).when(day <= 12, either).when((month <= 12) & valid.isNotNull(), one_way)
+
+
 def date_pseudonym(value: Column, key: str) -> Column:
-    """Null unless a calendar date (of day-month-year, or else month-day-year, with slashes). Days permute within their
-    century, which has 92 * 397 or, in the years divisible by 400, 75 * 487 days."""
+    """Null unless a calendar date. Days permute within their century, which has 92 * 397 or, in the years divisible by
+    400, 75 * 487 days; dates with slashes as ``slash_pseudonym`` says, for which order of day and month is unknown."""
     iso = value.rlike("^[0-9]{4}-")
     first, second = F.substr(value, F.lit(1), F.lit(2)), F.substr(value, F.lit(4), F.lit(2))
-    year = F.when(iso, F.substr(value, F.lit(1), F.lit(4))).otherwise(F.substr(value, F.lit(7), F.lit(4)))
-    dated = lambda m, d: F.concat_ws("-", year, m, d).try_cast("date")
-    day_first, month_first = dated(second, first), F.when(value.contains("/"), dated(first, second))
-    day = F.when(iso, value.try_cast("date")).otherwise(F.coalesce(day_first, month_first))
+    year = F.substr(value, F.lit(7), F.lit(4))
+    day = F.when(iso, value.try_cast("date")).otherwise(F.concat_ws("-", year, second, first).try_cast("date"))
     century = (F.floor(F.year(day) / 100) * 100).cast("int")
     start = F.concat(F.lpad(century.cast("string"), 4, "0"), F.lit("-01-01")).try_cast("date")
     leap = century % 400 == 0
@@ -129,13 +163,14 @@ def date_pseudonym(value: Column, key: str) -> Column:
     index = F.datediff(day, start).cast("bigint")
     out = feistel(F.floor(index / size_b), index % size_b, size_a, size_b, key, F.concat(F.lit("date"), century.cast("string")))
     new = F.date_add(start, (out["a"] * size_b + out["b"]).cast("int"))
-    shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(value.contains("."), F.date_format(new, "dd.MM.yyyy"))
-    shown = shown.when(day_first.isNotNull(), F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
-    return F.when(day.isNotNull() & (F.year(day) >= 1), shown)
+    shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "dd.MM.yyyy"))
+    number = lambda c: c.try_cast("bigint")
+    return F.when(value.contains("/"), slash_pseudonym(number(first), number(second), number(year), key)).when(day.isNotNull() & (F.year(day) >= 1), shown)
 
 
 def email_pseudonym(value: Column, key: str) -> Column:
-    """Local part and domain by keyed digests of their lower-case forms, under a top-level domain that nobody has."""
+    """Local part and domain by keyed digests of 48 and 32 bits of their lower-case forms, under a top-level domain that
+    nobody has: addresses are of no fixed length, so this is no permutation, and of very many some may get one name."""
     whole = F.lower(value)
     domain = F.substring_index(whole, "@", -1)
     hexed = lambda tag, c, n: F.substring(F.lower(F.lpad(F.hex(keyed(key, tag, c)), 16, "0")), 17 - n, n)
@@ -164,18 +199,19 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Null texts stay null, with 0 values and no kind; texts without a value stay as they are. Candidates that don't
     validate (check digit, octets, calendar, area numbers) stay, too. Each row is worked on by itself: the text is split
     at the candidates and put together again, so repeated rows, hot values and very long texts need no shuffle. Input
-    columns named ``n_pii`` or ``pii_kinds`` give way. ``key`` is secret: whoever has it can undo the permutations.
+    columns named ``n_pii`` or ``pii_kinds`` give way. ``key`` is secret: whoever has it can undo the permutations. It is a
+    literal of the plan, so it shows in ``explain``, the UI and event logs, which are to be kept as secret.
     """
     cols = [c for c in docs.columns if c.lower() not in ("n_pii", "pii_kinds")]
-    # strings of backslashes go to Spark as literals here, never through the SQL parser
-    has = F.col(text).rlike(CANDIDATE)
-    hits = F.when(has, F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)))
-    found = F.transform(hits, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("p")))
-    out = docs.select(*cols, found.alias("__found"))
-    pieces = F.split(F.col(text), CANDIDATE)
+    # one scan with the pattern puts marks around the candidates; patterns go to Spark as literals, not by the SQL parser
+    escaped = F.when(F.contains(text, F.lit(FIRST)), F.replace(F.col(text), F.lit(FIRST), F.lit(ESCAPE))).otherwise(F.col(text))
+    out = docs.select(*cols, F.split(F.regexp_replace(escaped, F.lit(f"({CANDIDATE})"), F.lit(f"{MARK}$1{MARK}")), MARK).alias("__parts"))
+    every_other = lambda first: F.filter(F.col("__parts"), lambda _, k: k % 2 == first)
+    hits = F.when(F.size("__parts") > 1, every_other(1))
+    out = out.withColumn("__found", F.transform(hits, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("p"))))
     put = lambda piece, f: F.concat(piece, F.coalesce(f["p"]["new"], f["old"], F.lit("")))
-    rewritten = F.array_join(F.zip_with(pieces, F.col("__found"), put), "")
+    rewritten = F.replace(F.array_join(F.zip_with(every_other(0), F.col("__found"), put), ""), F.lit(ESCAPE), F.lit(FIRST))
     valid = F.filter(F.col("__found"), lambda f: f["p"]["new"].isNotNull())
     out = out.withColumn("n_pii", F.when(F.col("__found").isNull(), 0).otherwise(F.size(valid)).cast("long"))
     out = out.withColumn("pii_kinds", F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(valid, lambda f: f["p"]["kind"]))), ","), F.lit("")))
-    return out.withColumn(text, F.when(F.col("n_pii") > 0, rewritten).otherwise(F.col(text))).drop("__found")
+    return out.withColumn(text, F.when(F.col("n_pii") > 0, rewritten).otherwise(F.col(text))).drop("__found", "__parts")

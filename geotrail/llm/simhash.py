@@ -1,14 +1,14 @@
-"""SimHash near-duplicates: pigeonhole or sampled blocks, joins on blocks, verified distances or similarities, components."""
+"""SimHash near-duplicates: blocks that close pairs share by the pigeonhole principle, joins on blocks, verified distances, components."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import append_arrow, cut, cut_table, emit_arrow, texts
@@ -178,144 +178,128 @@ def near_links(prints: DataFrame, distance: int = 3, blocks: int = 6, group: int
     return _links(rows, None, 1, distance, group)
 
 
-#: Similar texts: 64-bit words of the fingerprint, differing bits up to which a pair is compared, and sampled blocks of
-#: bits that are joined on. Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in 39 of 256
-#: bits on average, with a deviation of 6.
-WORDS, DISTANCE, SAMPLES, SAMPLE_BITS = 4, 56, 160, 24
+#: Similar texts: 64-bit words of the fingerprint, and differing bits beyond which sets are not compared. Sets of a Jaccard
+#: similarity of 0.8 differ in 39 of 256 bits on average, with a deviation of 6: one pair in 10**9 lies beyond.
+WORDS, DISTANCE = 4, 76
 #: Least similarity of linked texts, as a fraction.
 SIMILAR = (4, 5)
-#: Bits of the map of candidates that executors pick texts by (8 MB), before the exact join.
+#: Bits of the maps by which executors pick texts and shingles before the exact joins (8 MB), whatever their number.
 MAP_BITS = 1 << 26
+#: Rows up to which all pairs of a block are compared at once, the rows that stand for a larger one, and their growth.
+FEW, PIVOTS, GROWTH = 3, 4, 8
 
 
-def sampled_masks(words: int = WORDS, samples: int = SAMPLES, bits: int = SAMPLE_BITS) -> np.ndarray:
-    """(samples, words): random blocks of ``bits`` bits, by a fixed seed."""
-    rng = np.random.default_rng(19)
-    masks = np.zeros((samples, words), np.uint64)
-    for row in masks:
-        for b in rng.choice(64 * words, bits, replace=False):
-            row[b // 64] |= np.uint64(1) << np.uint64(b % 64)
-    return masks
+def bit_map(keys: DataFrame, key: str) -> np.ndarray:
+    """A map of MAP_BITS bits, those of all ``key`` set: what it lacks is not among the keys."""
+    at = F.pmod(F.col(key), F.lit(MAP_BITS)).cast("long")
+    bit = F.expr(f"shiftleft(1L, cast(pmod({key}, {MAP_BITS}) & 63 as int))")
+    words = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(MAP_BITS // 64, np.uint64)
+    bits[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return bits
 
 
-def _pairs(words: int, distance: int, most: int):
-    """Pairs (a, b) of each run of equal ``run`` that are close, of other label and of sizes that allow the similarity.
+def in_map(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    spot = key % MAP_BITS
+    return (bits[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
-    A run of more than ``most`` such pairs a row gives only each row's nearest ``most``, and its rows (run, node) again
-    as ``open``. Columns: run, node, label, size, f0, f1, ...
-    """
+
+def most_that_differ(n):
+    """One more than the shingles that a set of ``n`` may have beside those of a similar set."""
     part, whole = SIMILAR
+    return n - -(-n * part // whole) + 1
 
-    def pairs(run: int, g: np.ndarray, out: list) -> None:
-        node, label, size, f = g[:, 0], g[:, 1], g[:, 2].view(np.int64), g[:, 3:]
-        fits, apart = np.zeros((len(g), len(g)), bool), np.zeros((len(g), len(g)), np.int16)
-        for at in range(0, len(g), 256):
-            to = slice(at, at + 256)
-            apart[to] = _apart(f[to], f)
-            small, large = np.minimum(size[to, None], size[None]), np.maximum(size[to, None], size[None])
-            fits[to] = (apart[to] <= distance) & (label[to, None] != label[None]) & (whole * small >= part * large)
-        if full := int(fits.sum()) > 2 * most * len(g):
-            near = np.argsort(np.where(fits, apart, np.int16(0x7FFF)), axis=1, kind="stable")[:, :most]
-            x, y = np.repeat(np.arange(len(g)), near.shape[1]), near.ravel()
-            x, y = x[fits[x, y]], y[fits[x, y]]
-            out.append(np.column_stack([np.full(len(g), run, np.int64).view(np.uint64), node, np.ones(len(g), np.uint64)]))
-        else:
-            x, y = np.nonzero(np.triu(fits))
-        a, b = node[x].view(np.int64), node[y].view(np.int64)
-        found = np.column_stack([np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)]).view(np.uint64)
-        out.append(np.unique(found, axis=0) if full else found)
-
-    def of_two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        n, m = x[:, 2].view(np.int64), y[:, 2].view(np.int64)
-        fits = (np.bitwise_count(x[:, 3:] ^ y[:, 3:]).sum(axis=1) <= distance) & (x[:, 1] != y[:, 1])
-        fits &= whole * np.minimum(n, m) >= part * np.maximum(n, m)
-        a, b = x[fits, 0].view(np.int64), y[fits, 0].view(np.int64)
-        return np.column_stack([np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)]).view(np.uint64)
-
-    def emit(out: list) -> Iterator[pa.RecordBatch]:
-        if out:
-            rows = np.concatenate(out).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(rows[:, 2] > 0)], names=["a", "b", "open"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            g = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(1, 4 + words)])
-            starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-            ends = np.append(starts[1:], len(key))
-            two = (ends - starts == 2) & (starts > 0) & (ends < len(key))  # most runs, all at once
-            out: list = [of_two(g[starts[two]], g[starts[two] + 1])]
-            for first, at, to in zip(key[starts[~two]].tolist(), starts[~two].tolist(), ends[~two].tolist(), strict=True):
-                if held and held_key != first:
-                    pairs(held_key, np.concatenate(held), out)
-                    held = []
-                held_key = first
-                held.append(g[at:to])
-            yield from emit(out)
-        out = []
-        if held:
-            pairs(held_key, np.concatenate(held), out)
-        yield from emit(out)
+def blocks_of_similar(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(node, size, f0, ..., shared, keys) of the sets that may have a similar one; ``docs`` (key, text), ``classes``
+    (node, size, key), nodes distinct.
 
-    return run
+    Pigeonhole: a set of n shingles shares all but ``most_that_differ(n) - 1`` with any similar set, so the first
+    ``most_that_differ(n)`` in an order of all shingles hold a common one. The order is by the number of sets, rarest
+    first, so shingles of widespread passages make no block, and a set whose first ones are all its own has none.
+    ``shared`` are all shingles that other sets have, too. Maps of a fixed size only spare the joins work.
+    """
+    spark = docs.sparkSession
+    of_class = spark.sparkContext.broadcast(bit_map(classes, "key"))
+
+    def chosen(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(in_map(of_class.value, key)).tolist():
+            yield int(key[k]), distinct_shingles(batch.column(1)[k].as_py(), width).view(np.int64)
+
+    def all_grams(batch: pa.RecordBatch) -> list:
+        return [np.concatenate([np.zeros(0, np.int64), *(g for _, g in chosen(batch))])]
+
+    shared = emit_arrow(docs, all_grams, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut_table(shared)
+    known = spark.sparkContext.broadcast(bit_map(shared, "g"))
+
+    def may_have(batch: pa.RecordBatch) -> list:
+        cols: list[list] = [[] for _ in range(2 + WORDS)]
+        for key, g in chosen(batch):
+            own = g[in_map(known.value, g)]
+            if len(g) - len(own) < most_that_differ(len(g)):
+                bits = _majority(iter(np.split(g.view(np.uint64), range(BLOCK, len(g), BLOCK))), WORDS)
+                for col, x in zip(cols, (key, own, *np.array(bits, np.uint64).view(np.int64).tolist()), strict=True):
+                    col.append(x)
+        return cols
+
+    f = [f"f{k}" for k in range(WORDS)]
+    rows = emit_arrow(docs, may_have, "key long, own array<long>, " + ", ".join(f"{x} long" for x in f))
+    rows = cut_table(rows.dropDuplicates(["key"]).join(classes, "key"))
+    counted = rows.select("node", F.explode("own").alias("g")).join(shared, "g")
+    counted = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("by"))
+    part, whole = SIMILAR
+    most = F.col("size") - F.ceil(F.col("size") * part / whole) + 1
+    take = (most - (F.col("size") - F.size("by"))).cast("int")
+    rows = rows.select("node", "size", *f).join(counted, "node").where(take > 0)
+    return cut_table(rows.select("node", "size", *f, F.col("by.g").alias("shared"), F.slice(F.col("by.g"), F.lit(1), take).alias("keys")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose ``sets`` (node, grams) have a Jaccard similarity of ``SIMILAR`` or more."""
+    """The (a, b) of ``pairs`` whose sets have a Jaccard similarity of ``SIMILAR`` or more."""
     part, whole = SIMILAR
-    side = lambda p: sets.select(F.col("node").alias(p), F.col("grams").alias(f"g{p}"))
+    side = lambda p: sets.select(F.col("node").alias(p), F.col("shared").alias(f"g{p}"), F.col("size").alias(f"n{p}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    both = both.select("a", "b", (F.size("ga") + F.size("gb")).alias("total"), F.size(F.array_intersect("ga", "gb")).alias("shared"))
-    return both.where(F.col("shared") * whole >= (F.col("total") - F.col("shared")) * part).select("a", "b")
+    both = both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("ga", "gb")).alias("common"))
+    return both.where(F.col("common") * whole >= (F.col("total") - F.col("common")) * part).select("a", "b")
 
 
-def similar_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], distance: int = DISTANCE, group: int = 1000, most: int = 8) -> DataFrame:
-    """(a, b) links among shingle sets: ``prints`` (node, size, f0, ..., f3), nodes distinct; ``sets_of`` gives the
-    (node, grams) of a table of nodes.
+def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth: int = GROWTH) -> DataFrame:
+    """(a, b) links that join all similar sets, transitively; ``sets`` as of ``blocks_of_similar``.
 
-    At such distances no partition into blocks keeps pairs apart, so blocks are sampled: texts of similarity 0.8 share
-    one with a chance of about 0.95. Fingerprints only propose: pairs that meet and are within ``distance`` bits are
-    linked if their sets have the similarity. Where most rows of a group are close, their nearest ones are verified
-    first, and then, with a growing limit until none is left, the pairs that are not yet in one component.
+    Sets that share a block are compared: sizes, then fingerprints, then the sets themselves. A block of few rows is
+    compared at once. In a larger one some rows, picked by hash, are compared with all; if it then still holds rows of
+    several components, ``growth`` times as many, until none does or all pairs were compared. No row is ever copied but
+    to those rows, and no pair is left out that could change a component.
     """
-    masks = sampled_masks()
-    words = masks.shape[1]
-
-    def kernel(batch: pa.RecordBatch) -> list:
-        key = np.arange(len(masks), dtype=np.uint64)[None, :] + np.zeros((batch.num_rows, 1), np.uint64)
-        for k in range(words):
-            f = batch.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64)
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + (f[:, None] & masks[None, :, k]))
-        return [key.view(np.int64).ravel(), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(masks))]
-
-    f = [f"f{k}" for k in range(words)]
-    rows = emit_arrow(prints.select("node", *f), kernel, "key long, node long")
-    met = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    met = met.withColumn("chunks", F.ceil(F.col("n") / group).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
-    met = met.select("key", "own", "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    met = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("run"), "node", F.col("node").alias("label"))
-    links, seen, sets = None, None, None
+    part, whole = SIMILAR
+    f = [f"f{k}" for k in range(WORDS)]
+    rows = sets.select("node", "size", *f, F.explode("keys").alias("key"))
+    blocks = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    place = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53)
+    met = cut(rows.join(blocks, "key").withColumn("place", place * F.col("n")).withColumn("label", F.col("node")))
+    links = seen = None
     while True:
-        groups = met.join(prints.select("node", "size", *f), "node").select("run", "node", "label", "size", *f)
-        groups = groups.repartition("run").sortWithinPartitions("run")
-        found = cut(groups.mapInArrow(_pairs(words, distance, most), "a long, b long, open boolean").distinct())
-        pairs = found.where("not open").select("a", "b")
-        if sets is None:
-            sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        new = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
-        good = cut(verified(new, sets))
+        x = met.where((F.col("n") <= few) | (F.col("place") < pivots)).alias("x")
+        y = met.alias("y")
+        c = lambda side, name: F.col(f"{side}.{name}")
+        before = (c("x", "place") < c("y", "place")) | (c("x", "place") == c("y", "place")) & (c("x", "node") < c("y", "node"))
+        apart = sum((F.bit_count(c("x", k).bitwiseXOR(c("y", k))) for k in f), F.lit(0))
+        fits = before & (c("x", "label") != c("y", "label")) & (F.least(c("x", "size"), c("y", "size")) * whole >= F.greatest(c("x", "size"), c("y", "size")) * part) & (apart <= DISTANCE)
+        pairs = x.join(y, (c("x", "key") == c("y", "key")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        good = cut(verified(pairs, sets))
         links = good if links is None else links.unionByName(good)
         seen = pairs if seen is None else seen.unionByName(pairs)
-        left = found.where("open").select(F.col("a").alias("run"), F.col("b").alias("node"))
-        if left.isEmpty():
+        rest = met.where((F.col("n") > few) & (F.col("n") > pivots) & (F.col("place") >= pivots)).drop("label")
+        if rest.isEmpty():
+            return links
+        rest = cut(rest.join(labelled(rest, links, "node"), "node"))
+        mixed = cut(rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
+        met, pivots = cut(rest.join(mixed, "key")), pivots * growth
+        if met.isEmpty():
             return links
-        left = cut(left.join(labelled(prints, links, "node"), "node"))
-        several = left.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-        met, most = left.join(several.select("run"), "run"), most * 8
 
 
 def labelled(nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
@@ -340,49 +324,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _picked(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, grams): sorted distinct shingles of the texts of ``nodes`` (node, key); ``docs`` has (key, text).
-
-    A map of bits of the keys, of a fixed size, goes to the executors, so that other texts are not shuffled.
-    """
-    at = F.pmod(F.col("key"), F.lit(MAP_BITS)).cast("long")
-    words = nodes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {MAP_BITS}) & 63 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(MAP_BITS // 64, np.uint64)
-    bits[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-
-    def kernel(batch: pa.RecordBatch) -> list:
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        spot = key % MAP_BITS
-        hit = np.flatnonzero(bits[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1))
-        text = batch.column(1)
-        return [key[hit], [distinct_shingles(text[k].as_py(), width).view(np.int64) for k in hit.tolist()]]
-
-    made = emit_arrow(docs, kernel, "key long, grams array<long>")
-    return cut_table(made.join(nodes, "key").dropDuplicates(["node"]).select("node", "grams"))
-
-
-def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, width: int = 5) -> DataFrame:
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """``docs`` without near-copies: of each component the row with the smallest id (nulls last), then text digest.
 
-    Texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; 256-bit fingerprints of the
-    sets propose the pairs. Null and empty texts are copies of each other. Columns stay as they are; of repeated equal
-    rows one stays.
+    Texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Null and empty texts are
+    copies of each other. Columns stay as they are; of repeated equal rows one stays.
     """
     cols = docs.columns
     keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id).isNull(), doc_id, F.col(text).isNull(), text))
-    f = [f"f{k}" for k in range(WORDS)]
 
     def kernel(batch: pa.RecordBatch) -> list:
         sets = [distinct_shingles(t, width) for t in texts(batch, "text")]
-        bits = np.array([_majority(iter(np.split(g, range(BLOCK, len(g), BLOCK))), WORDS) for g in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
         node = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in sets], np.uint64).view(np.int64)
-        return [pa.array(x) for x in (node, np.array([len(g) for g in sets], np.int64), *bits.T.copy())]
+        return [pa.array(node), pa.array([len(g) for g in sets], pa.int64())]
 
     slim = keyed.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"), F.col("__key").alias("key"), F.col(text).alias("text"))
-    slim = cut(append_arrow(slim, kernel, "node long, size long, " + ", ".join(f"{x} long" for x in f), ["id", "h", "key"]))
+    slim = append_arrow(slim, kernel, "node long, size long", ["id", "h", "key"])
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("h").alias("h"), F.col("key").alias("key"))
-    classes = cut(slim.groupBy("node").agg(F.min(order).alias("first"), *[F.min(x).alias(x) for x in ("size", *f)]))
-    sets_of = lambda nodes: _picked(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), cut(classes.join(nodes, "node").select("node", "first.key")), width)
-    labels = labelled(classes, similar_links(classes.drop("first"), sets_of, distance), "node").join(classes.select("node", "first"), "node")
+    classes = cut(slim.groupBy("node").agg(F.min(order).alias("first"), F.min("size").alias("size")))
+    sets = blocks_of_similar(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), classes.select("node", "size", "first.key"), width)
+    labels = labelled(classes, similar_links(sets), "node").join(classes.select("node", "first"), "node")
     kept = labels.groupBy("label").agg(F.min("first").alias("k")).select(F.col("k.key").alias("__key"))
     return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*cols)

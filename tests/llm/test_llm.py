@@ -220,12 +220,34 @@ def test_pii_is_a_permutation_within_the_format(spark):
     assert all(re.fullmatch(r"\d{3}-\d{2}-\d{4}", x) for x in distinct([f"{a:03d}-{g:02d}-0001" for a in range(1, 100) for g in range(1, 20)], lambda c: pii.ssn_pseudonym(c, "k")))
     days = [r[0] for r in spark.sql("select cast(d as string) from (select explode(sequence(date'1900-01-01', date'1999-12-31')) as d)").collect()]
     assert sorted(distinct(days, lambda c: pii.date_pseudonym(c, "k"))) == days
+    slashes = sorted({x for d in days for y, m, n in [d.split("-")] for x in (f"{n}/{m}/{y}", f"{m}/{n}/{y}")})
+    for x, new in zip(slashes, distinct(slashes, lambda c: pii.date_pseudonym(c, "k")), strict=True):
+        assert [int(x[:2]) > 12, int(x[3:5]) > 12] == [int(new[:2]) > 12, int(new[3:5]) > 12] and new in slashes
+    leap = [f"29/02/{y}" for y in range(2000, 2100, 4)]
+    assert sorted(distinct(leap, lambda c: pii.date_pseudonym(c, "k"))) == leap
+    odd = spark.createDataFrame([(v,) for v in ("31/04/2001", "29/02/1900", "13/13/2001", "00/10/2001", "10/00/2001", "10/10/0000", "04/31/2001")], "v string")
+    assert [r[0] for r in odd.select(pii.date_pseudonym(F.col("v"), "k")).collect()] == [None] * 7
     df = spark.createDataFrame([("4111111111111111",), ("4111111111111112",), ("2024-02-30",), ("300.1.1.1",), ("666-12-1234",)], "v string")
     card = df.select(pii.card_pseudonym(F.col("v"), "k").alias("c")).first().c
     assert spark.createDataFrame([(card,)], "v string").select(pii.luhn_sum(F.col("v")) % 10).first()[0] == 0
     assert [r[0].new for r in df.select(pii.pseudonym(F.col("v"), "k")).collect()][1:] == [None] * 4
 
 
+def test_pii_parts_texts_as_its_pattern_does(spark, sf):
+    """Against a version that walks over the matches of the pattern one by one, on marks and escapes in the text, too."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    marks = ["\x00", "\x00\x02", "a\x00\x021.2.3.4\x00", "\x00\x011.2.3.4\x00\x01", "1.2.3.4\x00\x02a@b.example\x00", "$1 \\1 1.2.3.4 $0", "1.2.3.4", "1.2.3.4 4.3.2.1"]
+    docs = docs.union(spark.createDataFrame([(m,) for m in marks], "text string"))
+    values = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pii.CANDIDATE), F.lit(0))).alias("v")).distinct()
+    new = {r.v: r.p.new for r in values.select("v", pii.pseudonym(F.col("v"), "k").alias("p")).collect()}
+    assert len(new) > 5
+    pattern = re.compile(pii.CANDIDATE, re.ASCII)
+    got = pii.pseudonymise(docs.select(F.col("text").alias("old"), "text"), "k").collect()
+    for r in got:
+        hits = pattern.findall(r.old or "")
+        assert r.text == (r.old and pattern.sub(lambda m: new[m[0]] or m[0], r.old)) and r.n_pii == sum(new[h] is not None for h in hits)
+
+
 def test_pii_links_equal_values_and_leaves_other_numbers(spark):
     df = spark.createDataFrame([(1, "call +1 (301) 555-0346"), (2, "301-555-0346!"), (3, "2353820953013749 4550997810720808 and 123456 and 3.14")], "doc_id long, text string")
     a, b, c = [r.text for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
@@ -318,40 +340,11 @@ def brute_fingerprint(t, width=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute_wide(t):
-    return tuple(simhash.fingerprint(t, 5, words=simhash.WORDS))
-
-
 def test_wide_fingerprints_extend_the_plain_one():
     for t in TEXTS:
         assert simhash.fingerprint(t, 5, words=4)[0] == brute_fingerprint(t, 5)
 
 
-def test_similar_texts_are_found_and_others_stay(spark):
-    rng = np.random.default_rng(4)
-    docs, copies = [], 0
-    for k in range(120):
-        w = [f"w{x}" for x in rng.integers(0, 5000, 250)]
-        docs.append((2 * k, " ".join(w)))
-        if k < 60:
-            for at in rng.choice(250, 4, replace=False):  # a similarity of about 0.85
-                w[at] = f"new{at}"
-            docs.append((2 * k + 1, " ".join(w)))
-            copies += 1
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.one_of_each_group(df).collect()}
-    assert {2 * k for k in range(120)} <= kept and len(kept) <= 120 + 0.15 * copies
-
-
-def between(text_of, kept):
-    """``kept`` has one of each component under the distance, but for pairs that no sampled block of bits joins."""
-    f = {i: np.array(brute_wide(t), np.uint64) for i, t in text_of.items()}
-    apart = {(a, b): int(np.bitwise_count(f[a] ^ f[b]).sum()) for a in f for b in f if a < b}
-    fewest = set(components(list(f), [p for p, d in apart.items() if d <= simhash.DISTANCE]).values())
-    most = set(components(list(f), [p for p, d in apart.items() if d <= 8]).values())  # met with near certainty
-    return fewest <= kept <= most
-
-
 def components(ids, pairs):
     parent = {i: i for i in ids}
 
@@ -366,15 +359,31 @@ def components(ids, pairs):
     return {i: find(i) for i in ids}
 
 
-def brute_jaccard(a, b, width=5):
+def shingle_sets(texts, width=5):
     sets = []
-    for t in (a, b):
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
         sets.append({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
-
-
-def test_similar_texts_are_verified_by_their_shingles(spark):
+    return sets
+
+
+def brute_similar(text_of):
+    """Every id with the smallest one of its component; links are five-word shingle sets of a Jaccard similarity of 0.8."""
+    ids, sets = list(text_of), shingle_sets(text_of.values())
+    holders = {}
+    for k, own in enumerate(sets):
+        for g in own or {None}:
+            holders.setdefault(g, []).append(k)
+    shared = {}
+    for held in holders.values():
+        for i, a in enumerate(held):
+            for b in held[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    near = [(ids[a], ids[b]) for (a, b), n in shared.items() if not sets[a] or n / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
+    return components(sorted(ids), near)
+
+
+def similar_fixture():
     rng = np.random.default_rng(7)
     docs = []
     for changes in [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12] * 4:  # Jaccard similarities from 0.96 to 0.6
@@ -387,25 +396,38 @@ def test_similar_texts_are_verified_by_their_shingles(spark):
     for k in range(6):  # a repeated line outweighs the rest of the text
         docs.append(" ".join([line] * 60 + [f"o{k}_{x}" for x in range(40)]))
         docs.append(" ".join([line] * 90 + [f"o{k}_{x}" for x in range(40)]))
-    # a large group: most are close to each other, but not all of them similar
     base = [f"b{x}" for x in range(250)]
-    for k in range(60):
+    for k in range(60):  # a large group: not all of them similar to each other
         w = list(base)
         for at in range(k % 10):
             w[int(rng.integers(50)) * 5] = f"n{k}_{at}"
         docs.append(" ".join(w))
-    near = {(a, b): brute_jaccard(docs[a], docs[b]) for b in range(len(docs)) for a in range(b)}
-    want = set(components(range(len(docs)), [p for p, j in near.items() if j >= 0.8]).values())
-    surely = set(components(range(len(docs)), [p for p, j in near.items() if j >= 0.9]).values())
-    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.one_of_each_group(df).collect()}
-    assert want <= kept <= surely and len(kept - want) <= 3
-    met = dict(enumerate(docs[100:]))
-    prints = [(i, len(g), *np.array(simhash._majority(iter([g]), simhash.WORDS), np.uint64).view(np.int64).tolist()) for i, t in met.items() for g in [simhash.distinct_shingles(t)]]
-    sets = lambda nodes: nodes.join(spark.createDataFrame([(i, simhash.distinct_shingles(t).view(np.int64).tolist()) for i, t in met.items()], "node long, grams array<long>"), "node")
-    links = simhash.similar_links(spark.createDataFrame(prints, "node long, size long, f0 long, f1 long, f2 long, f3 long"), sets, group=25, most=1)
-    got = {r.node: r.label for r in connected_components(links).collect()}
-    assert {i: got.get(i, i) for i in met} == components(met, [(a, b) for b in met for a in range(b) if brute_jaccard(met[a], met[b]) >= 0.8])
+    for k in range(40):  # one common passage in different texts
+        docs.append(" ".join([*base[:60], *(f"p{k}_{x}" for x in range(100))]))
+    return dict(enumerate(docs))
+
+
+def test_similar_texts_are_the_exact_components(spark):
+    docs = similar_fixture()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each_group(df).collect()} == set(brute_similar(docs).values())
+
+
+@pytest.mark.parametrize(("few", "pivots", "growth"), [(0, 1, 2), (2, 3, 4), (100, 1, 2)])
+def test_large_blocks_are_compared_until_no_link_is_missing(spark, few, pivots, growth):
+    docs = similar_fixture()
+    sets = {i: sorted(xxhash.xxh64_intdigest(g) >> 1 for g in own) for i, own in zip(docs, shingle_sets(docs.values()), strict=True)}
+    rows = [(i, len(g), 0, 0, 0, 0, g, g) for i, g in sets.items()]  # every shingle is a block
+    df = spark.createDataFrame(rows, "node long, size long, f0 long, f1 long, f2 long, f3 long, shared array<long>, keys array<long>")
+    got = {r.node: r.label for r in connected_components(simhash.similar_links(df, few, pivots, growth)).collect()}
+    assert {i: got.get(i, i) for i in docs} == brute_similar(docs)
+
+
+def test_similar_texts_of_the_shared_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id % 7 = 0").selectExpr("doc_id + 1000000", "concat_ws(' ', text, 'and', 'more', 'words')"))
+    want = brute_similar({r.doc_id: r.text for r in docs.collect()})
+    assert {r.doc_id for r in simhash.one_of_each_group(docs).collect()} == set(want.values())
 
 
 def test_simhash(odd, none):
@@ -417,7 +439,8 @@ def test_simhash(odd, none):
     want = components(ids, [(a, b) for a in ids for b in ids if (f[a] ^ f[b]).bit_count() <= 3])
     assert all(r.component_id == (want[r.doc_id] if r.doc_id is not None else 1) for r in got.collect())
     kept = simhash.one_of_each_group(odd)
-    assert kept.columns == odd.columns and between({r.doc_id: r.text for r in odd.where("doc_id is not null").collect()}, {r.doc_id for r in kept.collect()}) and simhash.one_of_each_group(none).count() == 0
+    want = brute_similar({r.doc_id: r.text for r in odd.where("doc_id is not null").collect()})
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} - {None} == set(want.values()) and simhash.one_of_each_group(none).count() == 0
 
 
 def test_dense_fingerprints_are_split_and_linked(spark):
@@ -486,7 +509,7 @@ def test_pipeline_stages(spark, sf):
     bad = {r.doc_id for r in docs.collect() if toxicity.score([r.text], model.margin(), model.rarity, float(model.bias[1] - model.bias[0]))[0] >= 0.5}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad and clean.columns == docs.columns
     one = p.keep_one_of_each_group(spark, clean, sf).cache()
-    assert between({r.doc_id: r.text for r in clean.collect()}, {r.doc_id for r in one.collect()}) and one.columns == docs.columns
+    assert {r.doc_id for r in one.collect()} == set(brute_similar({r.doc_id: r.text for r in clean.collect()}).values()) and one.columns == docs.columns
     private = p.replace_personal_data(spark, one, sf).cache()
     assert private.count() == one.count() and private.columns == docs.columns
     mixed = p.mix_sources(spark, private, sf)

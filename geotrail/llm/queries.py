@@ -12,8 +12,14 @@ from .onebit_ann import NEAREST_SQL
 from .substring_dedup import REPEATS_SQL
 
 
+#: Bytes below which a table may lie in one row group, and is dealt to all cores.
+SMALL_TABLE = 32 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    small = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < SMALL_TABLE
+    return docs.repartition(spark.sparkContext.defaultParallelism) if small else docs
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from .common import append_arrow, texts
 #: One character that stands for the word-end suffix; the byte alphabet has none of this plane.
 END = "\ue000"
 #: Bytes that a Python worker spends on the ids of space-separated pieces, and of words that pieces are made of.
-PIECE_BYTES, WORD_BYTES = 160 << 20, 32 << 20
+PIECE_BYTES, WORD_BYTES = 72 << 20, 16 << 20
 #: Bytes of an entry besides its key and value: two objects and a slot of a table.
 ENTRY_BYTES = 180
 #: Words of at most so many characters are encoded together.

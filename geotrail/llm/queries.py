@@ -18,7 +18,7 @@ SMALL_TABLE = 32 << 20
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    small = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < SMALL_TABLE
+    small = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL_TABLE
     return docs.repartition(spark.sparkContext.defaultParallelism) if small else docs
 
 

@@ -185,6 +185,8 @@ WORDS, DISTANCE = 4, 76
 SIMILAR = (4, 5)
 #: Bits of the maps by which executors pick texts and shingles before the exact joins (8 MB), whatever their number.
 MAP_BITS = 1 << 26
+#: Shingles that a task counts before they are sent on.
+COUNT_AT_ONCE = 1 << 20
 #: Rows up to which all pairs of a block are compared at once, the rows that stand for a larger one, and their growth.
 FEW, PIVOTS, GROWTH = 3, 4, 8
 
@@ -204,6 +206,11 @@ def in_map(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
+def counted_once(sets: list[np.ndarray]) -> pa.RecordBatch:
+    g, n = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int32))], names=["g", "n"])
+
+
 def most_that_differ(n):
     """One more than the shingles that a set of ``n`` may have beside those of a similar set."""
     part, whole = SIMILAR
@@ -227,10 +234,20 @@ def blocks_of_similar(docs: DataFrame, classes: DataFrame, width: int) -> DataFr
         for k in np.flatnonzero(in_map(of_class.value, key)).tolist():
             yield int(key[k]), distinct_shingles(batch.column(1)[k].as_py(), width).view(np.int64)
 
-    def all_grams(batch: pa.RecordBatch) -> list:
-        return [np.concatenate([np.zeros(0, np.int64), *(g for _, g in chosen(batch))])]
-
-    shared = emit_arrow(docs, all_grams, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for _, g in chosen(batch):
+                held.append(g)
+                n += len(g)
+                if n >= COUNT_AT_ONCE:
+                    yield counted_once(held)
+                    held, n = [], 0
+        yield counted_once(held)
+
+    # counted before they move, so that of a shingle in very many texts few rows meet; without a map in the JVM's memory,
+    # for most shingles are in one text only
+    shared = docs.mapInArrow(counts, "g long, n int").repartition("g").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
     shared = cut_table(shared)
     known = spark.sparkContext.broadcast(bit_map(shared, "g"))
 

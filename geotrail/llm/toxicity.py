@@ -12,10 +12,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, emit_arrow, texts
+from .common import append_arrow, emit_arrow, letter_table, texts
 
 #: Hash buckets (a power of two) of character n-grams, their lengths, and the embedding width.
 BUCKET_BITS, GRAMS, WIDTH = 16, (3, 4, 5), 8
@@ -28,11 +29,6 @@ SEED = 11
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(1)
-def letter_table() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-
-
 @lru_cache(1)
 def place_keys() -> np.ndarray:
     return np.random.default_rng(5).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,28 +128,25 @@ class SubwordModel:
                 b -= 0.02 * d
 
     @classmethod
-    def fit(cls, bags: list[list[tuple[np.ndarray, np.ndarray]]], labels: list[int]) -> SubwordModel:
-        """``bags``: the window bags of each text. First every window has its text's class; then only the quarter of the
-        windows of a toxic text that looks most toxic, against the three of a clean one that do."""
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], owner: np.ndarray, labels: list[int]) -> SubwordModel:
+        """``rows``: buckets and shares of windows, which are overwritten; ``owner``: the text of each, ascending; ``labels``
+        of the texts. First every window has its text's class; then only the quarter of the windows of a toxic text that
+        looks most toxic, against the three of a clean one that do."""
         rng = np.random.default_rng(SEED)
         e = np.zeros((BUCKETS, WIDTH), np.float32)
         w = rng.normal(0, 0.25, (WIDTH, 2)).astype(np.float32)
         df = np.zeros(BUCKETS)
-        rows, owner = [], []
-        for k, own in enumerate(bags):
-            for idx, x in own:
-                df[idx] += 1
-                rows.append((idx, x))
-                owner.append(k)
+        for idx, _ in rows:
+            df[idx] += 1
         model = cls(e, w, np.zeros(2, np.float32), np.log((len(rows) + 1) / (df + 1)))
-        y, owner = np.array(labels, np.int64), np.array(owner, np.int64)
+        y = np.array(labels, np.int64)
         if not len(rows) or len(set(labels)) < 2:  # one class, or none: its share alone
             share = (np.sum(y) + 0.5) / (len(y) + 1) if len(y) else 0.0
             model.bias[:] = (0, np.log(max(share, 1e-6) / (1 - min(share, 1 - 1e-6))))
             return model
-        for k, (idx, x) in enumerate(rows):
-            x = x * model.rarity[idx]
-            rows[k] = (idx, (x / max(np.linalg.norm(x), 1e-9)).astype(np.float32))
+        for idx, x in rows:
+            x *= model.rarity[idx]
+            x /= max(np.linalg.norm(x), 1e-9)
         model._epochs(rows, y[owner], 2, 1.0)
         count = np.bincount(owner, minlength=len(y))
         for _ in range(2):
@@ -182,20 +175,22 @@ def score(batch: list, margin: np.ndarray, rarity: np.ndarray, bias: float) -> n
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, fold: DataFrame | None = None) -> DataFrame:
     """A bounded sample (text, y) of labelled rows outside the held-out fold, by the hash order of the id.
 
-    A document labelled twice has the larger label; null labels and ids don't count.
+    A document labelled twice has the larger label, and of texts with one id the least is read; null labels and ids don't
+    count.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) != 0).groupBy("id").agg(F.max("y").alias("y"))
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     order = [F.xxhash64("id"), "id"]
     some = known.where("y = 1").orderBy(*order).limit(TRAIN_TOXIC).unionByName(known.where("y = 0").orderBy(*order).limit(TRAIN_CLEAN))
-    return own.join(F.broadcast(some), "id").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN))  # some: at most TRAIN_TOXIC + TRAIN_CLEAN rows
+    return own.join(F.broadcast(some), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))  # some: at most TRAIN_TOXIC + TRAIN_CLEAN rows
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> SubwordModel:
     """Trains on at most TRAIN_TOXIC + TRAIN_CLEAN labelled rows whose crc32(id) mod 5 is not 0.
 
-    Executors hash the texts; the driver gets the buckets of at most TRAIN_WINDOWS windows of each.
+    Executors hash the texts; the driver gets the buckets of at most TRAIN_WINDOWS evenly spaced windows of each, so of
+    texts above about 2,900 words it learns from a part. Scores are of all windows.
     """
 
     def kernel(batch: pa.RecordBatch) -> list:
@@ -205,15 +200,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
         return [[i for i, *_ in flat], [c for _, c, _ in flat], [b[0] for *_, b in flat], [b[1] for *_, b in flat]]
 
     made = emit_arrow(training_rows(docs, labels, doc_id, text, label), kernel, "id long, y int, bucket array<int>, share array<float>").toArrow()
-    by: dict = {}
-    for i, y, idx, x in zip(made["id"].to_pylist(), made["y"].to_pylist(), made["bucket"], made["share"], strict=True):
-        own = by.setdefault(i, (y, []))[1]
-        if len(idx.values):
-            own.append((idx.values.to_numpy(), x.values.to_numpy()))
-    ids = sorted(by)
-    for i in ids:
-        by[i][1].sort(key=lambda b: (len(b[0]), b[0].tobytes(), b[1].tobytes()))  # rows come in any order
-    return SubwordModel.fit([by[i][1] for i in ids], [by[i][0] for i in ids])
+    ids, y = made["id"].to_numpy(), made["y"].to_numpy()
+    # the only copy that stays: all windows one after the other
+    bucket, ends = joined(made["bucket"], np.int32)
+    share, _ = joined(made["share"], np.float32)
+    del made
+    starts = np.concatenate([[0], ends])[:-1]
+    known, owner = np.unique(ids, return_inverse=True)
+    label_of = np.zeros(len(known), np.int64)
+    label_of[owner] = y
+    # rows come in any order
+    order = sorted(np.flatnonzero(ends > starts).tolist(), key=lambda k: (owner[k], ends[k] - starts[k], bucket[starts[k] : ends[k]].tobytes(), share[starts[k] : ends[k]].tobytes()))
+    rows = [(bucket[starts[k] : ends[k]], share[starts[k] : ends[k]]) for k in order]
+    return SubwordModel.fit(rows, owner[order], label_of.tolist())
+
+
+def joined(lists: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists in one array of their own, and where each list ends."""
+    values = [c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks]
+    sizes = [pa.compute.list_value_length(c).to_numpy(zero_copy_only=False) for c in lists.chunks]
+    return np.concatenate([np.zeros(0, dtype), *values]).astype(dtype, copy=False), np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]), dtype=np.int64)
 
 
 def toxicity_scores(docs: DataFrame, model: SubwordModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

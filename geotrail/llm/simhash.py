@@ -183,8 +183,8 @@ def near_links(prints: DataFrame, distance: int = 3, blocks: int = 6, group: int
 WORDS, DISTANCE = 4, 76
 #: Least similarity of linked texts, as a fraction.
 SIMILAR = (4, 5)
-#: Bits of the maps by which executors pick texts and shingles before the exact joins (8 MB), whatever their number.
-MAP_BITS = 1 << 26
+#: Bits of the maps by which executors pick texts and shingles before the exact joins (2 MB), whatever their number.
+MAP_BITS = 1 << 24
 #: Shingles that a task counts before they are sent on.
 COUNT_AT_ONCE = 1 << 20
 #: Rows up to which all pairs of a block are compared at once, the rows that stand for a larger one, and their growth.

@@ -13,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,20 +198,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
         bags = [window_bags(t) for t in texts(batch, "text")]
         ids, y = texts(batch, "id"), texts(batch, "y")
         flat = [(i, c, b) for i, c, own in zip(ids, y, bags, strict=True) for b in own or [(np.zeros(0, np.int32), np.zeros(0, np.float32))]]
-        return [[i for i, *_ in flat], [c for _, c, _ in flat], [b[0] for *_, b in flat], [b[1] for *_, b in flat]]
+        return [[i for i, *_ in flat], [c for _, c, _ in flat], [b[0].astype(np.uint16).view(np.int16) for *_, b in flat], [b[1] for *_, b in flat]]
 
-    made = emit_arrow(training_rows(docs, labels, doc_id, text, label), kernel, "id long, y int, bucket array<int>, share array<float>").toArrow()
+    made = emit_arrow(training_rows(docs, labels, doc_id, text, label), kernel, "id long, y int, bucket array<short>, share array<float>").toArrow()
     ids, y = made["id"].to_numpy(), made["y"].to_numpy()
     # the only copy that stays: all windows one after the other
-    bucket, ends = joined(made["bucket"], np.int32)
+    bucket, ends = joined(made["bucket"], np.int16)
+    bucket = bucket.view(np.uint16)  # BUCKET_BITS are 16
     share, _ = joined(made["share"], np.float32)
     del made
+    pa.default_memory_pool().release_unused()
     starts = np.concatenate([[0], ends])[:-1]
     known, owner = np.unique(ids, return_inverse=True)
     label_of = np.zeros(len(known), np.int64)
     label_of[owner] = y
     # rows come in any order
-    order = sorted(np.flatnonzero(ends > starts).tolist(), key=lambda k: (owner[k], ends[k] - starts[k], bucket[starts[k] : ends[k]].tobytes(), share[starts[k] : ends[k]].tobytes()))
+    order = sorted(np.flatnonzero(ends > starts).tolist(), key=lambda k: (owner[k], xxhash.xxh64_intdigest(bucket[starts[k] : ends[k]].tobytes() + share[starts[k] : ends[k]].tobytes())))
     rows = [(bucket[starts[k] : ends[k]], share[starts[k] : ends[k]]) for k in order]
     return SubwordModel.fit(rows, owner[order], label_of.tolist())
 

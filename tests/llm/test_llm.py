@@ -140,6 +140,17 @@ def test_changed_notices_are_found(spark):
     assert got[1].labels == "mit-permission" and got[2].labels == "" and got[2].score < 0.8
 
 
+def test_versions_of_licences_are_told_apart(spark):
+    texts = [
+        "x licensed under the GNU General Public License, version 2 or later", "licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.1", "Licensed under the Apache License, Version 2.0",
+        "Licensed under the Apache License, Version 1.1", "Licensed under CC BY-NC 4.1", "Licensed under CC BY-NC 4.0", "licensed under the GNU Lesser General Public License, version 2.1",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (set(r.labels.split(",")) - {"apache", "gpl", "mit", ""}, r.score) for r in license_scan.scan_licenses(df).collect()}
+    assert [got[k][0] for k in range(8)] == [{"gpl-2.0"}, {"gpl-3.0"}, set(), {"apache-2.0"}, {"apache-1.1"}, set(), {"cc-by-nc-4.0"}, {"lgpl-2.1"}]
+    assert got[5][1] <= 0.5 and got[6][1] == 1
+
+
 # --- BPE
 
 

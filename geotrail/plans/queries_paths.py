@@ -37,7 +37,7 @@ def srt_time(spark, sf):
 
 @query(f"{B} SELECT event_id, CAST(k AS VARCHAR) AS iso, CAST(k AS VARCHAR) || '.5' AS rel_alt, CAST(k + 600 AS VARCHAR) || '.5' AS abs_alt, CAST(6 AS INTEGER) AS n_keys FROM ev")
 def bracket_metadata(spark, sf):
-    m = views.subtitle_blocks(spark, sf).withColumn("m", readers.bracket_metadata(F.col("block")))
+    m = views.subtitle_blocks(spark, sf).withColumn("e", readers.bracket_entries(F.col("block"))).withColumn("m", readers.bracket_metadata(F.col("e")))
     return m.select("event_id", F.col("m")["iso"].alias("iso"), F.col("m")["rel_alt"].alias("rel_alt"), F.col("m")["abs_alt"].alias("abs_alt"), F.size("m").alias("n_keys"))
 
 

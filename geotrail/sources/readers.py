@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.sequence import union_tagged
 
-FRAME = r"(FrameCnt|SrtCnt):?\s*(\d+),\s*DiffTime:?\s*(\d+)\s*ms"
-TIME_RANGE = r"(\d{2}:\d{2}:\d{2},\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2},\d{3})"
-DATETIME = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}"
+# The forms of the subtitle format.
+FRAME = r"(FrameCnt|SrtCnt)\s*:?\s*(\d+),\s*DiffTime\s*:?\s*(\d+)ms"
+TIME_RANGE = r"(\d{2}:\d{2}:\d{2},\d{3})\s+-->\s+(\d{2}:\d{2}:\d{2},\d{3})"
+DATETIME = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+"
 
 
 def srt_seconds(t: Column) -> Column:
@@ -25,8 +26,8 @@ def found(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def bracket_metadata(body: Column) -> Column:
-    """Map of ``[k: v]`` and ``[k1: v1 k2: v2]`` groups; of equal keys the last one counts."""
+def bracket_entries(body: Column) -> Column:
+    """Array of (k, v) of all ``[k: v]`` and ``[k1: v1 k2: v2]`` groups, in order."""
     group = F.regexp_extract_all(body, F.lit(r"\[([^\]]+)\]"), F.lit(1))
 
     def pairs(g: Column) -> Column:
@@ -37,19 +38,32 @@ def bracket_metadata(body: Column) -> Column:
         whole = entry(F.substring_index(g, ":", 1), F.substr(g, F.instr(g, ":") + 1))
         return F.when(two, F.array(entry(F.rtrim(F.regexp_replace(at(0), ":$", "")), at(1)), entry(F.regexp_replace(at(2), ":$", ""), at(3)))).when(F.instr(g, ":") > 0, F.array(whole)).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
 
-    entries = F.flatten(F.transform(group, pairs))
-    keys = F.transform(entries, lambda e: e["k"])
-    last = F.filter(F.transform(entries, lambda e, i: F.struct(e.alias("e"), (F.array_position(F.slice(keys, i + 2, F.size(keys)), e["k"]) == 0).alias("last"))), lambda x: x["last"])
-    return F.map_from_entries(F.transform(last, lambda x: x["e"]))
+    return F.flatten(F.transform(group, pairs))
+
+
+def bracket_metadata(entries: Column) -> Column:
+    """Map of ``bracket_entries``, which stand in a column of their own; of equal keys the last one counts."""
+    seen = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<struct<k:string,v:string>>").alias("kept"))
+
+    def fold(s: Column, e: Column) -> Column:
+        known = F.array_contains(s["keys"], e["k"])
+        return F.struct(F.when(known, s["keys"]).otherwise(F.array_append(s["keys"], e["k"])).alias("keys"), F.when(known, s["kept"]).otherwise(F.array_append(s["kept"], e)).alias("kept"))
+
+    return F.map_from_entries(F.reverse(F.aggregate(F.reverse(entries), seen, fold)["kept"]))
+
+
+def last_of(entries: Column, key: str) -> Column:
+    """The value of the last entry of ``key``, or null. ``entries`` is a column of its own, so nothing is parsed again."""
+    return F.try_element_at(F.filter(entries, lambda e: e["k"] == key), F.lit(-1))["v"]
 
 
 def parse_blocks(blocks: DataFrame, block: str = "block") -> DataFrame:
     """Telemetry rows of subtitle blocks. A block needs a number, a time range and one more line, or it is dropped."""
     lines = F.filter(F.transform(F.split(F.col(block), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     b = blocks.withColumn("__l", lines).where((F.size("__l") >= 3) & F.get("__l", F.lit(0)).rlike(r"^\d+$") & F.get("__l", F.lit(1)).rlike(TIME_RANGE))
-    b = b.withColumn("__body", F.concat_ws(" ", F.slice("__l", 3, F.size("__l")))).withColumn("__m", bracket_metadata(F.col("__body")))
+    b = b.withColumn("__body", F.concat_ws(" ", F.slice("__l", 3, F.size("__l")))).withColumn("__m", bracket_entries(F.col("__body")))
     head, times, body = F.get("__l", F.lit(0)), F.get("__l", F.lit(1)), F.col("__body")
-    text = lambda k: F.try_element_at("__m", F.lit(k))
+    text = lambda k: last_of(F.col("__m"), k)
     # numeric-looking text is shown as the number that it is
     shown = lambda k: F.coalesce(text(k).try_cast("double").cast("string"), text(k)).alias(k)
     start, end = F.regexp_extract(times, TIME_RANGE, 1), F.regexp_extract(times, TIME_RANGE, 2)

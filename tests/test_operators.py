@@ -212,3 +212,15 @@ def test_camera_values(spark):
     assert w == math.inf and depth == math.inf
     m = geo.camera_matrix(1920, 1080)
     assert m["fx"] == pytest.approx(m["fy"]) and (m["cx"], m["cy"]) == (960.0, 540.0)
+
+
+def test_subtitle_forms(spark):
+    blocks = [
+        "1\n00:00:01,000 --> 00:00:02,000\nFrameCnt : 7, DiffTime : 33ms 2024-01-01  10:00:00.123456 [iso: 100] [iso: 200] [rel_alt: 1.5 abs_alt: 2.5]",
+        "2\n00:00:01,000 --> 00:00:02,000\nSrtCnt:8, DiffTime:40ms 2024-01-01 10:00:00.12 [shutter: 1/50]",
+        "3\n00:00:01,000-->00:00:02,000\nFrameCnt: 9, DiffTime: 33ms",
+    ]
+    df = spark.createDataFrame([(b,) for b in blocks], "block string")
+    got = readers.parse_blocks(df).orderBy("subtitle_index").collect()
+    assert [(r.frame_count, r.diff_time_ms, r.timestamp) for r in got] == [(7, 33, "2024-01-01  10:00:00.123456"), (8, 40, "2024-01-01 10:00:00.12")]
+    assert (got[0].iso, got[0].rel_alt, got[0].abs_alt, got[1].shutter) == (200.0, 1.5, 2.5, "1/50")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,12 +18,14 @@ SLICE_ROWS = 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a temporary one only where the setting is unset."""
+    """The shared folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode, where it is unset."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

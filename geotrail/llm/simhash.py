@@ -287,16 +287,18 @@ def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth:
 
     Sets that share a block are compared: sizes, then fingerprints, then the sets themselves. A block of few rows is
     compared at once. In a larger one some rows, picked by hash, are compared with all; if it then still holds rows of
-    several components, ``growth`` times as many, until none does or all pairs were compared. No row is ever copied but
-    to those rows, and no pair is left out that could change a component.
+    several components, ``growth`` times as many, until none does or all pairs were compared; from the third turn on only
+    similar pairs leave the join. No row is ever copied but to those rows, and no pair is left out that could change a
+    component. A block of many rows that are close but hardly similar costs their pairs in the end.
     """
     part, whole = SIMILAR
     f = [f"f{k}" for k in range(WORDS)]
     rows = sets.select("node", "size", *f, F.explode("keys").alias("key"))
     blocks = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    similar = lambda a, b, total: F.size(F.array_intersect(a, b)) * whole >= (total - F.size(F.array_intersect(a, b))) * part
     place = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53)
     met = cut(rows.join(blocks, "key").withColumn("place", place * F.col("n")).withColumn("label", F.col("node")))
-    links = seen = None
+    links, seen, turn = None, None, 0
     while True:
         x = met.where((F.col("n") <= few) | (F.col("place") < pivots)).alias("x")
         y = met.alias("y")
@@ -304,9 +306,11 @@ def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth:
         before = (c("x", "place") < c("y", "place")) | (c("x", "place") == c("y", "place")) & (c("x", "node") < c("y", "node"))
         apart = sum((F.bit_count(c("x", k).bitwiseXOR(c("y", k))) for k in f), F.lit(0))
         fits = before & (c("x", "label") != c("y", "label")) & (F.least(c("x", "size"), c("y", "size")) * whole >= F.greatest(c("x", "size"), c("y", "size")) * part) & (apart <= DISTANCE)
+        if turn > 1:  # few rows are left, which are mostly close but not similar: they bring their sets along
+            fits &= similar(c("x", "shared"), c("y", "shared"), c("x", "size") + c("y", "size"))
         pairs = x.join(y, (c("x", "key") == c("y", "key")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        good = cut(verified(pairs, sets))
+        good = pairs if turn > 1 else cut(verified(pairs, sets))
         links = good if links is None else links.unionByName(good)
         seen = pairs if seen is None else seen.unionByName(pairs)
         rest = met.where((F.col("n") > few) & (F.col("n") > pivots) & (F.col("place") >= pivots)).drop("label")
@@ -314,7 +318,10 @@ def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth:
             return links
         rest = cut(rest.join(labelled(rest, links, "node"), "node"))
         mixed = cut(rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
-        met, pivots = cut(rest.join(mixed, "key")), pivots * growth
+        met, pivots, turn = rest.join(mixed, "key"), pivots * growth, turn + 1
+        if turn == 2:
+            met = met.join(sets.select("node", "shared"), "node")
+        met = cut(met)
         if met.isEmpty():
             return links
 

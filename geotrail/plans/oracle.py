@@ -88,7 +88,7 @@ heads AS (
                  f AS (PARTITION BY dataset_id ORDER BY start_seconds, frame_count ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 fr AS (
   SELECT 'v' || CAST(label AS VARCHAR) AS dataset_id, vec_id AS frame_count, CAST(vec_id AS DOUBLE) AS start_seconds,
-         CASE WHEN vec_id % 5 = 1 THEN 'query' WHEN vec_id % 5 IN (0, 2) THEN 'reference' END AS role,
+         CASE WHEN vec_id % 5 = 1 THEN 'query' ELSE 'reference' END AS role,
          32.10::DOUBLE + CAST(embedding[1] AS DOUBLE) * 0.01::DOUBLE AS ground_latitude, 35.20::DOUBLE + CAST(embedding[2] AS DOUBLE) * 0.01::DOUBLE AS ground_longitude,
          CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 pairs AS (

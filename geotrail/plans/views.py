@@ -45,8 +45,9 @@ def subtitle_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames with descriptors: the stated query set, and all other frames as references."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    role = F.when(F.col("vec_id") % 5 == 1, "query").when((F.col("vec_id") % 5).isin(0, 2), "reference")
+    role = F.when(F.col("vec_id") % 5 == 1, "query").otherwise("reference")
     return e.select(
         F.concat(F.lit("v"), F.col("label").cast("string")).alias("dataset_id"), F.col("vec_id").alias("frame_count"), F.col("vec_id").cast("double").alias("start_seconds"), role.alias("role"),
         (32.10 + F.get("embedding", F.lit(0)).cast("double") * 0.01).alias("ground_latitude"), (35.20 + F.get("embedding", F.lit(1)).cast("double") * 0.01).alias("ground_longitude"), F.col("embedding").alias("v"))

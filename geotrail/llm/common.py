@@ -11,11 +11,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that one call of a Python kernel sees; bounds its memory whatever Arrow's batch size is.
 SLICE_ROWS = 64
 
+#: A key with more than one in HEAVY rows is heavy, so there are fewer than HEAVY of them; its rows are dealt to SALTS tasks.
+HEAVY, SALTS = 1024, 64
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode, where it is unset."""
@@ -43,6 +47,25 @@ def cut_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def heavy_keys(counted: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """Keys of ``counted``, which has each key once, whose count ``n`` is above one in HEAVY of the sum of all."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    return counted.where(F.col(n) > total / HEAVY).select(*keys)
+
+
+def join_dealt(rows: DataFrame, other: DataFrame, keys: list[str], heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """Equi-join of ``rows`` with ``other``, which has each key once; no task gets all rows of a heavy key.
+
+    The heavy keys are broadcast, as fewer than HEAVY of them exist. Their rows are dealt at random to SALTS groups, each
+    with a copy of the one row of ``other``; other keys are joined as they are.
+    """
+    mark = F.broadcast(heavy.withColumn("salts", F.lit(SALTS)))
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).cast("int")
+    dealt = rows.join(mark, keys, "left").withColumn("salt", salt).drop("salts")
+    copies = other.join(mark, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copies, [*keys, "salt"], how).drop("salt")
+
+
 def append_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], list], fields: str, keep: list[str] | None = None) -> DataFrame:
     """Appends what ``kernel`` computes from each slice of rows.
 

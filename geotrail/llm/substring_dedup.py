@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, cut_table, emit_arrow, texts
+from .common import append_arrow, cut_table, emit_arrow, heavy_keys, join_dealt, texts
 
 WINDOW, SEED = 35, 10
 _Q = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -144,31 +144,37 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A word goes if a window of ``window`` consecutive words covers it whose words also start anywhere else, in the same
     text or another row, all judged on the input; so all copies of a passage go. Null texts have no words; texts
-    shorter than a window keep all. Equality is that of 128 bits of hashes. Other columns are not read, equal rows are
-    copies of each other. Texts are known by 96 bits of hash, so equal texts share their rows in every join; counts per
-    anchor, run and window are aggregated before they are shuffled, and hot keys are left to joins that split.
+    shorter than a window keep all. Windows are equal by two 64-bit hashes, runs by one of their words and one of
+    their anchor. Other columns are not read, equal rows are copies of each other. Texts are known by 96 bits of hash, so equal texts share their rows in every join; counts per
+    anchor, run and window are aggregated before they are shuffled, and the rows of heavy keys are dealt to many tasks.
     """
     if not seed <= window - 1 <= 62:
         raise ValueError("window must exceed seed and be at most 63")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     own = own.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
-    many = emit_arrow(own.select("text"), _seeds(window, seed), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    seeds = emit_arrow(own.select("text"), _seeds(window, seed), "h long")
+    many = cut_table(seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     runs = emit_arrow(own.select("text", "k1", "k2"), _runs(window, seed), "h long, r long, k1 long, k2 int, at long")
-    runs = cut_table(runs.join(many, "h", "left_semi")).withColumn("o", F.xxhash64("k1", "k2", "at"))
-    classes = runs.groupBy("h", "r").agg(F.count("*").alias("n"), F.min("o").alias("one"))
-    kinds = classes.groupBy("h").agg(F.count("*").alias("kinds"))
-    classes = classes.join(kinds, "h").where("n > 1 or kinds > 1")
-    met = runs.join(classes, ["h", "r"])
+    runs = cut_table(join_dealt(runs, many, ["h"], heavy_keys(many, ["h"]), "left_semi"))
+    place = F.xxhash64("k1", "k2", "at")
+    classes = cut_table(runs.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(place).alias("one")))
+    kinds = cut_table(classes.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    repeated = join_dealt(classes, kinds, ["h"], heavy_keys(kinds, ["h"], "kinds"), "left").where("n > 1 or kinds > 1")
+    met = join_dealt(runs, repeated, ["h", "r"], heavy_keys(classes, ["h", "r"]))
     # where an anchor extends differently, one occurrence of each run shows its windows, for at most two occurrences
-    need = met.where("kinds > 1 and o = one").select("k1", "k2", (F.col("at") * 4 + F.least("n", F.lit(2))).alias("code"))
+    shows = F.col("kinds").isNotNull() & (F.col("one") == place)
+    met = cut_table(met.select("k1", "k2", "at", F.least("n", F.lit(2)).alias("n"), shows.alias("shows")).where("n > 1 or shows"))
+    need = met.where("shows").select("k1", "k2", (F.col("at") * 4 + F.col("n")).alias("code"))
     need = need.groupBy("k1", "k2").agg(F.collect_set("code").alias("need"))
-    shown = own.join(need, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    windows = emit_arrow(shown, _windows(window), "w1 long, w2 long, k1 long, k2 int, at long, n long")
-    again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
-    single = windows.where("n = 1").join(again, ["w1", "w2"], "left_semi").select("k1", "k2", "at")
+    copies = cut_table(own.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1"))
+    common = heavy_keys(copies, ["k1", "k2"])
+    shown = join_dealt(own, need, ["k1", "k2"], common).dropDuplicates(["k1", "k2"])
+    windows = cut_table(emit_arrow(shown, _windows(window), "w1 long, w2 long, k1 long, k2 int, at long, n long"))
+    again = cut_table(windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1"))
+    single = join_dealt(windows.where("n = 1"), again, ["w1", "w2"], heavy_keys(again, ["w1", "w2"]), "left_semi").select("k1", "k2", "at")
     covers = met.where("n > 1").select("k1", "k2", "at").unionByName(single)
     covers = covers.groupBy("k1", "k2").agg(F.collect_set("at").alias("covers"))
-    whole = own.join(covers, ["k1", "k2"], "left")
+    whole = join_dealt(own, covers, ["k1", "k2"], common, "left")
     return append_arrow(whole, _kept(window, with_text), "n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text, keep=["doc_id"])
 
 

@@ -295,6 +295,21 @@ def test_repeats(odd, none):
     assert kept[10] == "e" and kept[11] == "f g" and kept[7] == ""
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_heavy_keys_are_dealt_without_a_change_of_rows(spark, how):
+    from geotrail.llm.common import HEAVY, heavy_keys, join_dealt
+
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) as k", "id as x")
+    counted = rows.groupBy("k").agg(F.count("*").alias("n")).where("k % 5 < 3")
+    heavy = heavy_keys(counted, ["k"])
+    assert [r.k for r in heavy.collect()] == [7] and counted.count() > HEAVY
+    mine, plain = join_dealt(rows, counted, ["k"], heavy, how), rows.join(counted, "k", how)
+    assert mine.columns == plain.columns
+    assert sorted(mine.collect(), key=str) == sorted(plain.collect(), key=str)
+    none = counted.where("false")
+    assert join_dealt(rows, none, ["k"], heavy_keys(none, ["k"]), "left").count() == 6000
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_repeats_in_random_texts(spark, seed):
     rng = np.random.default_rng(seed)

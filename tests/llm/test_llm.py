@@ -271,6 +271,18 @@ def test_pii_links_equal_values_and_leaves_other_numbers(spark):
 # --- language
 
 
+def test_every_language_is_learned_and_reruns_agree(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_DOCUMENTS", 1600)
+    rng = np.random.default_rng(8)
+    table = [(16 * k + j, " ".join("".join(chr(0x4E00 + 20 * k + c) for c in rng.integers(0, 20, 4)) for _ in range(8)), f"l{k:02d}") for k in range(80) for j in range(16)]
+    table += [(i, t + " again", c) for i, t, c in table[::7]]  # repeated ids with other texts
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    model, again = language_id.fit_languages(df), language_id.fit_languages(df.orderBy(F.rand(1)).repartition(5))
+    assert len(model.families) == 80 and np.array_equal(model.weights, again.weights)
+    got = language_id.predict_languages(df, model)
+    assert got.where("lang = lang_pred").count() / got.count() > 0.9
+
+
 def test_language_accuracy_and_edges(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit_languages(docs)
@@ -335,13 +347,34 @@ def test_nearest_edges(spark):
     vs += [(300 + i, vs[0][1]) for i in range(30)] + [vs[5], vs[5]]  # copies and repeated rows
     vs += [(900, None), (901, []), (902, [0.0] * 8), (903, [float("nan")] * 8), (904, [float("inf")] * 8), (905, [None] * 8), (None, vs[0][1]), (1000, [1.0] * 7)]
     df = spark.createDataFrame(vs, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("score", F.lit(9))
-    want = by_sql(onebit_ann.NEAREST_SQL, embeddings=df.where("vec_id is null or vec_id <> 1000"))
-    assert rows(onebit_ann.nearest(df, 100)) == want
+    assert rows(onebit_ann.nearest(df, 100)) == by_sql(onebit_ann.NEAREST_SQL, embeddings=df)
     assert onebit_ann.nearest(df.limit(0), 100).count() == 0
     few = df.where("vec_id in (0, 1, 2)")
     assert onebit_ann.nearest(few, 100).count() == 2
 
 
+def test_nearest_of_doubles_and_of_each_length(spark, monkeypatch):
+    monkeypatch.setattr(onebit_ann, "SHARD_VALUES", 1000)
+    monkeypatch.setattr(onebit_ann, "GROUP", 2)
+    rng = np.random.default_rng(4)
+    vs = [(i, (rng.normal(size=1 + i % 3 * 6) * 10.0 ** rng.integers(-3, 3)).tolist()) for i in range(900)]
+    vs += [(901, [1e39] * 7), (1000, [1e-50] * 7), (903, [0.1] * 7), (904, [0.1 + 1e-12] * 7), (1200, [0.1] * 7)]
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
+    assert rows(onebit_ann.nearest(df, 100)) == by_sql(onebit_ann.NEAREST_SQL, embeddings=df)
+
+
+def test_nearest_recall_on_a_larger_table(spark):
+    rng = np.random.default_rng(6)
+    v = (rng.normal(size=(40, 48))[rng.integers(0, 40, 20000)] + 0.4 * rng.normal(size=(20000, 48))).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>")
+    found = {(r.query_id, r.vec_id) for r in onebit_ann.nearest(df, 500).collect()}
+    hits = 0
+    for q in range(0, 20000, 500):
+        far = np.sqrt(((v.astype(float) - v[q].astype(float)) ** 2).sum(axis=1))
+        hits += sum((q, int(i)) in found for i in np.argsort(far, kind="stable")[1:11])
+    assert len(found) == 400 and hits / 400 >= 0.99
+
+
 def test_estimates_keep_their_bound():
     rng = np.random.default_rng(5)
     v, q = rng.normal(size=(4000, 64)), rng.normal(size=(50, 64))

@@ -22,8 +22,8 @@ FAMILIES = {
 #: Hash buckets (a power of two) of character n-grams, and the lengths.
 BUCKET_BITS, GRAMS = 13, (1, 2, 3)
 BUCKETS = 1 << BUCKET_BITS
-#: Training reads at most so many documents of each language, and of so many languages, the most frequent ones.
-TRAIN_PER_LANGUAGE, LANGUAGES = 600, 64
+#: Training reads at most so many documents of each language, and so many in all (but one of each language).
+TRAIN_PER_LANGUAGE, TRAIN_DOCUMENTS = 600, 9600
 STEPS, RIDGE = 150, 1e-3
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,11 +52,10 @@ def profile(text: str | None) -> np.ndarray | None:
 
 
 def linear_svm(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
-    """Weights (the last one a bias) of a squared-hinge, ridge-regularised linear SVM by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights of a squared-hinge, ridge-regularised linear SVM by accelerated gradient steps."""
     share = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())).astype(np.float32)
     w = look = np.zeros(x.shape[1], np.float32)
-    step = 1.0 / (2 * float((share * (x * x).sum(axis=1)).sum()) + RIDGE)
+    step = 1.0 / (2 * float((share * np.einsum("ij,ij->i", x, x)).sum()) + RIDGE)
     for k in range(STEPS):
         slack = np.maximum(0, 1 - sign * (x @ look))
         new = look - step * (RIDGE * look - 2 * (x.T @ (share * sign * slack)))
@@ -67,7 +66,7 @@ def linear_svm(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """``weights`` (BUCKETS + 1, machines); the first machines tell families apart, the others pairs within a family."""
+    """``weights`` (BUCKETS + 1, machines), the last row biases; the first machines tell families apart, the others pairs within a family."""
 
     families: list[list[str]]
     pairs: list[tuple[str, str]]
@@ -75,22 +74,26 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, x: np.ndarray, langs: list[str]) -> LanguageModel:
+        """``x`` (texts, BUCKETS + 1), of which the last column is 1; it is scaled in place, as the one large matrix."""
         of = {code: name for name, codes in FAMILIES.items() for code in codes}
         groups: dict[str, list[str]] = {}
         for code in sorted(set(langs)):
             groups.setdefault(of.get(code, code), []).append(code)
         families = [groups[k] for k in sorted(groups)]
         y = np.array(langs)
-        scale = 1.0 / (x.std(axis=0) * np.sqrt(x.shape[1]) + 1e-6) if len(x) else np.ones(BUCKETS)
-        z = (x * scale).astype(np.float32)
+        scale = np.ones(BUCKETS + 1)
+        if len(x):
+            mean, square = x[:, :-1].mean(axis=0, dtype=np.float64), np.einsum("ij,ij->j", x, x, dtype=np.float64)[:-1] / len(x)
+            scale[:-1] = 1.0 / (np.sqrt(np.maximum(square - mean * mean, 0)) * np.sqrt(BUCKETS) + 1e-6)
+            x *= scale.astype(np.float32)
         own = [np.isin(y, f) for f in families]
         pairs = [p for f in families for p in combinations(f, 2)]
-        machines = [linear_svm(z, np.where(m, 1, -1).astype(np.float32)) for m in own] if len(families) > 1 else [np.zeros(BUCKETS + 1, np.float32)] * len(families)
+        machines = [linear_svm(x, np.where(m, 1, -1).astype(np.float32)) for m in own] if len(families) > 1 else [np.zeros(BUCKETS + 1, np.float32)] * len(families)
         for a, b in pairs:
             at = (y == a) | (y == b)
-            machines.append(linear_svm(z[at], np.where(y[at] == a, 1, -1).astype(np.float32)))
+            machines.append(linear_svm(x[at], np.where(y[at] == a, 1, -1).astype(np.float32)))
         w = np.stack(machines, axis=1) if machines else np.zeros((BUCKETS + 1, 0), np.float32)
-        return cls(families, pairs, np.vstack([w[:-1] * scale[:, None], w[-1:]]))
+        return cls(families, pairs, w * scale[:, None])
 
     def predict(self, p: np.ndarray | None) -> tuple[str, float]:
         if p is None or not self.families:
@@ -114,25 +117,33 @@ class LanguageModel:
 def fit_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2) -> LanguageModel:
     """Learns from non-null texts and languages of rows whose crc32(id) mod ``folds`` is not ``held_out``.
 
-    At most TRAIN_PER_LANGUAGE documents of a language, by the hash order of the id, and of at most LANGUAGES languages:
-    executors turn them into n-gram frequencies, of which the driver gets the non-zero ones.
+    Every language is learned, from at most TRAIN_PER_LANGUAGE documents by the hash order of the id; where that is above
+    TRAIN_DOCUMENTS in all, each language gives its equal share of these, one document at least. An id with several texts of a language
+    counts once, with the least of them, so reruns agree. Executors turn the texts into n-gram frequencies, of which the
+    driver gets the non-zero ones.
     """
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("id is not null and text is not null and lang is not null")
     own = own.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) != held_out)
-    common = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    some = own.select("id", "lang").join(F.broadcast(common), "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_PER_LANGUAGE)
-    some = some.select("id", "lang").distinct()  # at most LANGUAGES * TRAIN_PER_LANGUAGE rows: small enough to broadcast
+    # one row a language, as the model that is broadcast has
+    sizes = own.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()
+    each = max(1, min(TRAIN_PER_LANGUAGE, TRAIN_DOCUMENTS // max(1, len(sizes))))
+    # a hash threshold keeps a few times the sample, so what meets in one task to be ranked does not grow with the input
+    ends = [(r.lang, int(min(1.0, (4 * each + 40) / max(1, r.n)) * (1 << 30))) for r in sizes]
+    ends = docs.sparkSession.createDataFrame(ends, "lang string, below long")
+    some = own.select("id", "lang").join(F.broadcast(ends), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("below")).select("id", "lang").distinct()
+    some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("id", "lang")
 
     def kernel(batch: pa.RecordBatch) -> list:
         made = [(c, p) for c, t in zip(texts(batch, "lang"), texts(batch, "text"), strict=True) if (p := profile(t)) is not None]
         at = [np.flatnonzero(p) for _, p in made]
         return [[c for c, _ in made], at, [p[i] for i, (_, p) in zip(at, made, strict=True)]]
 
-    sample = own.join(F.broadcast(some), ["id", "lang"]).limit(LANGUAGES * TRAIN_PER_LANGUAGE)
+    sample = own.join(F.broadcast(some), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # some: TRAIN_DOCUMENTS rows, or one of each language
     got = emit_arrow(sample, kernel, "lang string, bucket array<int>, freq array<float>").toArrow()
     rows = sorted(zip(got["lang"].to_pylist(), [b.values.to_numpy() for b in got["bucket"]], [f.values.to_numpy() for f in got["freq"]], strict=True), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
-    x = np.zeros((len(rows), BUCKETS), np.float32)
+    x = np.zeros((len(rows), BUCKETS + 1), np.float32)
+    x[:, -1] = 1
     for k, (_, at, freq) in enumerate(rows):
         x[k, at] = freq
     return LanguageModel.fit(x, [r[0] for r in rows])

@@ -1,9 +1,9 @@
 """Media columns by content-defined chunking: payloads cut at rolling gear hashes, chunks shared between payloads stored
 once, and ordered chunk lists from which the stored bytes are put together and verified.
 
-The stored form of a payload is a container of 8-bit samples: ``CDC1``, the number of chunks, the length and SHA-256 of
-each, and the chunks. At rest the samples of chunks that other payloads have, too, lie with one owner, found by joins on
-chunk digests; all others lie with their payload. Bodies are compressed at rest and in shuffles.
+The stored form of a payload is its manifest: ``CDC1``, the number of chunks, and the length and SHA-256 of each, in order.
+It is written, read back, and all that names the chunks. Samples of chunks that other payloads have, too, lie with one
+owner, found by joins on chunk digests; all others lie with their payload. Bodies are compressed at rest and in shuffles.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_arrow, emit_arrow, ensure_checkpoint_dir, texts
+from .common import append_arrow, cut_table, emit_arrow, ensure_checkpoint_dir, heavy_keys, join_dealt, texts
 
 BLOCK, FILL = 576, b"\xff"
 #: Chunk lengths: no cut before LEAST bytes, one at MOST, and in between where the top MASK_BITS of the hash are zero.
@@ -29,7 +29,7 @@ LEVEL, DICTIONARY, DICTIONARY_TEXTS, DICTIONARY_CHARS = 6, 1 << 16, 1000, 20_000
 SEED = 23
 
 _NAME = "p1 long, p2 long"
-_STORED = f"{_NAME}, n_bytes long, lengths array<int>, digests array<binary>, n_refs int, refs array<int>, owned array<int>, body binary, shared array<struct<d1: long, d2: long, body: binary>>"
+_STORED = f"{_NAME}, n_bytes long, manifest binary, n_refs int, refs array<int>, owned array<int>, body binary, shared array<struct<d1: long, d2: long, body: binary>>"
 _FEATURES = f"{_NAME}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -73,14 +73,29 @@ def name_of(payload: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:16], "big", signed=True)
 
 
-def features(chunks: list[bytes], digests: list[bytes]) -> list:
-    """Of the bytes read back: lengths, digests and, as ``feature``, counts of the upper four bits of the samples."""
-    if any(hashlib.sha256(c).digest() != d for c, d in zip(chunks, digests, strict=True)):
-        raise ValueError("a stored chunk does not have the digest of its chunk list")
+#: Bytes of a manifest before its entries, and of an entry's length and digest.
+HEAD, LENGTH, DIGEST = 8, 4, 32
+ENTRY = LENGTH + DIGEST
+
+
+def manifest_of(chunks: list[bytes]) -> bytes:
+    return b"CDC1" + len(chunks).to_bytes(4, "big") + b"".join(len(c).to_bytes(LENGTH, "big") + hashlib.sha256(c).digest() for c in chunks)
+
+
+def entries_of(manifest: bytes) -> list[tuple[int, bytes]]:
+    """Length and digest of each chunk."""
+    if manifest[:4] != b"CDC1" or len(manifest) != HEAD + ENTRY * int.from_bytes(manifest[4:HEAD], "big"):
+        raise ValueError("not a manifest")
+    return [(int.from_bytes(manifest[a : a + LENGTH], "big"), manifest[a + LENGTH : a + ENTRY]) for a in range(HEAD, len(manifest), ENTRY)]
+
+
+def features(chunks: list[bytes], manifest: bytes) -> list:
+    """Of the bytes read back: sizes, digests and, as ``feature``, counts of the upper four bits of the samples."""
+    if any(len(c) != n or hashlib.sha256(c).digest() != d for c, (n, d) in zip(chunks, entries_of(manifest), strict=True)):
+        raise ValueError("a stored chunk does not have the length and digest of its manifest")
     payload = b"".join(chunks)
-    head = b"CDC1" + len(chunks).to_bytes(4, "big") + b"".join(len(c).to_bytes(4, "big") + d for c, d in zip(chunks, digests, strict=True))
     counts = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
-    return [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(head) + len(payload), hashlib.sha256(head + payload).hexdigest(), ",".join(map(str, counts))]
+    return [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(manifest), hashlib.sha256(manifest).hexdigest(), ",".join(map(str, counts))]
 
 
 class Codec:
@@ -119,8 +134,9 @@ def train_dictionary(docs: DataFrame, text: str) -> bytes:
 def write_media(docs: DataFrame, path: str, text: str = "text") -> None:
     """Stores the payloads of all texts under ``path``, each distinct one once, and the dictionary beside them.
 
-    Only digests are joined: a chunk that several places have belongs to the one with the least hash. The payloads
-    themselves move once, compressed, and copies are dropped before they move.
+    Only digests are joined: a chunk that several places have belongs to the one with the least hash. Places of a chunk
+    that very many have are dealt to many tasks. The payloads themselves move once, compressed, and copies are dropped
+    before they move.
     """
     dictionary = train_dictionary(docs, text)
     sent = docs.sparkSession.sparkContext.broadcast(dictionary)
@@ -143,7 +159,7 @@ def write_media(docs: DataFrame, path: str, text: str = "text") -> None:
 
     def stored(batch: pa.RecordBatch) -> list:
         own = codec(sent.value)
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(6)]
         for z, marks in zip(texts(batch, "z"), texts(batch, "marks"), strict=True):
             chunks = chunks_of(own.unpack(z))
             refs = sorted(m >> 1 for m in marks or [] if not m & 1)
@@ -151,14 +167,15 @@ def write_media(docs: DataFrame, path: str, text: str = "text") -> None:
             away = {*refs, *owned}
             body = own.pack(b"".join(c for k, c in enumerate(chunks) if k not in away))
             shared = [dict(zip(("d1", "d2", "body"), (*name_of(chunks[k]), own.pack(chunks[k])), strict=True)) for k in owned]
-            for col, x in zip(cols, ([len(c) for c in chunks], [hashlib.sha256(c).digest() for c in chunks], len(refs), refs, owned, body, shared), strict=True):
+            for col, x in zip(cols, (manifest_of(chunks), len(refs), refs, owned, body, shared), strict=True):
                 col.append(x)
         return [batch.column("p1"), batch.column("p2"), batch.column("n_bytes"), *cols]
 
     own = docs.select(F.col(text).alias("t"))
     recipe = emit_arrow(own, recipes, f"{_NAME}, k int, d1 long, d2 long").withColumn("o", F.xxhash64("p1", "p2", "k"))
-    shared = recipe.groupBy("d1", "d2").agg(F.min("o").alias("owner"), F.max("o").alias("other")).where("owner <> other")
-    marks = recipe.join(shared, ["d1", "d2"]).select("p1", "p2", (F.col("k") * 2 + (F.col("o") == F.col("owner")).cast("int")).alias("mark")).distinct()
+    shared = recipe.groupBy("d1", "d2").agg(F.min("o").alias("owner"), F.max("o").alias("other"), F.count("*").alias("n")).where("owner <> other")
+    shared = cut_table(shared.select("d1", "d2", "owner", "n"))
+    marks = join_dealt(recipe, shared, ["d1", "d2"], heavy_keys(shared, ["d1", "d2"])).select("p1", "p2", (F.col("k") * 2 + (F.col("o") == F.col("owner")).cast("int")).alias("mark")).distinct()
     marks = marks.groupBy("p1", "p2").agg(F.collect_list("mark").alias("marks"))
     whole = emit_arrow(own, packed, f"{_NAME}, n_bytes long, z binary").dropDuplicates(["p1", "p2"]).join(marks, ["p1", "p2"], "left")
     emit_arrow(whole, stored, _STORED).write.option("compression", "none").parquet(f"{path}/media")
@@ -176,27 +193,28 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     def assembled(batch: pa.RecordBatch) -> list:
         unpack = codec(sent.value).unpack
         cols: list[list] = [[] for _ in range(6)]
-        for row in batch.select(["lengths", "digests", "refs", "owned", "body", "shared", "pieces"]).to_pylist():
+        for row in batch.select(["manifest", "refs", "owned", "body", "shared", "pieces"]).to_pylist():
             away = {k: unpack(s["body"]) for k, s in zip(row["owned"], row["shared"], strict=True)}
             away |= {p["k"]: unpack(p["body"]) for p in row["pieces"] or []}
             body, at, chunks = unpack(row["body"]), 0, []
-            for k, n in enumerate(row["lengths"]):
+            for k, (n, _) in enumerate(entries_of(row["manifest"])):
                 if k in away:
                     chunks.append(away[k])
                 else:
                     chunks.append(body[at : at + n])
                     at += n
-            for col, x in zip(cols, features(chunks, row["digests"]), strict=True):
+            for col, x in zip(cols, features(chunks, row["manifest"]), strict=True):
                 col.append(x)
         return [batch.column("p1"), batch.column("p2"), batch.column("n_bytes"), *cols]
 
     chunks = media.where("size(owned) > 0").select(F.explode("shared").alias("s")).select("s.*")
     part = media.where("n_refs > 0")
-    wanted = part.select("p1", "p2", F.explode("refs").alias("k"), "digests")
-    d = F.hex(F.element_at("digests", F.col("k") + 1))
+    wanted = part.select("p1", "p2", F.explode("refs").alias("k"), "manifest")
+    d = F.hex(F.col("manifest").substr(F.col("k") * ENTRY + (HEAD + LENGTH + 1), F.lit(DIGEST)))
     long_of = lambda a: F.shiftleft(F.conv(F.substring(d, a, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(d, a + 8, 8), 16, 10).cast("long"))
     wanted = wanted.select("p1", "p2", "k", long_of(1).alias("d1"), long_of(17).alias("d2"))
-    pieces = wanted.join(chunks, ["d1", "d2"]).groupBy("p1", "p2").agg(F.collect_list(F.struct("k", "body")).alias("pieces"))
+    counted = cut_table(wanted.groupBy("d1", "d2").agg(F.count("*").alias("n")))
+    pieces = join_dealt(wanted, chunks, ["d1", "d2"], heavy_keys(counted, ["d1", "d2"])).groupBy("p1", "p2").agg(F.collect_list(F.struct("k", "body")).alias("pieces"))
     none = F.lit(None).cast("array<struct<k:int,body:binary>>")
     whole = media.where("n_refs = 0").withColumn("pieces", none)
     return emit_arrow(whole, assembled, _FEATURES).unionByName(emit_arrow(part.join(pieces, ["p1", "p2"]), assembled, _FEATURES))
@@ -207,7 +225,8 @@ def media_features(docs: DataFrame, path: str | None = None, doc_id: str = "doc_
 
     Stores the payloads under ``path`` (a new folder in the shared checkpoint folder, if None), then reads them back.
     Null and empty texts are one payload of 576 bytes 255. Equal texts are one stored payload, so repeated rows and
-    groups of copies cost a row of digests each; rows keep their ids, also null ones. Other columns are not read.
+    groups of copies cost a row of digests each; ``media_bytes`` and ``media_sha256`` are of the stored manifest, which names all
+    samples by length and digest; rows keep their ids, also null ones. Other columns are not read.
     """
     path = path or f"{ensure_checkpoint_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     write_media(docs, path, text)

@@ -95,7 +95,10 @@ def test_media(odd, none):
         assert (g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
         chunks = media_chunks.chunks_of(p)
         assert b"".join(chunks) == p and all(len(c) <= media_chunks.MOST for c in chunks)
-        assert g.media_bytes == 8 + 36 * len(chunks) + len(p)
+        stored = media_chunks.manifest_of(chunks)
+        assert (g.media_bytes, g.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert media_chunks.entries_of(stored) == [(len(c), hashlib.sha256(c).digest()) for c in chunks]
+        assert g.feature == ",".join(str(sum(b >> 4 == k for b in p)) for k in range(16))
         assert sum(map(int, g.feature.split(","))) == len(p)
 
 
@@ -109,7 +112,7 @@ def test_media_shares_chunks_and_detects_damage(spark, tmp_path):
     assert stored.agg(F.sum("n_refs")).first()[0] > 30
     assert media_chunks.read_media(spark, path).count() == 3
     with pytest.raises(ValueError):
-        media_chunks.features([b"abc"], [hashlib.sha256(b"abd").digest()])
+        media_chunks.features([b"abc"], media_chunks.manifest_of([b"abd"]))
 
 
 # --- licences

@@ -89,3 +89,13 @@ def retrieval_summary(results: DataFrame) -> DataFrame:
 def split_by_stride(df: DataFrame, stride: int, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Every ``stride``-th row as reference, the others as queries."""
     return df.where(F.col(seq) % stride == 0), df.where(F.col(seq) % stride != 0)
+
+
+def position_by_path(rows: DataFrame, references: DataFrame, path: str = "reference_frame_path") -> DataFrame:
+    """``ref_lat`` and ``ref_lon`` of the reference frame that ``path`` names, of several with one path the last; else null.
+
+    ``references``: src_ord, seq, frame_path, ground_latitude, ground_longitude.
+    """
+    at = F.max_by(F.struct("ground_latitude", "ground_longitude"), F.struct("src_ord", "seq")).alias("at")
+    known = references.where("frame_path is not null").groupBy(F.col("frame_path").alias(path)).agg(at)
+    return rows.join(known, path, "left").withColumn("ref_lat", F.col("at.ground_latitude")).withColumn("ref_lon", F.col("at.ground_longitude")).drop("at")

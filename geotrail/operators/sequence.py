@@ -117,3 +117,15 @@ def since_last(flag: Column, t: str = "start_seconds") -> Column:
 def path_length(df: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFrame:
     dx, dy = F.col(x) - F.lag(x).over(along()), F.col(y) - F.lag(y).over(along())
     return df.withColumn("__d", geo.length(dx, dy)).groupBy(FLIGHT).agg(F.coalesce(F.sum("__d"), F.lit(0.0)).alias("path_m"))
+
+
+def early_rows(df: DataFrame, first: int = 30, every: int = 5, order: tuple[str, ...] = ("start_seconds", "frame_count")) -> DataFrame:
+    """Of the ``first`` rows of each flight every ``every``-th one, with its place ``idx`` from 0."""
+    idx = F.row_number().over(Window.partitionBy(FLIGHT).orderBy(*order)) - 1
+    return df.withColumn("idx", idx).where((F.col("idx") < first) & (F.col("idx") % every == 0))
+
+
+def query_times(results: DataFrame, times: DataFrame, place: str = "seq") -> DataFrame:
+    """``time_s`` of each row: of its ``frame_count`` in ``times`` (of several the last), else its own place."""
+    known = dedupe_keep_last(times, "frame_count").select("frame_count", F.col("start_seconds").alias("__t"))
+    return results.join(known, "frame_count", "left").withColumn("time_s", F.coalesce("__t", F.col(place).cast("double"))).drop("__t")

@@ -403,3 +403,48 @@ def homography_point(spark, sf):
     h = [F.cos(th), F.sin(th), 5.0, -F.sin(th), F.cos(th), -3.0, 1e-4, 2e-4, 1.0]
     x, y = geo.homography_point(h, 256.0, 256.0)
     return _cameras(spark, sf).select("dataset_id", "frame_count", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
+
+
+@query(f"""{B}, i AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY start_seconds, frame_count) - 1 AS idx FROM fx),
+s AS (SELECT *, min(CASE WHEN raw_lat IS NOT NULL THEN idx END) OVER (PARTITION BY dataset_id) AS start FROM i),
+m AS (
+  SELECT dataset_id, idx, 'truth begins' AS label, 'truth-start' AS style, gt_lat AS lat, gt_lon AS lon FROM s WHERE idx = 0
+  UNION ALL SELECT dataset_id, idx, CASE WHEN idx > 0 THEN 'estimate begins at row ' || idx ELSE 'estimate begins' END, 'estimate-start', raw_lat, raw_lon FROM s WHERE idx = start
+  UNION ALL SELECT dataset_id, idx, 'truth +' || idx || ' s', 'truth-dot', gt_lat, gt_lon FROM s WHERE idx < 30 AND idx % 5 = 0
+  UNION ALL SELECT dataset_id, idx, 'estimate +' || idx || ' s', 'estimate-dot', raw_lat, raw_lon FROM s WHERE idx < 30 AND idx % 5 = 0 AND raw_lat IS NOT NULL)
+SELECT dataset_id, idx, style, '<Placemark><name>' || label || '</name><styleUrl>#' || style || '</styleUrl><Point><coordinates>' || printf('%.8f,%.8f,%.2f', lon, lat, 0.0::DOUBLE) || '</coordinates></Point></Placemark>' AS xml FROM m""")
+def live_placemarks(spark, sf):
+    f = views.fixes(spark, sf).withColumnRenamed("raw_lat", "est_lat").withColumnRenamed("raw_lon", "est_lon")
+    return sinks.point_placemarks(sinks.live_points(f), "label", "lat", "lon", "style").select("dataset_id", "idx", "style", "xml")
+
+
+@query(f"{B}, i AS (SELECT dataset_id, frame_count, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY start_seconds, frame_count) - 1 AS INTEGER) AS idx FROM tel) SELECT * FROM i WHERE idx < 30 AND idx % 5 = 0")
+def early_rows(spark, sf):
+    return sequence.early_rows(views.telemetry(spark, sf)).select("dataset_id", "frame_count", "idx")
+
+
+@query(f"{B} SELECT f.dataset_id, f.frame_count, round(coalesce(t.start_seconds, CAST(f.seq AS DOUBLE)), 6) AS time_s FROM fx f LEFT JOIN (SELECT * FROM tel WHERE is_frame) t USING (frame_count)")
+def query_times(spark, sf):
+    times = views.telemetry(spark, sf).where("is_frame")
+    return rounded(sequence.query_times(views.fixes(spark, sf), times), "dataset_id frame_count", "time_s")
+
+
+@query(f"""{B} SELECT dataset_id, frame_count, CASE WHEN k % 11 = 0 THEN 'no_heading_yet' WHEN rel_alt IS NULL OR rel_alt < 20 THEN 'low_alt' WHEN k % 13 = 0 THEN 'no_image'
+  WHEN k % 17 = 0 THEN 'match_error' WHEN k % 40 < 8 THEN 'few_matches' WHEN k % 23 < 8 THEN 'ransac_fail' ELSE 'ok' END AS status FROM fx""")
+def evaluation_status(spark, sf):
+    k = F.col("k")
+    f = views.fixes(spark, sf).withColumn("heading_deg", F.when(k % 11 != 0, 0.0)).withColumn("has_image", k % 13 != 0).withColumn("matches", F.when(k % 17 != 0, k % 40)).withColumn("inliers", k % 23)
+    return f.select("dataset_id", "frame_count", fusion.evaluation_status().alias("status"))
+
+
+@query(f"{B}, m AS (SELECT dataset_id, frame_count // 8 AS pair, k % 29 - 14 AS dx, k % 31 - 15 AS dy FROM tel) SELECT dataset_id, pair, CASE WHEN count(*) < 4 THEN 0.0::DOUBLE ELSE round(median(dx), 6) END AS dx_px, CASE WHEN count(*) < 4 THEN 0.0::DOUBLE ELSE round(median(dy), 6) END AS dy_px, count(*) AS n_matches FROM m GROUP BY ALL")
+def median_shift(spark, sf):
+    t = views.telemetry(spark, sf).select("dataset_id", F.floor(F.col("frame_count") / 8).alias("pair"), (F.col("k") % 29 - 14).alias("dx"), (F.col("k") % 31 - 15).alias("dy"))
+    return rounded(raster.median_shift(t, ["dataset_id", "pair"]), "dataset_id pair n_matches", "dx_px dy_px")
+
+
+@query(f"{B}, w AS (SELECT dataset_id, frame_count, 200 + k * 7 AS w, 150 + k * 5 AS h FROM tel), s AS (SELECT *, least(1.0::DOUBLE, 518.0::DOUBLE / greatest(w, h)) AS z FROM w) SELECT dataset_id, frame_count, CAST(floor(round(w * z) / 14) * 14 AS BIGINT) AS width, CAST(floor(round(h * z) / 14) * 14 AS BIGINT) AS height FROM s")
+def patch_sizes(spark, sf):
+    t = views.telemetry(spark, sf).withColumn("w", 200 + F.col("k") * 7).withColumn("h", 150 + F.col("k") * 5)
+    w, h = raster.patch_aligned("w", "h")
+    return t.select("dataset_id", "frame_count", w.alias("width"), h.alias("height"))

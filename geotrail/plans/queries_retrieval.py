@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import decoding, gating, pooling, retrieval
+from ..operators import decoding, fusion, gating, pooling, retrieval
 from . import oracle as o
 from . import views
 from .registry import query, rounded, rounded_sql
@@ -197,3 +197,16 @@ def vlad(spark, sf):
     return _dims(pooling.vlad(views.frames(spark, sf), CENTRES, "dataset_id", "v"))
 
 
+
+
+@query(f"{B}, b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY lg_inlier_count DESC, rank) AS n FROM cand) SELECT q, r, lg_inlier_count, round(lg_inlier_ratio, 6) AS lg_inlier_ratio FROM b WHERE n = 1")
+def best_by_inliers(spark, sf):
+    return rounded(fusion.best_by_inliers(views.candidates(spark, sf), "q"), "q r lg_inlier_count", "lg_inlier_ratio")
+
+
+@query(f"{B} SELECT q, 'frame_' || r AS reference_frame_path, CASE WHEN r % 3 <> 0 THEN round(r_lat, 8) END AS ref_lat, CASE WHEN r % 3 <> 0 THEN round(r_lon, 8) END AS ref_lon FROM cand WHERE rank = 1")
+def reference_by_path(spark, sf):
+    path = lambda c: F.concat(F.lit("frame_"), F.col(c).cast("string"))
+    refs = views.frames(spark, sf).where("role = 'reference' and frame_count % 3 <> 0").select(path("frame_count").alias("frame_path"), F.lit(0).alias("src_ord"), F.col("frame_count").alias("seq"), "ground_latitude", "ground_longitude")
+    best = views.candidates(spark, sf).where("rank = 1").select("q", path("r").alias("reference_frame_path"))
+    return rounded(retrieval.position_by_path(best, refs), "q reference_frame_path", "", "ref_lat ref_lon")

@@ -47,6 +47,40 @@ def placemarks(lines: DataFrame, name: str, colour: str = "ff0000ff", width: int
     return lines.select(name, body.alias("xml"))
 
 
+def point_placemarks(points: DataFrame, name: str, lat: str, lon: str, style: str) -> DataFrame:
+    """``xml`` beside each row with a position: a named point of a style."""
+    text = F.concat(F.lit("<Placemark><name>"), escape(F.col(name)), F.lit("</name><styleUrl>#"), F.col(style), F.lit("</styleUrl><Point><coordinates>"), kml_coord(lat, lon), F.lit("</coordinates></Point></Placemark>"))
+    return points.where(valid_coord(lat, lon)).withColumn("xml", text)
+
+
+def error_placemarks(df: DataFrame, name: str, order: str, error: str = "error_m", n: int = 20) -> DataFrame:
+    """A line from the true to the estimated position of each of the ``n`` largest errors."""
+    ends = F.concat_ws(" ", kml_coord("gt_lat", "gt_lon"), kml_coord("est_lat", "est_lon"))
+    fine = df.where(valid_coord("gt_lat", "gt_lon") & valid_coord("est_lat", "est_lon"))
+    return placemarks(worst(fine, error, n, order).withColumn("coordinates", ends), name, "ff00ffff", 2)
+
+
+def live_points(results: DataFrame, order: tuple[str, ...] = ("start_seconds", "frame_count"), first: int = 30, every: int = 5) -> DataFrame:
+    """(dataset_id, idx, label, style, lat, lon): where both paths of a flight start, and their dots of the first rows.
+
+    ``results``: gt_lat, gt_lon, est_lat, est_lon. The estimate starts at its first fix, whose row the label names.
+    """
+    w = Window.partitionBy("dataset_id")
+    known = F.col("est_lat").isNotNull() & F.col("est_lon").isNotNull()
+    r = results.withColumn("idx", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("start", F.min(F.when(known, F.col("idx"))).over(w))
+    r = r.where((F.col("idx") < first) | (F.col("idx") == F.col("start")))
+    dot = (F.col("idx") < first) & (F.col("idx") % every == 0)
+
+    def mark(when, label, style: str, side: str):
+        return F.when(when, F.struct(label.alias("label"), F.lit(style).alias("style"), F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lon").alias("lon")))
+
+    begun = F.when(F.col("idx") > 0, F.format_string("estimate begins at row %d", "idx")).otherwise("estimate begins")
+    marks = F.array(
+        mark(F.col("idx") == 0, F.lit("truth begins"), "truth-start", "gt"), mark(F.col("idx") == F.col("start"), begun, "estimate-start", "est"),
+        mark(dot, F.format_string("truth +%d s", "idx"), "truth-dot", "gt"), mark(dot & known, F.format_string("estimate +%d s", "idx"), "estimate-dot", "est"))
+    return r.select("dataset_id", "idx", F.explode(F.array_compact(marks)).alias("m")).select("dataset_id", "idx", "m.*")
+
+
 def worst(df: DataFrame, error: str, n: int, order: str) -> DataFrame:
     """The ``n`` largest errors, the earlier row of equals."""
     return df.orderBy(F.desc(error), order).limit(n)
@@ -70,10 +104,16 @@ def error_opacity(error: str) -> Column:
     return F.least(F.lit(0.6), 0.1 + F.col(error) / 60.0)
 
 
-def write_svg(points: DataFrame, path: str, order: str, width: float = 1000.0, height: float = 700.0) -> None:
-    """A polyline per flight over :func:`svg_fit` points, and a 50 m bar."""
+def error_lines(points: DataFrame) -> DataFrame:
+    """``xml`` beside each row: a line from (svg_x, svg_y) to (est_x, est_y), the more opaque the larger ``error_m`` is."""
+    shape = F.format_string('<line x1="%.1f" y1="%.1f" x2="%.1f" y2="%.1f" stroke="red" stroke-opacity="%.2f"/>', "svg_x", "svg_y", "est_x", "est_y", error_opacity("error_m"))
+    return points.where("est_x is not null and est_y is not null and error_m is not null").withColumn("xml", shape)
+
+
+def write_svg(points: DataFrame, path: str, order: str, width: float = 1000.0, height: float = 700.0, errors: DataFrame | None = None) -> None:
+    """A polyline per flight over :func:`svg_fit` points, lines of :func:`error_lines`, and a 50 m bar."""
     pts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.format_string("%.1f,%.1f", "svg_x", "svg_y").alias("p"))))
     rows = points.groupBy("dataset_id").agg(F.array_join(F.transform(pts, lambda p: p["p"]), " ").alias("pts"), F.first("scale").alias("scale")).orderBy("dataset_id").collect()
     lines = [f'<polyline fill="none" stroke="black" points="{r["pts"]}"/>' for r in rows]
     bar = [f'<line x1="40" y1="{height - 15}" x2="{40 + 50 * rows[0]["scale"]:.1f}" y2="{height - 15}" stroke="black"/>'] if rows else []
-    Path(path).write_text(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}">\n' + "\n".join(lines + bar) + "\n</svg>\n", encoding="utf-8")
+    Path(path).write_text(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}">\n' + "\n".join(lines + ([r["xml"] for r in errors.select("xml").toLocalIterator()] if errors is not None else []) + bar) + "\n</svg>\n", encoding="utf-8")

@@ -224,3 +224,33 @@ def test_subtitle_forms(spark):
     got = readers.parse_blocks(df).orderBy("subtitle_index").collect()
     assert [(r.frame_count, r.diff_time_ms, r.timestamp) for r in got] == [(7, 33, "2024-01-01  10:00:00.123456"), (8, 40, "2024-01-01 10:00:00.12")]
     assert (got[0].iso, got[0].rel_alt, got[0].abs_alt, got[1].shutter) == (200.0, 1.5, 2.5, "1/50")
+
+
+def test_error_lines_reach_both_reports(spark, tmp_path):
+    rows = [("a", i, 32.0 + i / 1e4, 35.0, 32.0 + i / 1e4, 35.0 + i / 1e5, float(i)) for i in range(4)] + [("a", 4, 32.1, 35.1, None, None, None)]
+    df = spark.createDataFrame(rows, "dataset_id string, seq long, gt_lat double, gt_lon double, est_lat double, est_lon double, error_m double").withColumn("name", F.format_string("frame %d & more", "seq"))
+    xml = [r.xml for r in sinks.error_placemarks(df, "name", "seq", n=2).collect()]
+    assert [x[:42] for x in xml] == ["<Placemark><name>frame 3 &amp; more</name>", "<Placemark><name>frame 2 &amp; more</name>"]
+    assert "35.00000000,32.00030000,0.00 35.00003000,32.00030000,0.00" in xml[0]
+    points = sinks.svg_fit(df.withColumn("x", F.col("seq") * 10.0).withColumn("y", F.col("seq") * 5.0), "x", "y")
+    lines = sinks.error_lines(points.withColumn("est_x", F.when(F.col("est_lat").isNotNull(), F.col("svg_x") + 1)).withColumn("est_y", F.col("svg_y")))
+    assert lines.count() == 4
+    sinks.write_svg(points, str(tmp_path / "a.svg"), "seq", errors=lines)
+    assert (tmp_path / "a.svg").read_text().count('stroke="red"') == 4
+
+
+def test_live_points_of_a_flight_without_a_fix_and_one_that_begins_late(spark):
+    df = spark.createDataFrame([(d, i, float(i), 32.0, 35.0, 32.1 if d == "b" and i >= 40 else None, 35.1) for d in "ab" for i in range(45)], "dataset_id string, frame_count long, start_seconds double, gt_lat double, gt_lon double, est_lat double, est_lon double")
+    got = {(r.dataset_id, r.idx, r.label) for r in sinks.live_points(df).collect()}
+    dots = {(d, i, f"truth +{i} s") for d in "ab" for i in range(0, 30, 5)}
+    assert got == dots | {("a", 0, "truth begins"), ("b", 0, "truth begins"), ("b", 40, "estimate begins at row 40")}
+    assert sinks.live_points(df.limit(0)).count() == 0
+
+
+def test_times_and_paths_take_the_last_of_equal_keys(spark):
+    times = spark.createDataFrame([(1, 0, 5.0), (1, 1, 6.0), (None, 2, 7.0)], "frame_count long, seq long, start_seconds double")
+    got = sequence.query_times(spark.createDataFrame([(1, 8), (2, 9), (None, 10)], "frame_count long, seq long"), times).collect()
+    assert {(r.frame_count, r.time_s) for r in got} == {(1, 6.0), (2, 9.0), (None, 10.0)}
+    refs = spark.createDataFrame([(0, 5, "p", 1.0, 2.0), (1, 0, "p", 3.0, 4.0), (0, 0, None, 5.0, 6.0)], "src_ord int, seq long, frame_path string, ground_latitude double, ground_longitude double")
+    got = retrieval.position_by_path(spark.createDataFrame([("p",), ("x",), (None,)], "reference_frame_path string"), refs).collect()
+    assert {(r.reference_frame_path, r.ref_lat, r.ref_lon) for r in got} == {("p", 3.0, 4.0), ("x", None, None), (None, None, None)}

@@ -437,9 +437,9 @@ def evaluation_status(spark, sf):
     return f.select("dataset_id", "frame_count", fusion.evaluation_status().alias("status"))
 
 
-@query(f"{B}, m AS (SELECT dataset_id, frame_count // 8 AS pair, k % 29 - 14 AS dx, k % 31 - 15 AS dy FROM tel) SELECT dataset_id, pair, CASE WHEN count(*) < 4 THEN 0.0::DOUBLE ELSE round(median(dx), 6) END AS dx_px, CASE WHEN count(*) < 4 THEN 0.0::DOUBLE ELSE round(median(dy), 6) END AS dy_px, count(*) AS n_matches FROM m GROUP BY ALL")
+@query(f"{B}, m AS (SELECT dataset_id, seq // 8 AS pair, k % 29 - 14 AS dx, k % 31 - 15 AS dy FROM tel) SELECT dataset_id, pair, CASE WHEN count(*) < 4 THEN 0.0::DOUBLE ELSE round(median(dx), 6) END AS dx_px, CASE WHEN count(*) < 4 THEN 0.0::DOUBLE ELSE round(median(dy), 6) END AS dy_px, count(*) AS n_matches FROM m GROUP BY ALL")
 def median_shift(spark, sf):
-    t = views.telemetry(spark, sf).select("dataset_id", F.floor(F.col("frame_count") / 8).alias("pair"), (F.col("k") % 29 - 14).alias("dx"), (F.col("k") % 31 - 15).alias("dy"))
+    t = views.telemetry(spark, sf).select("dataset_id", F.floor(F.col("seq") / 8).alias("pair"), (F.col("k") % 29 - 14).alias("dx"), (F.col("k") % 31 - 15).alias("dy"))
     return rounded(raster.median_shift(t, ["dataset_id", "pair"]), "dataset_id pair n_matches", "dx_px dy_px")
 
 

@@ -17,8 +17,11 @@ _S = "dataset_id frame_count", "", "filled_lat filled_lon smoothed_lat smoothed_
 
 
 def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    """A folder of its own in the shared checkpoint folder; only local mode may do without that setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}"
 
 
 def _streamed(spark, sf) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lexical_search import RANKED_SQL
+from .merkle import MANIFEST_SQL
 from .mixing import mix_sql
 from .onebit_ann import NEAREST_SQL
 from .substring_dedup import REPEATS_SQL
@@ -94,5 +96,28 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_media": op2_media, "op3_license": op3_license, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_language": op6_language, "op7_substring": op7_substring, "op8_nearest": op8_nearest, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mix_sql(), "op7_substring": REPEATS_SQL, "op8_nearest": NEAREST_SQL}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import merkle_manifest
+
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    return merkle_manifest(documents(spark, sf_dir), tampered)
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import ranked_documents
+
+    return ranked_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_shards import lookup, write_shards
+
+    docs = documents(spark, sf_dir)
+    shards = write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return lookup(shards, docs.select("doc_id").distinct()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_media": op2_media, "op3_license": op3_license, "op4_bpe": op4_bpe, "op5_pii": op5_pii, "op6_language": op6_language, "op7_substring": op7_substring, "op8_nearest": op8_nearest, "op9_simhash": op9_simhash, "op10_toxicity": op10_toxicity, "op11_merkle": op11_merkle, "op12_lexical": op12_lexical, "op13_token_ids": op13_token_ids}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mix_sql(), "op7_substring": REPEATS_SQL, "op8_nearest": NEAREST_SQL, "op11_merkle": MANIFEST_SQL, "op12_lexical": RANKED_SQL}

@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import Cache, slices
+from .bpe import ENTRY_BYTES
 from .common import cut_table, emit_arrow, ensure_checkpoint_dir, texts
 from .substring_dedup import mix
 
@@ -35,7 +36,9 @@ SHARD_DOCS, SHARD_IDS = 1 << 22, 1 << 31
 #: Bits of a level for each key that comes to it, and the salt between levels.
 GAMMA, LEVEL_SALT, PRINT_SALT = 2, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bytes that a Python worker spends on the ids of chunks of text, and characters of a chunk that is kept.
-CHUNK_BYTES, CHUNK_CHARS = 96 << 20, 48
+CHUNK_BYTES, CHUNK_CHARS = 288 << 20, 48
+#: Characters of texts that are encoded together.
+SLICE_CHARS = 1 << 21
 END_ID = 0
 MAGIC = b"IDSHARD1"
 #: Size of an id, documents, distinct keys, ids, documents with a null key, words of bits, levels.
@@ -43,6 +46,8 @@ FOOTER = struct.Struct("<8sBQQQQQQ")
 
 #: A space that no character but white space follows; with some that other tables may count as white space.
 _DOUBLE = re.compile("[ ](?![^\\s᠎​⁠﻿])")
+#: A space, letters of Latin blocks that hold nothing else, and one sign that stands alone.
+_SIGNED = re.compile("[ ][A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+[.,;:!?]")
 _BORDER = re.compile("(?=[ ][^\\s᠎​⁠﻿])")
 
 
@@ -51,13 +56,17 @@ class ChunkEncoder:
     """The library's encoder over chunks of text that it splits in any case, with the ids of short chunks kept.
 
     The byte-level rule takes at most one space before a word, number or sign into its token, so a token starts at every
-    space that other than white space follows, whatever stands around; whole texts and their chunks have the same ids.
+    space that other than white space follows, whatever stands around. Whole texts, their chunks, and any chunks put
+    together have the same ids, so all new chunks of a slice are encoded as one text and parted by the bytes of their ids.
     """
 
     library: Tokenizer
     in_chunks: bool
     dtype: np.dtype
-    kept: Cache = field(default_factory=lambda: Cache(CHUNK_BYTES))
+    #: bytes of text that each id stands for
+    size: np.ndarray
+    kept: dict[str, bytes] = field(default_factory=dict)
+    used: int = 0
 
     @classmethod
     def from_json(cls, data: bytes) -> ChunkEncoder:
@@ -65,10 +74,16 @@ class ChunkEncoder:
         library = Tokenizer.from_str(data.decode())
         library.no_truncation()
         library.no_padding()
-        pre = spec.get("pre_tokenizer") or {}
-        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec.get("added_tokens", []))
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added)
         in_chunks = plain and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        return cls(library, in_chunks, np.dtype("<u2" if library.get_vocab_size() <= 1 << 16 else "<u4"))
+        vocab = library.get_vocab()
+        size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            size[i] = len(token)  # a character of the byte alphabet is a byte
+        for t in added:
+            size[t["id"]] = len(t["content"].encode())
+        return cls(library, in_chunks, np.dtype("<u2" if len(size) <= 1 << 16 else "<u4"), size)
 
     def chunks(self, text: str) -> list[str]:
         if not self.in_chunks:
@@ -77,13 +92,61 @@ class ChunkEncoder:
 
     def encode_all(self, batch: list[str | None]) -> list[bytes]:
         """Of each text the ids in bytes; null: none."""
+        kept = self.kept
         split = [self.chunks(t) if t else [] for t in batch]
-        known, other = self.kept.find(c for own in split for c in own)
-        for c, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False) if other else [], strict=True):
-            known[c] = raw = np.array(e.ids, self.dtype).tobytes()
-            if len(c) <= CHUNK_CHARS:
-                self.kept.put(c, raw)
-        return [b"".join([known[c] for c in own]) for own in split]
+        flat = list(chain.from_iterable(split))
+        found = list(map(kept.get, flat))
+        holes = [k for k, raw in enumerate(found) if raw is None]
+        new = {flat[k] for k in holes}
+        signed = {}
+        if self.in_chunks:
+            # a word and a sign behind it are two tokens or more, so the word's ids serve both with and without
+            signed = {c: (c[:-1], c[-1]) for c in filter(_SIGNED.fullmatch, new)}
+            wanted = new.difference(signed).union(*signed.values()).difference(kept)
+            together = [c for c in wanted if c[:1] == " " and not _DOUBLE.match(c)]
+            kept.update(self._parted(together))
+            alone = list(wanted.difference(together))
+        else:
+            wanted, alone = new, list(new)
+        for c, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False) if alone else [], strict=True):
+            kept[c] = np.array(e.ids, self.dtype).tobytes()
+        for c, (word, sign) in signed.items():
+            kept[c] = kept[word] + kept[sign]
+        for k in holes:
+            found[k] = kept[flat[k]]
+        ends = [0, *accumulate(map(len, split))]
+        out = [b"".join(found[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        for c in [c for c in wanted if len(c) > CHUNK_CHARS]:
+            del kept[c]
+        self.used += sum(len(own) * ENTRY_BYTES + sum(map(len, own)) * (1 + self.dtype.itemsize) for own in (wanted, signed))
+        if self.used > CHUNK_BYTES:
+            self.kept, self.used = {}, 0
+        return out
+
+    def _parted(self, chunks: list[str]) -> dict[str, bytes]:
+        if not chunks:
+            return {}
+        ids = np.array(self.library.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(self.size[ids])
+        upto = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), np.int64, len(chunks)))
+        cut = np.searchsorted(ends, upto) + 1
+        if cut[-1] != len(ids) or (ends[cut - 1] != upto).any():
+            raise RuntimeError("the library's ids do not part at chunks")
+        raw, at = ids.astype(self.dtype).tobytes(), (cut * self.dtype.itemsize).tolist()
+        return {c: raw[a:b] for c, a, b in zip(chunks, [0, *at], at, strict=False)}
+
+
+def parts_of(batch: list[str | None]) -> Iterator[list[str | None]]:
+    """``batch`` in parts of about SLICE_CHARS characters at most; a longer text is a part of its own."""
+    part, chars = [], 0
+    for t in batch:
+        if part and chars + len(t or "") > SLICE_CHARS:
+            yield part
+            part, chars = [], 0
+        part.append(t)
+        chars += len(t or "")
+    if part:
+        yield part
 
 
 _encoders: dict[bytes, ChunkEncoder] = {}
@@ -261,7 +324,7 @@ def write_shards(docs: DataFrame, vocab_path: str, text: str = "text", key: str
         made, now = [], None
         for batch in batches:
             keys = iter(batch.column(batch.schema.get_field_index("key")).to_pylist())
-            for part in slices(texts(batch, "text")):
+            for part in parts_of(texts(batch, "text")):
                 for raw in codec.encode_all(part):
                     now = now or ShardWriter(folder, f"{task:08d}-{len(made):05d}-{attempt}.ids", codec.dtype)
                     now.add(next(keys), raw + end)

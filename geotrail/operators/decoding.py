@@ -59,36 +59,78 @@ def first_order(unary: list[np.ndarray], xy: list[np.ndarray], cfg: Costs) -> li
     return path[::-1]
 
 
-def second_order(unary: list[np.ndarray], xy: list[np.ndarray], cfg: Costs, lag: int | None = None) -> list[int]:
-    """Viterbi over pairs. With ``lag`` a frame is decided once ``lag`` more are known, and stays as decided."""
-    n = len(unary)
-    if n < 3:
-        return first_order(unary, xy, cfg)
-    cost = unary[0][:, None] + unary[1][None, :] + _step(xy[0], xy[1], cfg)
-    parents: list[np.ndarray] = []
-    out: list[int] = []
+class OnlineDecoder:
+    """Second-order Viterbi, a frame at a time. With ``lag`` a frame is decided once ``lag`` more are known and stays so.
 
-    def path(step: int) -> list[int]:
-        a, b = np.unravel_index(int(cost.argmin()), cost.shape)
+    It holds the costs of the pairs of the last two frames, their places, and the parents of the last ``lag - 1`` steps
+    (all without a lag), so a step costs the same however long the flight is. Flights of fewer than three frames are
+    decoded in first order where nothing is decided before they end.
+    """
+
+    STATE = "seen long, decided long, unary array<array<double>>, xs array<array<double>>, ys array<array<double>>, cost array<array<double>>, parents array<array<array<int>>>"
+
+    def __init__(self, lag: int | None, cfg: Costs):
+        self.lag, self.cfg = lag, cfg
+        self.seen, self.decided = 0, 0
+        self.unary: list[np.ndarray] = []
+        self.xy: list[np.ndarray] = []
+        self.cost = np.zeros((0, 0))
+        self.parents: list[np.ndarray] = []
+
+    @classmethod
+    def of(cls, lag: int | None, cfg: Costs, state: tuple) -> OnlineDecoder:
+        d = cls(lag, cfg)
+        d.seen, d.decided, unary, xs, ys, cost, parents = state
+        d.unary, d.xy = [np.array(u, float) for u in unary], [np.column_stack([x, y]) for x, y in zip(xs, ys, strict=True)]
+        d.cost, d.parents = np.array([list(r) for r in cost], float), [np.array([list(r) for r in p], int) for p in parents]
+        return d
+
+    def state(self) -> tuple:
+        return (
+            self.seen, self.decided, [u.tolist() for u in self.unary], [p[:, 0].tolist() for p in self.xy], [p[:, 1].tolist() for p in self.xy], self.cost.tolist(), [p.tolist() for p in self.parents],
+        )
+
+    def push(self, unary, xy) -> list[int]:
+        """Takes the candidates of the next frame; gives the choices for the frames that this decides, from ``decided`` on."""
+        unary, xy = np.asarray(unary, float), np.asarray(xy, float)
+        if self.seen == 1:
+            self.cost = self.unary[0][:, None] + unary[None, :] + _step(self.xy[0], xy, self.cfg)
+        elif self.seen > 1:
+            total = self.cost[:, :, None] + unary[None, None, :] + _step(self.xy[1], xy, self.cfg)[None] + _bend(self.xy[0], self.xy[1], xy, self.cfg)
+            self.parents.append(total.argmin(axis=0))
+            self.cost = total.min(axis=0)
+            if self.lag is not None:
+                self.parents = self.parents[max(0, len(self.parents) - max(self.lag - 1, 0)) :]
+        self.unary, self.xy = [*self.unary, unary][-2:], [*self.xy, xy][-2:]
+        self.seen += 1
+        return self._decide(self.seen - 1 - self.lag) if self.lag is not None and self.seen > 1 else []
+
+    def _decide(self, upto: int) -> list[int]:
+        if upto < self.decided:
+            return []
+        a, b = np.unravel_index(int(self.cost.argmin()), self.cost.shape)
         found = [int(b), int(a)]
-        for p in reversed(parents[: step - 1]):
+        for p in reversed(self.parents):
+            if len(found) >= self.seen - self.decided:
+                break
             found.append(int(p[found[-1], found[-2]]))
-        return found[::-1]
+        out = found[::-1][max(0, len(found) - (self.seen - self.decided)) :][: upto + 1 - self.decided]
+        self.decided = upto + 1
+        return out
 
-    def decide(step: int, upto: int) -> None:
-        if upto >= len(out):
-            out.extend(path(step)[len(out) : upto + 1])
+    def finish(self) -> list[int]:
+        """Choices for the frames that are left."""
+        if self.seen < 3 and not self.decided:
+            return first_order(self.unary, self.xy, self.cfg) if self.seen else []
+        return self._decide(self.seen - 1)
 
-    if lag is not None:
-        decide(1, 1 - lag)
-    for k in range(2, n):
-        total = cost[:, :, None] + unary[k][None, None, :] + _step(xy[k - 1], xy[k], cfg)[None] + _bend(xy[k - 2], xy[k - 1], xy[k], cfg)
-        parents.append(total.argmin(axis=0))
-        cost = total.min(axis=0)
-        if lag is not None:
-            decide(k, k - lag)
-    decide(n - 1, n - 1)
-    return out
+
+def second_order(unary: list[np.ndarray], xy: list[np.ndarray], cfg: Costs, lag: int | None = None) -> list[int]:
+    """Viterbi over pairs, at once or with a fixed lag."""
+    if len(unary) < 3:
+        return first_order(unary, xy, cfg)
+    decoder = OnlineDecoder(lag, cfg)
+    return [k for u, p in zip(unary, xy, strict=True) for k in decoder.push(u, p)] + decoder.finish()
 
 
 def decode(candidates: DataFrame, order: int = 1, cfg: Costs = Costs(), lag: int | None = None) -> DataFrame:

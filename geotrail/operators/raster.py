@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
 
@@ -54,6 +59,86 @@ def sampling_grid(frames: DataFrame, size: int = 512, gsd_m: float = 0.5, hfov_d
     return g.withColumn("map_x", F.when(ahead, m["fx"] * cam[0] / cam[2] + m["cx"]).otherwise(-1.0)).withColumn("map_y", F.when(ahead, m["fy"] * cam[1] / cam[2] + m["cy"]).otherwise(-1.0))
 
 
+def ground_planes(altitude: np.ndarray, angle: np.ndarray, heading: np.ndarray, size: int, gsd_m: float) -> np.ndarray:
+    """Of each frame the 3 x 3 matrix from (1, row, column) of its top-down view to camera coordinates.
+
+    The view lies in a plane, so camera coordinates are linear in row and column: three numbers a coordinate say it all.
+    """
+    th, psi = np.radians(angle), np.radians(heading)
+    st, ct, sp, cp = np.sin(th), np.cos(th), np.sin(psi), np.cos(psi)
+    tangent = np.tan(th)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(np.abs(tangent) < 1e-6, 0.0, altitude / tangent)
+    east, north, zero = -size / 2.0 * gsd_m + far * sp, size / 2.0 * gsd_m + far * cp, np.zeros_like(far)
+    points = np.stack([np.stack([east, north, -altitude]), np.stack([zero, zero - gsd_m, zero]), np.stack([zero + gsd_m, zero, zero])])  # at 0, a row, a column
+    turn = np.stack([np.stack([cp, -sp, zero]), np.stack([-st * sp, -st * cp, -ct]), np.stack([ct * sp, ct * cp, -st])])  # camera axes in east, north, up
+    return np.einsum("cwf,pwf->fcp", turn, points)
+
+
+def grid_rows(frames: DataFrame, keys: list[str], size: int = 512, gsd_m: float = 0.5, hfov_deg: float = 82.0, width: int = 1920, height: int = 1080, arrays: bool = True) -> DataFrame:
+    """The positions of :func:`sampling_grid` a row of the view at a time: ``keys``, row, n_ahead, n_inside, sum_x, sum_y.
+
+    ``n_ahead`` pixels lie before the camera, ``n_inside`` of them in the image, whose positions ``sum_x`` and ``sum_y``
+    add up; with ``arrays`` also ``map_x`` and ``map_y``. A frame's rows are made by one kernel from its plane, so what is
+    shuffled or kept is a row of ``size`` positions, not a row a position. Frames with a null have no row.
+    """
+    m = geo.camera_matrix(width, height, hfov_deg)
+    fields = "row int, n_ahead int, n_inside int, sum_x double, sum_y double" + ", map_x array<double>, map_y array<double>" * arrays
+    schema = T.StructType([*[frames.schema[k] for k in keys], *T.StructType.fromDDL(fields)])
+    steps = np.arange(size, dtype=np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.float64)  # noqa: E731, B023
+            planes = ground_planes(get("altitude"), get("angle"), get("heading"), size, gsd_m)
+            for f, plane in enumerate(planes):
+                x, y, z = (p[0] + p[1] * steps[:, None] + p[2] * steps[None, :] for p in plane)
+                ahead = z > 1e-3
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    x, y = np.where(ahead, m["fx"] * x / z + m["cx"], -1.0), np.where(ahead, m["fy"] * y / z + m["cy"], -1.0)
+                inside = ahead & (x >= 0) & (x < width) & (y >= 0) & (y < height)
+                cols = [batch.column(batch.schema.get_field_index(k)).take(pa.array(np.full(size, f))) for k in keys]
+                cols += [pa.array(np.arange(size), pa.int32()), pa.array(ahead.sum(axis=1), pa.int32()), pa.array(inside.sum(axis=1), pa.int32()), pa.array(np.where(inside, x, 0.0).sum(axis=1)), pa.array(np.where(inside, y, 0.0).sum(axis=1))]
+                if arrays:
+                    cols += [pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * size, pa.int32()), pa.array(v.ravel())) for v in (x, y)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    slim = frames.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("altitude", "angle", "heading")])
+    return slim.dropna(subset=["altitude", "angle", "heading"]).mapInArrow(run, schema)
+
+
+def view_coverage(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per frame the pixels of the view ahead of the camera and inside the image, and the mean position of the latter."""
+    mean = lambda c: F.when(F.sum("n_inside") > 0, F.sum(c) / F.sum("n_inside"))
+    return rows.groupBy(*keys).agg(F.sum("n_ahead").alias("n_ahead"), F.sum("n_inside").alias("n_inside"), mean("sum_x").alias("mean_x"), mean("sum_y").alias("mean_y"))
+
+
+def inlier_mask(points: Column, matrix: Column, threshold: float) -> Column:
+    """Which correspondences of ``points`` (array of x0, y0, x1, y1) the 3 x 3 ``matrix`` (nine numbers by row) explains.
+
+    An inlier's image lies within ``threshold`` of (x1, y1), the threshold included; a point that goes to infinity, or
+    whose place or matrix is null or not a number, is none. Thresholds of the loop: 4.0 for tiles, 5.0 for frames.
+    """
+
+    def one(p: Column) -> Column:
+        h = [F.get(matrix, F.lit(i)) for i in range(9)]
+        w = h[6] * p["x0"] + h[7] * p["y0"] + h[8]
+        dx, dy = (h[0] * p["x0"] + h[1] * p["y0"] + h[2]) / w - p["x1"], (h[3] * p["x0"] + h[4] * p["y0"] + h[5]) / w - p["y1"]
+        far = F.sqrt(dx * dx + dy * dy)
+        return F.coalesce(F.when(F.abs(w) > 0, ~F.isnan(far) & (far <= threshold)), F.lit(False))
+
+    return F.transform(points, one)
+
+
+def with_inliers(pairs: DataFrame, points: str, matrix: str, threshold: float, least: int = 4) -> DataFrame:
+    """``mask``, ``n_matches``, ``inliers`` and ``inlier_ratio``; a pair of fewer than ``least`` matches has no inlier."""
+    n = F.coalesce(F.size(F.col(points)), F.lit(0))
+    mask = F.when(n >= least, inlier_mask(F.col(points), F.col(matrix), threshold)).otherwise(F.transform(F.coalesce(F.col(points), F.array().cast(pairs.schema[points].dataType)), lambda _: F.lit(False)))
+    out = pairs.withColumn("mask", F.coalesce(mask, F.array().cast("array<boolean>"))).withColumn("n_matches", F.greatest(n, F.lit(0)))
+    out = out.withColumn("inliers", F.size(F.filter("mask", lambda x: x)))
+    return out.withColumn("inlier_ratio", F.col("inliers") / F.greatest(F.col("n_matches"), F.lit(1)))
+
+
 def patch_aligned(width: str, height: str, patch: int = 14, most: int = 518) -> tuple:
     """Size of an image after a thumbnail of at most ``most`` and a crop to whole patches."""
     w, h = F.col(width), F.col(height)

@@ -126,6 +126,10 @@ def early_rows(df: DataFrame, first: int = 30, every: int = 5, order: tuple[str,
 
 
 def query_times(results: DataFrame, times: DataFrame, place: str = "seq") -> DataFrame:
-    """``time_s`` of each row: of its ``frame_count`` in ``times`` (of several the last), else its own place."""
-    known = dedupe_keep_last(times, "frame_count").select("frame_count", F.col("start_seconds").alias("__t"))
-    return results.join(known, "frame_count", "left").withColumn("time_s", F.coalesce("__t", F.col(place).cast("double"))).drop("__t")
+    """``time_s`` of each row: of its flight and ``frame_count`` in ``times`` (of several the last), else its own place.
+
+    Flights number their frames alike, so the flight is part of the key wherever both tables name it.
+    """
+    keys = [c for c in (FLIGHT, "frame_count") if c in results.columns and c in times.columns]
+    known = dedupe_keep_last(times, *keys).select(*keys, F.col("start_seconds").alias("__t"))
+    return results.join(known, keys, "left").withColumn("time_s", F.coalesce("__t", F.col(place).cast("double"))).drop("__t")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Projection
 from ..functions import geo
-from ..operators import fusion, projection, raster, sequence, smoothing
+from ..operators import fusion, projection, raster, scans, sequence, smoothing
 from ..sources import readers, sinks
 from . import oracle as o
 from . import views
@@ -187,6 +187,31 @@ def gapfill_causal(spark, sf):
     return rounded(f.withColumn("cf_lat", smoothing.fill_causal("raw_lat")).withColumn("cf_lon", smoothing.fill_causal("raw_lon")), "dataset_id frame_count", "", "cf_lat cf_lon")
 
 
+#: Rows of a block in the queries over blocks; flights of the tables are short.
+BLOCK_ROWS = 1000
+
+
+def _blocked(df: DataFrame) -> DataFrame:
+    return scans.in_blocks(df, BLOCK_ROWS)
+
+
+@query(f"{B} SELECT {rounded_sql('dataset_id frame_count', '', 'cf_lat cf_lon bf_lat bf_lon')} FROM ff")
+def gapfill_blocked(spark, sf):
+    f = scans.fill_forward(_blocked(views.fixes(spark, sf)), ["raw_lat", "raw_lon"], "_cf")
+    f = scans.fill_backward(f, ["raw_lat", "raw_lon"], "_next")
+    f = f.withColumn("cf_lat", F.col("raw_lat_cf")).withColumn("cf_lon", F.col("raw_lon_cf"))
+    return rounded(f.withColumn("bf_lat", F.coalesce("raw_lat_cf", "raw_lat_next", F.lit(0.0))).withColumn("bf_lon", F.coalesce("raw_lon_cf", "raw_lon_next", F.lit(0.0))), "dataset_id frame_count", "", "cf_lat cf_lon bf_lat bf_lon")
+
+
+@query(f"""{B}, s AS (SELECT *, sqrt(pow(x_m - lag(x_m) OVER w, 2) + pow(y_m - lag(y_m) OVER w, 2)) AS d FROM vxy WINDOW w AS {o.W})
+SELECT dataset_id, frame_count, round(coalesce(d, 0), 6) AS step_m, round(sum(coalesce(d, 0)) OVER (PARTITION BY dataset_id ORDER BY start_seconds, frame_count ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS path_so_far_m FROM s""")
+def path_so_far(spark, sf):
+    b = scans.with_neighbours(_blocked(sequence.with_local_xy(_valid(spark, sf))), 1, 0, BLOCK_ROWS)
+    d = geo.length(F.col("x_m") - scans.neighbour("x_m", -1), F.col("y_m") - scans.neighbour("y_m", -1))
+    b = b.withColumn("step_m", F.coalesce(d, F.lit(0.0))).where("own").drop("own")
+    return rounded(scans.running_sum(b, ["step_m"]).withColumnRenamed("step_m_sum", "path_so_far_m"), "dataset_id frame_count", "step_m path_so_far_m")
+
+
 @query(f"""{B}, b AS (SELECT f.*, (SELECT max(g.seq) FROM fx g WHERE g.dataset_id = f.dataset_id AND g.raw_lat IS NOT NULL AND g.seq <= f.seq) AS s0,
   (SELECT min(g.seq) FROM fx g WHERE g.dataset_id = f.dataset_id AND g.raw_lat IS NOT NULL AND g.seq >= f.seq) AS s1 FROM fx f),
 i AS (SELECT b.dataset_id, b.frame_count, CASE WHEN b.raw_lat IS NOT NULL THEN 'FIX' ELSE 'INTERPOLATED' END AS method, b.seq, s0, s1, a.raw_lat AS la, a.raw_lon AS oa, c.raw_lat AS lc, c.raw_lon AS oc
@@ -376,14 +401,20 @@ def camera_rotation(spark, sf):
     return _cameras(spark, sf).select("dataset_id", "frame_count", *cells)
 
 
-@query(f"""{_cam}, g AS (SELECT a.*, i AS row, j AS col, (j - 4.0::DOUBLE) * 20.0::DOUBLE + altitude / tg * sp AS gx, (4.0::DOUBLE - i) * 20.0::DOUBLE + altitude / tg * cp AS gy, -altitude AS gz
-  FROM a, unnest(range(0, 8)) AS x(i), unnest(range(0, 8)) AS y(j)),
-k AS (SELECT *, cp * gx - sp * gy AS kx, -st * sp * gx - st * cp * gy - ct * gz AS ky, ct * sp * gx + ct * cp * gy - st * gz AS kz FROM g)
-SELECT dataset_id, frame_count, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(CASE WHEN kz > 1e-3 THEN {o.num(_m['fx'])} * kx / kz + {o.num(_m['cx'])} ELSE -1 END, 2) AS map_x,
-  round(CASE WHEN kz > 1e-3 THEN {o.num(_m['fy'])} * ky / kz + {o.num(_m['cy'])} ELSE -1 END, 2) AS map_y FROM k""")
+GRID = 512
+_ahead = "kz > 1e-3::DOUBLE"
+
+
+@query(f"""{_cam}, g AS (SELECT a.*, (j - {GRID / 2}::DOUBLE) * 0.5::DOUBLE + altitude / tg * sp AS gx, ({GRID / 2}::DOUBLE - i) * 0.5::DOUBLE + altitude / tg * cp AS gy, -altitude AS gz
+  FROM a, unnest(range(0, {GRID})) AS x(i), unnest(range(0, {GRID})) AS y(j)),
+k AS (SELECT dataset_id, frame_count, cp * gx - sp * gy AS kx, -st * sp * gx - st * cp * gy - ct * gz AS ky, ct * sp * gx + ct * cp * gy - st * gz AS kz FROM g),
+m AS (SELECT dataset_id, frame_count, {_ahead} AS ahead, CASE WHEN {_ahead} THEN {o.num(_m['fx'])} * kx / kz + {o.num(_m['cx'])} ELSE -1 END AS mx, CASE WHEN {_ahead} THEN {o.num(_m['fy'])} * ky / kz + {o.num(_m['cy'])} ELSE -1 END AS my FROM k),
+n AS (SELECT *, ahead AND mx >= 0 AND mx < 1920 AND my >= 0 AND my < 1080 AS inside FROM m)
+SELECT dataset_id, frame_count, CAST(count(*) FILTER (ahead) AS BIGINT) AS n_ahead, CAST(count(*) FILTER (inside) AS BIGINT) AS n_inside, round(avg(mx) FILTER (inside), 4) AS mean_x, round(avg(my) FILTER (inside), 4) AS mean_y FROM n GROUP BY dataset_id, frame_count""")
 def ipm_grid(spark, sf):
-    g = raster.sampling_grid(_cameras(spark, sf), size=8, gsd_m=20.0)
-    return g.select("dataset_id", "frame_count", "row", "col", F.round("map_x", 2).alias("map_x"), F.round("map_y", 2).alias("map_y"))
+    keys = ["dataset_id", "frame_count"]
+    c = raster.view_coverage(raster.grid_rows(_cameras(spark, sf), keys, arrays=False), keys)
+    return c.select(*keys, "n_ahead", "n_inside", F.round("mean_x", 4).alias("mean_x"), F.round("mean_y", 4).alias("mean_y"))
 
 
 _hv = o.num(o.vertical_fov(82.0, 1920, 1080) / 2)
@@ -405,6 +436,22 @@ def homography_point(spark, sf):
     return _cameras(spark, sf).select("dataset_id", "frame_count", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
 
 
+# --- inliers of a given matrix: each eight rows of a flight are the matches of a pair
+
+
+@query(f"""{B}, p AS (SELECT dataset_id, (seq - 1) // 8 AS pair, k, frame_count % 500 + 0.0::DOUBLE AS x0, k * 3.0::DOUBLE AS y0 FROM tel),
+h AS (SELECT dataset_id, pair, count(*) AS n, min(k) * 1e-5::DOUBLE AS g FROM p GROUP BY ALL),
+d AS (SELECT p.dataset_id, p.pair, n, (x0 + 0.1::DOUBLE * y0 + 3) / (g * x0 + 1) - (x0 + 0.1::DOUBLE * y0 + 3 + k % 9 - 4) AS dx, (y0 - 2) / (g * x0 + 1) - (y0 - 2 + k % 5 - 2) AS dy FROM p JOIN h ON p.dataset_id = h.dataset_id AND p.pair = h.pair)
+SELECT dataset_id, pair, CAST(n AS INTEGER) AS n_matches, CAST(CASE WHEN n < 4 THEN 0 ELSE count(*) FILTER (sqrt(dx * dx + dy * dy) <= 4.0::DOUBLE) END AS INTEGER) AS inliers,
+  round(CASE WHEN n < 4 THEN 0 ELSE count(*) FILTER (sqrt(dx * dx + dy * dy) <= 4.0::DOUBLE) END / CAST(n AS DOUBLE), 6) AS inlier_ratio FROM d GROUP BY dataset_id, pair, n""")
+def homography_inliers(spark, sf):
+    k, x, y = F.col("k"), F.col("frame_count") % 500 + 0.0, F.col("k") * 3.0
+    p = views.telemetry(spark, sf).select("dataset_id", F.floor((F.col("seq") - 1) / 8).alias("pair"), "k", F.struct(x.alias("x0"), y.alias("y0"), (x + 0.1 * y + 3 + k % 9 - 4).alias("x1"), (y - 2 + k % 5 - 2).alias("y1")).alias("p"))
+    g = p.groupBy("dataset_id", "pair").agg(F.collect_list("p").alias("points"), (F.min("k") * 1e-5).alias("g"))  # at most eight
+    g = g.withColumn("h", F.array(*[F.lit(v) for v in (1.0, 0.1, 3.0, 0.0, 1.0, -2.0)], F.col("g"), F.lit(0.0), F.lit(1.0)))
+    return raster.with_inliers(g, "points", "h", 4.0).select("dataset_id", "pair", "n_matches", "inliers", F.round("inlier_ratio", 6).alias("inlier_ratio"))
+
+
 @query(f"""{B}, i AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY start_seconds, frame_count) - 1 AS idx FROM fx),
 s AS (SELECT *, min(CASE WHEN raw_lat IS NOT NULL THEN idx END) OVER (PARTITION BY dataset_id) AS start FROM i),
 m AS (
@@ -423,7 +470,7 @@ def early_rows(spark, sf):
     return sequence.early_rows(views.telemetry(spark, sf)).select("dataset_id", "frame_count", "idx")
 
 
-@query(f"{B} SELECT f.dataset_id, f.frame_count, round(coalesce(t.start_seconds, CAST(f.seq AS DOUBLE)), 6) AS time_s FROM fx f LEFT JOIN (SELECT * FROM tel WHERE is_frame) t USING (frame_count)")
+@query(f"{B} SELECT f.dataset_id, f.frame_count, round(coalesce(t.start_seconds, CAST(f.seq AS DOUBLE)), 6) AS time_s FROM fx f LEFT JOIN (SELECT * FROM tel WHERE is_frame) t USING (dataset_id, frame_count)")
 def query_times(spark, sf):
     times = views.telemetry(spark, sf).where("is_frame")
     return rounded(sequence.query_times(views.fixes(spark, sf), times), "dataset_id frame_count", "time_s")

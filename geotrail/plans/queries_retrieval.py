@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import decoding, fusion, gating, pooling, retrieval
+from ..operators import decoding, decoding_blocks, fusion, gating, pooling, retrieval, retrieval_index
+from ..sources import match_store
+from ..sources.scratch import shared_folder
 from . import oracle as o
 from . import views
 from .registry import query, rounded, rounded_sql
@@ -20,6 +24,13 @@ def retrieval_cross_topk(spark, sf):
     return views.top_candidates(spark, sf, 10).select("q", "r", "rank", F.round("sim", 6).alias("sim"), F.round("error_m", 6).alias("error_m"))
 
 
+@query(f"{TOP} SELECT q, r, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS sim FROM t")
+def retrieval_indexed(spark, sf):
+    f = views.frames(spark, sf)
+    q, r = f.where("role = 'query'").select(F.col("frame_count").alias("q"), "v"), f.where("role = 'reference'").select(F.col("frame_count").alias("r"), "v", F.col("frame_count").alias("ord"))
+    return retrieval_index.search(q, r, 10).tops.select("q", "r", "rank", F.round("sim", 6).alias("sim"))
+
+
 RES = f"{TOP}, res AS (SELECT q AS query_frame_count, arg_min(r, rank) AS reference_frame_count, arg_min(r_dataset, rank) AS reference_dataset, arg_min(sim, rank) AS similarity, count(*) AS top_k, min(error_m) AS oracle_top_k_error_m, arg_min(r_lat, rank) AS estimated_ground_latitude, arg_min(r_lon, rank) AS estimated_ground_longitude, arg_min(error_m, rank) AS position_error_m FROM t GROUP BY q)"
 _cols = ("query_frame_count reference_frame_count reference_dataset top_k", "similarity oracle_top_k_error_m position_error_m", "estimated_ground_latitude estimated_ground_longitude")
 
@@ -109,7 +120,24 @@ def viterbi2(spark, sf):
     return decoding.decode(_steps(spark, sf), order=2)
 
 
-@query()
+@query(f"{VIT} SELECT dataset_id, CAST(unnest(range(0, len(path))) AS BIGINT) AS step, unnest(path) AS rank FROM e")
+def viterbi1_blocks(spark, sf):
+    return decoding_blocks.decode_blocks(_steps(spark, sf), order=1, block=16)
+
+
+@query(f"{VIT2} SELECT dataset_id, CAST(unnest(range(0, len(path))) AS BIGINT) AS step, unnest(path) AS rank FROM e")
+def viterbi2_blocks(spark, sf):
+    return decoding_blocks.decode_blocks(_steps(spark, sf), order=2, block=16)
+
+
+#: A frame's choice lies on the best path of three steps later, or on that of the end.
+ONLINE_SQL = f"""{VIT2}, n AS (SELECT dataset_id, max(step) + 1 AS n FROM cu GROUP BY dataset_id),
+b AS (SELECT dataset_id, step, arg_min(path, struct_pack(a := cost, b := r1, c := r2)) AS path FROM v GROUP BY dataset_id, step),
+f AS (SELECT dataset_id, CAST(unnest(range(0, n)) AS BIGINT) AS step, n FROM n)
+SELECT f.dataset_id, f.step, b.path[f.step + 1] AS rank FROM f JOIN b ON b.dataset_id = f.dataset_id AND b.step = least(f.step + 3, n - 1)"""
+
+
+@query(ONLINE_SQL)
 def viterbi_online(spark, sf):
     return decoding.decode(_steps(spark, sf), order=2, lag=3)
 
@@ -204,6 +232,23 @@ def best_by_inliers(spark, sf):
     return rounded(fusion.best_by_inliers(views.candidates(spark, sf), "q"), "q r lg_inlier_count", "lg_inlier_ratio")
 
 
+def matches_by_rule(pairs: DataFrame) -> DataFrame:
+    """Match scores made from the frame numbers, in the place of a matcher."""
+    q, r = F.col("q"), F.col("r")
+    p = pairs.withColumn("lg_match_count", (q * 31 + r * 17) % 900).withColumn("lg_mean_score", (q + r) % 10 / 10)
+    p = p.withColumn("lg_inlier_count", F.floor(F.col("lg_match_count") * ((q * 7 + r * 13) % 101) / 100).cast("long"))
+    return p.withColumn("lg_inlier_ratio", F.col("lg_inlier_count") / F.greatest("lg_match_count", F.lit(1)))
+
+
+@query(f"{B} SELECT q, r, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS sim, lg_match_count, (q + r) % 10 / 10.0::DOUBLE AS lg_mean_score, lg_inlier_count, round(lg_inlier_ratio, 6) AS lg_inlier_ratio FROM cand")
+def candidates_verified(spark, sf):
+    f = views.frames(spark, sf)
+    side = lambda role, key: f.where(f"role = '{role}'").select(F.col("frame_count").alias(key), "v", F.col("start_seconds").alias("t"))
+    store = match_store.MatchStore(spark, f"{shared_folder(spark)}/matches-{uuid.uuid4().hex}")
+    c = match_store.verified_candidates(side("query", "q"), side("reference", "r").withColumn("ord", F.col("r")), 6, matches_by_rule, store)
+    return rounded(c, "q r rank lg_match_count lg_mean_score lg_inlier_count", "sim lg_inlier_ratio")
+
+
 @query(f"{B} SELECT q, 'frame_' || r AS reference_frame_path, CASE WHEN r % 3 <> 0 THEN round(r_lat, 8) END AS ref_lat, CASE WHEN r % 3 <> 0 THEN round(r_lon, 8) END AS ref_lon FROM cand WHERE rank = 1")
 def reference_by_path(spark, sf):
     path = lambda c: F.concat(F.lit("frame_"), F.col(c).cast("string"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +65,8 @@ def last_of(entries: Column, key: str) -> Column:
 def parse_blocks(blocks: DataFrame, block: str = "block") -> DataFrame:
     """Telemetry rows of subtitle blocks. A block needs a number, a time range and one more line, or it is dropped."""
     lines = F.filter(F.transform(F.split(F.col(block), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    b = blocks.withColumn("__l", lines).where((F.size("__l") >= 3) & F.get("__l", F.lit(0)).rlike(r"^\d+$") & F.get("__l", F.lit(1)).rlike(TIME_RANGE))
+    # behind a generator the lines are a column of their own, which the filter does not make anew
+    b = blocks.withColumn("__l", F.explode(F.array(lines))).where((F.size("__l") >= 3) & F.get("__l", F.lit(0)).rlike(r"^\d+$") & F.get("__l", F.lit(1)).rlike(TIME_RANGE))
     b = b.withColumn("__body", F.concat_ws(" ", F.slice("__l", 3, F.size("__l")))).withColumn("__m", bracket_entries(F.col("__body")))
     head, times, body = F.get("__l", F.lit(0)), F.get("__l", F.lit(1)), F.col("__body")
     text = lambda k: last_of(F.col("__m"), k)
@@ -117,8 +123,47 @@ def frame_seconds(index: Column, fps: float, offset: float = 0.0) -> Column:
     return offset + (index - 1) / fps
 
 
+#: Bytes of a matrix that one read takes.
+NPY_CHUNK = 8 << 20
+
+
+def npy_header(path: str) -> tuple[tuple[int, int], np.dtype, int]:
+    """Shape, type and where the data begin, of a matrix in the ``.npy`` format by rows; only the head is read."""
+    files, at = fs.FileSystem.from_uri(path)
+    size = files.get_file_info(at).size
+    with files.open_input_file(at) as f:
+        head = io.BytesIO(f.read_at(min(size, 1 << 16), 0))
+    version = np.lib.format.read_magic(head)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, by_column, dtype = read(head)
+    if len(shape) != 2 or by_column or dtype.kind != "f":
+        raise ValueError(f"{path} holds no matrix of floats by rows")
+    if size < head.tell() + shape[0] * shape[1] * dtype.itemsize:
+        raise ValueError(f"{path} is shorter than its {shape[0]} rows")
+    return shape, dtype, head.tell()
+
+
 def import_descriptors(spark: SparkSession, path: str, keys: DataFrame, ordinal: str) -> DataFrame:
-    """A local ``.npy`` matrix joined to its row keys by ordinal: an importer for legacy caches; tables hold Parquet."""
-    m = np.load(path, allow_pickle=False)
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.asarray(m, np.float32))], f"{ordinal} long, v array<float>")
-    return keys.join(rows, ordinal)
+    """``keys`` with ``v``, their rows of a ``.npy`` matrix by ``ordinal`` (from 0): an importer for legacy caches.
+
+    The driver reads the head; ranges of bytes are read by the tasks, so the path must be one that they see. A matrix that
+    does not have a row for each key, or a file that is short, is an error: descriptors are not to slip by a row.
+    """
+    (n, width), dtype, start = npy_header(path)
+    if keys.count() != n or keys.where(F.col(ordinal).between(0, n - 1)).select(ordinal).distinct().count() != n:
+        raise ValueError(f"{path} has {n} rows, which the keys' ordinals do not number")
+    rows = max(1, NPY_CHUNK // max(1, width * dtype.itemsize))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = fs.FileSystem.from_uri(path)
+        with files.open_input_file(at) as f:
+            for batch in batches:
+                for first in batch.column(0).to_pylist():
+                    count = min(rows, n - first)
+                    m = np.frombuffer(f.read_at(count * width * dtype.itemsize, start + first * width * dtype.itemsize), dtype).astype(np.float32)
+                    v = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * width, pa.int32()), pa.array(m))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + count), pa.int64()), v], names=[ordinal, "v"])
+
+    parts = max(1, -(-n // rows))
+    ranges = spark.range(0, n, rows, numPartitions=min(parts, 10_000)).select("id")
+    return keys.join(ranges.mapInArrow(run, f"{ordinal} long, v array<float>"), ordinal)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Live
-from ..functions import geo, stats
+from ..functions import geo
+from . import scans
 
 
 def fuse(manifest: DataFrame, decisions: DataFrame, vpr: DataFrame, satellite: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,17 +25,24 @@ def fuse(manifest: DataFrame, decisions: DataFrame, vpr: DataFrame, satellite: D
     return m.withColumn("final_error_m", F.round(geo.haversine("gt_lat", "gt_lon", lat, lon), 2)).withColumn("final_lat", F.round(lat, 7)).withColumn("final_lon", F.round(lon, 7))
 
 
-def rounded_stats(x: str) -> list[Column]:
-    """Statistics of errors that are rounded already."""
+def _plain_stats(x: str) -> list[Column]:
     v = F.col(x)
     pct = lambda t: F.round(100.0 * F.count_if(v <= t) / F.count(v), 1).alias(f"pct_{t}m")
-    return [F.count("*").alias("count"), F.round(stats.linear(v, 0.5), 2).alias("median"), F.round(F.avg(v), 2).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), *[pct(t) for t in (5, 10, 15, 20)]]
+    return [F.count("*").alias("count"), F.round(F.avg(v), 2).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), *[pct(t) for t in (5, 10, 15, 20)]]
 
 
 def by_status_and_overall(df: DataFrame, status: str, error: str) -> DataFrame:
-    """GROUPING SETS ((status), ()); the overall row is ``ALL``."""
-    out = df.rollup(status).agg(F.grouping(status).alias("__g"), *rounded_stats(error))
-    return out.withColumn(status, F.when(F.col("__g") == 1, "ALL").otherwise(F.col(status))).drop("__g")
+    """GROUPING SETS ((status), ()) over errors that are rounded already; the overall row is ``ALL``.
+
+    Medians are order statistics of a range sort over all rows, as one status, and all of them, may be most of the table.
+    """
+    plain = df.rollup(status).agg(F.grouping(status).alias("__g"), *_plain_stats(error))
+    median = F.round(scans.linear_of(0, 0.5), 2).alias("median")
+    own = scans.order_statistics(df, [status], error, (0.5,)).select(F.col(status).alias("__s"), F.lit(0).alias("__h"), median)
+    every = scans.order_statistics(df, [], error, (0.5,)).select(F.lit(None).cast("string").alias("__s"), F.lit(1).alias("__h"), median)
+    out = plain.join(own.unionByName(every), (F.col("__g") == F.col("__h")) & F.col(status).eqNullSafe(F.col("__s")), "left")
+    out = out.withColumn(status, F.when(F.col("__g") == 1, "ALL").otherwise(F.col(status)))
+    return out.select(status, "count", "median", "mean", "min", "max", "pct_5m", "pct_10m", "pct_15m", "pct_20m")
 
 
 def satellite_status(cfg: Live = Live()) -> Column:
@@ -75,7 +83,10 @@ def threshold_hits(df: DataFrame, error: str, thresholds: tuple = (5, 10, 15, 20
 
 
 def timing_summary(df: DataFrame, seconds: str, triggered: str) -> DataFrame:
+    """Means, the median (by a range sort over all rows) and the maximum of seconds a frame, and frames a second."""
     s = F.col(seconds)
-    return df.agg(
-        F.avg(s).alias("mean_s"), stats.linear(s, 0.5).alias("median_s"), F.max(s).alias("max_s"), F.avg(F.when(~F.col(triggered), s)).alias("satellite_only_mean_s"),
+    plain = df.agg(
+        F.avg(s).alias("mean_s"), F.max(s).alias("max_s"), F.avg(F.when(~F.col(triggered), s)).alias("satellite_only_mean_s"),
         F.avg(F.when(F.col(triggered), s)).alias("fallback_mean_s"), (1.0 / F.avg(s)).alias("fps"))
+    median = scans.order_statistics(df, [], seconds, (0.5,)).select(scans.linear_of(0, 0.5).alias("median_s"))
+    return plain.crossJoin(median).select("mean_s", "median_s", "max_s", "satellite_only_mean_s", "fallback_mean_s", "fps")  # a row each

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,12 @@ def sampling_grid(frames: DataFrame, size: int = 512, gsd_m: float = 0.5, hfov_d
     return g.withColumn("map_x", F.when(ahead, m["fx"] * cam[0] / cam[2] + m["cx"]).otherwise(-1.0)).withColumn("map_y", F.when(ahead, m["fy"] * cam[1] / cam[2] + m["cy"]).otherwise(-1.0))
 
 
+#: Rows of a view that are computed at once: few enough to stay in a core's cache.
+VIEW_ROWS = 64
+#: Frames whose summaries go out together.
+VIEW_FRAMES = 32
+
+
 def ground_planes(altitude: np.ndarray, angle: np.ndarray, heading: np.ndarray, size: int, gsd_m: float) -> np.ndarray:
     """Of each frame the 3 x 3 matrix from (1, row, column) of its top-down view to camera coordinates.
 
@@ -75,6 +81,27 @@ def ground_planes(altitude: np.ndarray, angle: np.ndarray, heading: np.ndarray,
     return np.einsum("cwf,pwf->fcp", turn, points)
 
 
+def stretch(edges: list[np.ndarray], steps: np.ndarray, holds: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last column of each row where ``holds``, which is about where all ``edges`` (a + b row + c column)
+    are positive: the ends by division are moved by one column where the condition says so."""
+    size = len(steps)
+    lo, hi = np.zeros(size), np.full(size, float(size))
+    for a, b, c in edges:
+        base = a + b * steps
+        if c > 0:
+            lo = np.maximum(lo, np.ceil(-base / c))
+        elif c < 0:
+            hi = np.minimum(hi, np.floor(base / -c) + 1)
+        else:
+            hi = np.where(base > 0, hi, 0.0)
+    rows = np.arange(size)
+    lo = np.clip(lo, 0, size)
+    hi = np.maximum(np.clip(hi, 0, size), lo)
+    lo = lo + ((lo < hi) & ~holds(rows, lo)) - ((lo > 0) & holds(rows, lo - 1))
+    hi = hi - ((lo < hi) & ~holds(rows, hi - 1)) + ((hi < size) & holds(rows, hi))
+    return lo.astype(np.int64), np.maximum(hi, lo).astype(np.int64)
+
+
 def grid_rows(frames: DataFrame, keys: list[str], size: int = 512, gsd_m: float = 0.5, hfov_deg: float = 82.0, width: int = 1920, height: int = 1080, arrays: bool = True) -> DataFrame:
     """The positions of :func:`sampling_grid` a row of the view at a time: ``keys``, row, n_ahead, n_inside, sum_x, sum_y.
 
@@ -87,22 +114,69 @@ def grid_rows(frames: DataFrame, keys: list[str], size: int = 512, gsd_m: float
     schema = T.StructType([*[frames.schema[k] for k in keys], *T.StructType.fromDDL(fields)])
     steps = np.arange(size, dtype=np.float64)
 
+    def view(plane: np.ndarray) -> list[np.ndarray]:
+        out = [np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size), np.zeros(size), *([np.empty((size, size)), np.empty((size, size))] if arrays else [])]
+        for at in range(0, size, VIEW_ROWS):
+            part = slice(at, min(size, at + VIEW_ROWS))
+            x, y, z = ((p[0] + p[1] * steps[part])[:, None] + (p[2] * steps)[None, :] for p in plane)
+            ahead = z > 1e-3
+            np.putmask(z, ~ahead, np.inf)
+            np.divide(1.0, z, out=z)
+            for v, scale, centre in ((x, m["fx"], m["cx"]), (y, m["fy"], m["cy"])):
+                v *= z
+                v *= scale
+                v += centre
+            inside = ahead & (x >= 0) & (x < width) & (y >= 0) & (y < height)
+            out[0][part], out[1][part] = np.count_nonzero(ahead, axis=1), np.count_nonzero(inside, axis=1)
+            for k, v in enumerate((x, y)):
+                out[2 + k][part] = np.einsum("ij,ij->i", v, inside)
+                if arrays:
+                    out[4 + k][part] = np.where(ahead, v, -1.0)
+        return out
+
+    def summary(plane: np.ndarray) -> list[np.ndarray]:
+        """The same without the positions. Being before the camera and in the image are linear in the column, as the plane
+        is, so they hold on a stretch of each row; its ends are found by division and set right by the conditions
+        themselves, and only pixels in the image are computed."""
+        px, py, pz = plane
+        at = lambda p, r, c: (p[0] + p[1] * steps[r]) + p[2] * c
+
+        def ahead(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+            return at(pz, r, c) > 1e-3
+
+        def inside(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+            z = at(pz, r, c)
+            z = np.where(z > 1e-3, z, np.inf)
+            x, y = at(px, r, c) * (1.0 / z) * m["fx"] + m["cx"], at(py, r, c) * (1.0 / z) * m["fy"] + m["cy"]
+            return np.isfinite(z) & (x >= 0) & (x < width) & (y >= 0) & (y < height)
+
+        front = np.array([pz[0] - 1e-3, pz[1], pz[2]])
+        edges = [front, m["fx"] * px + m["cx"] * pz, (width - m["cx"]) * pz - m["fx"] * px, m["fy"] * py + m["cy"] * pz, (height - m["cy"]) * pz - m["fy"] * py]
+        n_ahead = np.subtract(*reversed(stretch([front], steps, ahead)))
+        lo, hi = stretch(edges, steps, inside)
+        n = hi - lo
+        r = np.repeat(np.arange(size), n)
+        c = (np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)).astype(np.float64)
+        inverse = 1.0 / at(pz, r, c)
+        sums = [np.bincount(r, at(p, r, c) * inverse * scale + centre, size) for p, scale, centre in ((px, m["fx"], m["cx"]), (py, m["fy"], m["cy"]))]
+        return [n_ahead.astype(np.int32), n.astype(np.int32), *sums]
+
+    together, view = (1, view) if arrays else (VIEW_FRAMES, summary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.float64)  # noqa: E731, B023
             planes = ground_planes(get("altitude"), get("angle"), get("heading"), size, gsd_m)
-            for f, plane in enumerate(planes):
-                x, y, z = (p[0] + p[1] * steps[:, None] + p[2] * steps[None, :] for p in plane)
-                ahead = z > 1e-3
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    x, y = np.where(ahead, m["fx"] * x / z + m["cx"], -1.0), np.where(ahead, m["fy"] * y / z + m["cy"], -1.0)
-                inside = ahead & (x >= 0) & (x < width) & (y >= 0) & (y < height)
-                cols = [batch.column(batch.schema.get_field_index(k)).take(pa.array(np.full(size, f))) for k in keys]
-                cols += [pa.array(np.arange(size), pa.int32()), pa.array(ahead.sum(axis=1), pa.int32()), pa.array(inside.sum(axis=1), pa.int32()), pa.array(np.where(inside, x, 0.0).sum(axis=1)), pa.array(np.where(inside, y, 0.0).sum(axis=1))]
-                if arrays:
-                    cols += [pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * size, pa.int32()), pa.array(v.ravel())) for v in (x, y)]
+            for first in range(0, len(planes), together):
+                made = [view(p) for p in planes[first : first + together]]
+                frame = pa.array(np.repeat(np.arange(first, first + len(made)), size))
+                cols = [batch.column(batch.schema.get_field_index(k)).take(frame) for k in keys] + [pa.array(np.tile(np.arange(size, dtype=np.int32), len(made)))]
+                cols += [pa.array(np.concatenate([v[k] for v in made])) for k in range(4)]
+                cols += [pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * size, pa.int32()), pa.array(v.ravel())) for v in made[0][4:]]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
+    # a frame is a few bytes and its view a quarter of a million positions, so frames are dealt by number, not by size
+    frames = frames.repartition(4 * frames.sparkSession.sparkContext.defaultParallelism)
     slim = frames.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("altitude", "angle", "heading")])
     return slim.dropna(subset=["altitude", "angle", "heading"]).mapInArrow(run, schema)
 

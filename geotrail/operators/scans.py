@@ -41,8 +41,8 @@ def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[str], place
     counts = table.groupBy(*groups, part).agg(F.count("*").alias("__n"), F.min(at).alias("__first"))
     w = Window.partitionBy(*groups)
     counts = counts.withColumn("__before", F.sum("__n").over(w.orderBy(part)) - F.col("__n")).withColumn(size, F.sum("__n").over(w))
-    counts = counts.select(*[F.col(c).alias(f"__g_{c}") for c in groups], F.col(part).alias("__g_part"), "__first", "__before", size)
-    both = table.join(counts, (F.col(part) == F.col("__g_part")) & _same(groups, "__g_"))
+    counts = counts.select(*[F.col(c).alias(f"__g_{c}") for c in groups], F.col(part).alias("__in"), "__first", "__before", size)
+    both = table.join(counts, (F.col(part) == F.col("__in")) & _same(groups, "__g_"))
     return both.select(*rows.columns, (F.col(at) - F.col("__first") + F.col("__before")).alias(place), size)
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import Projection
 from ..functions import geo
-from ..operators import fusion, projection, raster, scans, sequence, smoothing
-from ..sources import readers, sinks
+from ..operators import fusion, gating, projection, raster, scans, sequence, smoothing
+from ..sources import kml, readers, sinks
 from . import oracle as o
 from . import views
 from .registry import query, rounded, rounded_sql
@@ -436,6 +436,31 @@ def homography_point(spark, sf):
     return _cameras(spark, sf).select("dataset_id", "frame_count", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"))
 
 
+_kml_pt = lambda lat, lon: f"printf('%.8f,%.8f,%.2f', {lon}, {lat}, 0.0::DOUBLE)"
+_kml_kinds = "CASE final_status WHEN 'VPR_FIX' THEN 'fix' WHEN 'SAT_FIX' THEN 'satellite' ELSE 'fallback' END"
+_fine = "final_lat IS NOT NULL AND final_lon IS NOT NULL"
+
+
+@query(f"""{FUSED}, d AS (SELECT u.*, fx.gt_lat, fx.gt_lon, fx.start_seconds AS time_s FROM u JOIN fx USING (frame_count)),
+paths AS (SELECT 0 AS item, frame_count, {_kml_pt('gt_lat', 'gt_lon')} AS c FROM d
+  UNION ALL SELECT CASE final_status WHEN 'VPR_FIX' THEN 1 WHEN 'SAT_FIX' THEN 2 ELSE 3 END, frame_count, {_kml_pt('final_lat', 'final_lon')} FROM d WHERE {_fine}),
+w AS (SELECT * FROM d WHERE {_fine} ORDER BY final_error_m DESC, frame_count LIMIT 15),
+l AS (SELECT 1 AS section, item, 1 AS part, row_number() OVER (PARTITION BY item ORDER BY frame_count) - 1 AS n, c AS line FROM paths
+  UNION ALL SELECT DISTINCT 1, item, 0, 0, '<Placemark><name>' || CASE item WHEN 0 THEN 'Ground truth' WHEN 1 THEN 'VPR_FIX' WHEN 2 THEN 'SAT_FIX' ELSE 'VPR_FALLBACK' END || ' path</name><styleUrl>#' || CASE item WHEN 0 THEN 'truth' WHEN 1 THEN 'fix' WHEN 2 THEN 'satellite' ELSE 'fallback' END
+    || '-path</styleUrl><LineString><tessellate>1</tessellate><altitudeMode>clampToGround</altitudeMode><coordinates>' FROM paths
+  UNION ALL SELECT DISTINCT 1, item, 2, 0, '</coordinates></LineString></Placemark>' FROM paths
+  UNION ALL SELECT 2, frame_count, 1, 0, '<Placemark><name>' || final_status || printf(' #%d (%.1f m)', frame_count, final_error_m) || '</name><description>' || printf('Frame: %d  t=%.6fs', frame_count, time_s) || '&#10;Status: ' || final_status || printf('&#10;Error: %.1f m&#10;GT: %.8f, %.8f&#10;Est: %.8f, %.8f', final_error_m, gt_lat, gt_lon, final_lat, final_lon)
+    || '</description><styleUrl>#' || {_kml_kinds} || '-point</styleUrl><Point><coordinates>' || {_kml_pt('final_lat', 'final_lon')} || '</coordinates></Point></Placemark>' FROM d WHERE {_fine}
+  UNION ALL SELECT 3, frame_count, 1, 0, '<Placemark><styleUrl>#error-line</styleUrl><LineString><tessellate>1</tessellate><coordinates>' || {_kml_pt('gt_lat', 'gt_lon')} || ' ' || {_kml_pt('final_lat', 'final_lon')} || '</coordinates></LineString></Placemark>' FROM w)
+SELECT CAST(section AS INTEGER) AS section, CAST(item AS BIGINT) AS item, CAST(part AS INTEGER) AS part, CAST(n AS BIGINT) AS n, line FROM l""")
+def hybrid_kml(spark, sf):
+    times = views.fixes(spark, sf).select("frame_count", "gt_lat", "gt_lon", F.col("start_seconds").alias("time_s"))
+    fused = _fused(spark, sf).drop("gt_lat", "gt_lon").join(times, "frame_count")
+    lines = kml.hybrid_document(fused)
+    # places of rows are increasing, not dense; they are numbered here to be compared
+    return scans.numbered(lines, ["section", "item", "part"], ["seq"], "n").select("section", "item", "part", "n", "line")
+
+
 # --- inliers of a given matrix: each eight rows of a flight are the matches of a pair
 
 
@@ -495,3 +520,52 @@ def patch_sizes(spark, sf):
     t = views.telemetry(spark, sf).withColumn("w", 200 + F.col("k") * 7).withColumn("h", 150 + F.col("k") * 5)
     w, h = raster.patch_aligned("w", "h")
     return t.select("dataset_id", "frame_count", w.alias("width"), h.alias("height"))
+
+
+# --- costs, offsets, names and scales
+
+
+@query(f"""{B}, s AS (SELECT *, x_m - lag(x_m) OVER w AS bx, y_m - lag(y_m) OVER w AS b_y, lag(x_m) OVER w - lag(x_m, 2) OVER w AS ax, lag(y_m) OVER w - lag(y_m, 2) OVER w AS a_y FROM vxy WINDOW w AS {o.W}),
+t AS (SELECT *, {o.length('ax', 'a_y')} AS a, {o.length('bx', 'b_y')} AS b FROM s WHERE ax IS NOT NULL)
+SELECT dataset_id, frame_count, round(1.0::DOUBLE * pow({o.length('bx - ax', 'b_y - a_y')} / 20.0::DOUBLE, 2), 6) + 0.0::DOUBLE AS acceleration_cost,
+  round(CASE WHEN a < 3 OR b < 3 THEN 0 ELSE 2.0::DOUBLE * pow({o.deg('acos(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, (ax * bx + a_y * b_y) / (a * b))))')} / 45.0::DOUBLE, 2) END, 5) + 0.0::DOUBLE AS direction_cost FROM t""")
+def turn_costs(spark, sf):
+    w = sequence.along()
+    t = sequence.with_local_xy(_valid(spark, sf))
+    for c, v in (("bx", "x_m"), ("b_y", "y_m")):
+        t = t.withColumn(c, F.col(v) - F.lag(v).over(w)).withColumn(c.replace("b", "a", 1), F.lag(v).over(w) - F.lag(v, 2).over(w))
+    t = t.where("ax is not null")
+    a = geo.acceleration_cost(F.col("bx") - F.col("ax"), F.col("b_y") - F.col("a_y"))
+    d = geo.direction_cost(F.col("ax"), F.col("a_y"), F.col("bx"), F.col("b_y"), weight=2.0)
+    return t.select("dataset_id", "frame_count", (F.round(a, 6) + 0.0).alias("acceleration_cost"), (F.round(d, 5) + 0.0).alias("direction_cost"))
+
+
+@query(f"{B} SELECT dataset_id, frame_count, round(latitude + k * 3.0::DOUBLE / {geo.METRES_PER_DEGREE!r}::DOUBLE, 8) AS lat, round(longitude + k * 2.0::DOUBLE / ({geo.METRES_PER_DEGREE!r}::DOUBLE * cos({o.rad('latitude')})), 8) AS lon FROM valid")
+def search_centres(spark, sf):
+    lat, lon = geo.offset_degrees("latitude", "longitude", F.col("k") * 3.0, F.col("k") * 2.0)
+    return _valid(spark, sf).select("dataset_id", "frame_count", F.round(lat, 8).alias("lat"), F.round(lon, 8).alias("lon"))
+
+
+@query(f"{B} SELECT frame_count, CAST(k || '' || frame_count AS BIGINT) AS frame_number, round(5.0::DOUBLE + (frame_count - 1) / 30.0::DOUBLE, 6) + 0.0::DOUBLE AS seconds FROM tel")
+def frame_numbers(spark, sf):
+    stem = F.concat(F.lit("cam"), F.col("k").cast("string"), F.lit("_f"), F.col("frame_count").cast("string"))
+    t = views.telemetry(spark, sf).select("frame_count", readers.frame_number(stem).alias("frame_number"), readers.frame_seconds(F.col("frame_count"), 30.0, 5.0).alias("seconds"))
+    return rounded(t, "frame_count frame_number", "seconds")
+
+
+@query(f"{B} SELECT frame_count, CASE WHEN k % 3 = 0 THEN 't' || k WHEN k % 3 = 1 THEN 'g' || k END AS \"timestamp\", round(CASE WHEN k % 2 = 0 THEN start_seconds WHEN k % 5 <> 0 THEN k + 0.5::DOUBLE ELSE 0 END, 6) AS start_seconds FROM tel")
+def telemetry_aliases(spark, sf):
+    k = F.col("k")
+    t = views.telemetry(spark, sf).withColumn("timestamp", F.when(k % 3 == 0, F.concat(F.lit("t"), k.cast("string"))).otherwise("")).withColumn("gps_datetime", F.when(k % 3 == 1, F.concat(F.lit("g"), k.cast("string"))))
+    t = t.withColumn("start_seconds", F.when(k % 2 == 0, F.col("start_seconds"))).withColumn("sample_time", F.when(k % 5 != 0, k + 0.5))
+    return rounded(readers.telemetry_aliases(t), "frame_count timestamp", "start_seconds")
+
+
+@query(f"{B} SELECT dataset_id, frame_count, round(2 * {o.num(math.pi)} * {o.R} * cos({o.rad('latitude')}) / (256.0::DOUBLE * {1 << 18}), 6) AS gsd_m FROM valid")
+def tile_scale(spark, sf):
+    return _valid(spark, sf).select("dataset_id", "frame_count", F.round(geo.tile_gsd("latitude", 18), 6).alias("gsd_m"))
+
+
+@query(f"{B} SELECT dataset_id, frame_count, round(start_seconds - lag(start_seconds) OVER {o.W}, 6) AS gap_s FROM fx WHERE source = 'SAT'")
+def fix_gaps(spark, sf):
+    return rounded(gating.fix_gaps(views.fixes(spark, sf).where("source = 'SAT'")), "dataset_id frame_count", "gap_s")

@@ -203,6 +203,12 @@ _pd = f"{B}, p AS (SELECT dataset_id, unnest(v) AS x, unnest(range(0, len(v))) A
 _unit = "SELECT dataset_id, CAST(dim AS INTEGER) AS dim, round(y / greatest(sqrt(sum(y * y) OVER (PARTITION BY dataset_id)), 1e-12), 6) AS y FROM m"
 
 
+@query(f"{B}, n AS (SELECT frame_count, list_transform(v, lambda x: x * 3) AS v FROM fr), u AS (SELECT frame_count, unnest(v) AS x, unnest(range(0, len(v))) AS dim, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM n) SELECT frame_count, CAST(dim AS INTEGER) AS dim, round(x / greatest(norm, 1e-12), 6) + 0.0::DOUBLE AS y FROM u")
+def unit_descriptors(spark, sf):
+    f = views.frames(spark, sf).withColumn("v", F.transform("v", lambda x: x.cast("double") * 3))
+    return rounded(f.withColumn("u", retrieval.l2_normalise("v")).select("frame_count", F.posexplode("u").alias("dim", "y")), "frame_count dim", "y")
+
+
 @query(f"{_pd}, m AS (SELECT dataset_id, dim, avg(x) AS y FROM p GROUP BY 1, 2) {_unit}")
 def pool_mean(spark, sf):
     return _dims(pooling.mean_pool(views.frames(spark, sf), "dataset_id", "v"))

@@ -81,6 +81,20 @@ def live_points(results: DataFrame, order: tuple[str, ...] = ("start_seconds", "
     return r.select("dataset_id", "idx", F.explode(F.array_compact(marks)).alias("m")).select("dataset_id", "idx", "m.*")
 
 
+def tenths(x: Column) -> Column:
+    """A number of zero or more with one decimal, the nearer one of what the double holds exactly (of a tie the even one).
+
+    The formatter of the JVM rounds the shortest decimals of a double instead, so 4.35, which is a little less, would
+    become 4.4. Ten times the number is a sum of two doubles, eight and two times it; what that sum leaves out decides.
+    """
+    ten = x * 8 + x * 2
+    lost = x * 2 - (ten - x * 8)
+    whole = F.floor(ten)
+    rest = ten - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    return F.format_string("%.1f", (whole + F.when(up, 1).otherwise(0)) / 10.0)
+
+
 def worst(df: DataFrame, error: str, n: int, order: str) -> DataFrame:
     """The ``n`` largest errors, the earlier row of equals."""
     return df.orderBy(F.desc(error), order).limit(n)

@@ -175,6 +175,18 @@ def test_rows_of_a_view_equal_its_positions(spark):
     assert {r.k for r in seen} == {1, 2, 3, 5} and all(r.n_ahead <= 512 * 512 for r in seen)
 
 
+def test_summaries_without_positions_are_the_same(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.uniform(5, 150)), float(rng.uniform(5, 95)), float(rng.uniform(0, 360))) for i in range(80)] + [(100 + i, 40.0, a, h) for i, (a, h) in enumerate((a, h) for a in (45.0, 90.0, 60.0) for h in (0.0, 90.0, 180.0, 45.0))]
+    f = spark.createDataFrame(rows, "k long, altitude double, angle double, heading double")
+    slim = {(r.k, r.row): r for r in raster.grid_rows(f, ["k"], size=128, gsd_m=2.0, arrays=False).collect()}
+    full = raster.grid_rows(f, ["k"], size=128, gsd_m=2.0).drop("map_x", "map_y").collect()
+    assert len(full) == len(slim) == 92 * 128 and sum(r.n_inside for r in full) > 10_000
+    for r in full:
+        s = slim[r.k, r.row]
+        assert (s.n_ahead, s.n_inside) == (r.n_ahead, r.n_inside) and s.sum_x == pytest.approx(r.sum_x, rel=1e-9, abs=1e-6) and s.sum_y == pytest.approx(r.sum_y, rel=1e-9, abs=1e-6)
+
+
 def test_inliers_at_the_threshold_and_at_infinity(spark):
     move = [1.0, 0.0, 2.0, 0.0, 1.0, 0.0, 0.1, 0.0, 1.0]
     at = lambda x, y, dx: (float(x), float(y), (x + 2) / (0.1 * x + 1) + dx, y / (0.1 * x + 1))

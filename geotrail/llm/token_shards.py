@@ -39,6 +39,8 @@ GAMMA, LEVEL_SALT, PRINT_SALT = 2, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 CHUNK_BYTES, CHUNK_CHARS = 288 << 20, 48
 #: Characters of texts that are encoded together.
 SLICE_CHARS = 1 << 21
+#: Tasks that read shards, at most.
+TASKS = 10_000
 END_ID = 0
 MAGIC = b"IDSHARD1"
 #: Size of an id, documents, distinct keys, ids, documents with a null key, words of bits, levels.
@@ -392,7 +394,8 @@ def lookup(shards: Shards, keys: DataFrame, with_ids: bool = False) -> DataFrame
                     yield _rows(reader, int(s.starts[opened]), out[part : part + 256], with_ids)
 
     routed = emit_arrow(keys.select(F.col(name).cast("long").alias("key")), route, "shard long, key long")
-    dealt = routed.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("key"))
+    # keys are few bytes, what they find is not: tasks are dealt by shards, not by the size of the keys
+    dealt = routed.repartition(max(1, min(len(shards.names), TASKS)), "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"))
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 

@@ -236,7 +236,7 @@ _UP = "list_transform(generate_series(1, (len(nodes) + 1) // 2), lambda i: sha25
 MANIFEST_SQL = f"""
 WITH RECURSIVE rows AS (
   SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, * FROM (
-    SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf, CASE WHEN {_crc('doc_id::VARCHAR')} % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf_sql('n_chars + 1')} END AS changed FROM documents)),
+    SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_crc('doc_id::VARCHAR')} % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf_sql('n_chars + 1')} END AS changed FROM documents)),
 trees AS (
   SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM rows GROUP BY lang
   UNION ALL SELECT lang, level + 1, {_UP} FROM trees WHERE len(nodes) > 1),

@@ -35,22 +35,25 @@ from .substring_dedup import mix
 SHARD_DOCS, SHARD_IDS = 1 << 22, 1 << 31
 #: Bits of a level for each key that comes to it, and the salt between levels.
 GAMMA, LEVEL_SALT, PRINT_SALT = 2, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Bytes that a Python worker spends on the ids of chunks of text, and characters of a chunk that is kept.
-CHUNK_BYTES, CHUNK_CHARS = 288 << 20, 48
-#: Characters of texts that are encoded together.
-SLICE_CHARS = 1 << 21
-#: Tasks that read shards, at most.
-TASKS = 10_000
+#: Bytes that a Python worker spends on the ids of chunks of text, and bytes of a chunk that is kept.
+CHUNK_BYTES, CHUNK_SIZE = 384 << 20, 48
+#: Bytes of texts that are encoded together.
+SLICE_SIZE = 1 << 21
+#: Shards that a task reads, and bytes of neighbouring documents that one read takes.
+TASK_SHARDS, READ_BYTES = 4, 16 << 20
 END_ID = 0
 MAGIC = b"IDSHARD1"
 #: Size of an id, documents, distinct keys, ids, documents with a null key, words of bits, levels.
 FOOTER = struct.Struct("<8sBQQQQQQ")
 
-#: A space that no character but white space follows; with some that other tables may count as white space.
-_DOUBLE = re.compile("[ ](?![^\\s᠎​⁠﻿])")
-#: A space, letters of Latin blocks that hold nothing else, and one sign that stands alone.
-_SIGNED = re.compile("[ ][A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+[.,;:!?]")
-_BORDER = re.compile("(?=[ ][^\\s᠎​⁠﻿])")
+# Borders are found in UTF-8. A border left out puts two chunks in one, which is right in any case, so these rules may count
+# too much as white space, but never too little.
+_SPACE = rb"(?:[\x00-\x20]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81[\x9f\xa0])|\xe3\x80\x80|\xef\xbb\xbf)"
+#: A space with white space or the end behind it, and the places of other spaces.
+_DOUBLE = re.compile(rb"[ ](?:%s|\Z)" % _SPACE)
+_BORDER = re.compile(rb"(?=[ ](?!%s|\Z))" % _SPACE)
+#: A space, letters of ASCII and of the Latin blocks that hold nothing else, and one sign that stands alone.
+_SIGNED = re.compile(rb"[ ](?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf]|\xca[\x80-\xaf])+[.,;:!?]")
 
 
 @dataclass
@@ -67,7 +70,7 @@ class ChunkEncoder:
     dtype: np.dtype
     #: bytes of text that each id stands for
     size: np.ndarray
-    kept: dict[str, bytes] = field(default_factory=dict)
+    kept: dict[bytes, bytes] = field(default_factory=dict)
     used: int = 0
 
     @classmethod
@@ -87,13 +90,13 @@ class ChunkEncoder:
             size[t["id"]] = len(t["content"].encode())
         return cls(library, in_chunks, np.dtype("<u2" if len(size) <= 1 << 16 else "<u4"), size)
 
-    def chunks(self, text: str) -> list[str]:
+    def chunks(self, text: bytes) -> list[bytes]:
         if not self.in_chunks:
             return [text]
-        return _BORDER.split(text) if "\0" in text or _DOUBLE.search(text) else text.replace(" ", "\0 ").split("\0")
+        return _BORDER.split(text) if b"\0" in text or _DOUBLE.search(text) else text.replace(b" ", b"\0 ").split(b"\0")
 
-    def encode_all(self, batch: list[str | None]) -> list[bytes]:
-        """Of each text the ids in bytes; null: none."""
+    def encode_all(self, batch: list[bytes | None]) -> list[bytes]:
+        """Of each UTF-8 text the ids in bytes; null: none."""
         kept = self.kept
         split = [self.chunks(t) if t else [] for t in batch]
         flat = list(chain.from_iterable(split))
@@ -103,14 +106,14 @@ class ChunkEncoder:
         signed = {}
         if self.in_chunks:
             # a word and a sign behind it are two tokens or more, so the word's ids serve both with and without
-            signed = {c: (c[:-1], c[-1]) for c in filter(_SIGNED.fullmatch, new)}
+            signed = {c: (c[:-1], c[-1:]) for c in filter(_SIGNED.fullmatch, new)}
             wanted = new.difference(signed).union(*signed.values()).difference(kept)
-            together = [c for c in wanted if c[:1] == " " and not _DOUBLE.match(c)]
+            together = [c for c in wanted if c[:1] == b" " and not _DOUBLE.match(c)]
             kept.update(self._parted(together))
             alone = list(wanted.difference(together))
         else:
             wanted, alone = new, list(new)
-        for c, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False) if alone else [], strict=True):
+        for c, e in zip(alone, self.library.encode_batch_fast([c.decode() for c in alone], add_special_tokens=False) if alone else [], strict=True):
             kept[c] = np.array(e.ids, self.dtype).tobytes()
         for c, (word, sign) in signed.items():
             kept[c] = kept[word] + kept[sign]
@@ -118,19 +121,19 @@ class ChunkEncoder:
             found[k] = kept[flat[k]]
         ends = [0, *accumulate(map(len, split))]
         out = [b"".join(found[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        for c in [c for c in wanted if len(c) > CHUNK_CHARS]:
+        for c in [c for c in wanted if len(c) > CHUNK_SIZE]:
             del kept[c]
         self.used += sum(len(own) * ENTRY_BYTES + sum(map(len, own)) * (1 + self.dtype.itemsize) for own in (wanted, signed))
         if self.used > CHUNK_BYTES:
             self.kept, self.used = {}, 0
         return out
 
-    def _parted(self, chunks: list[str]) -> dict[str, bytes]:
+    def _parted(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         if not chunks:
             return {}
-        ids = np.array(self.library.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.int64)
+        ids = np.array(self.library.encode_batch_fast([b"".join(chunks).decode()], add_special_tokens=False)[0].ids, np.int64)
         ends = np.cumsum(self.size[ids])
-        upto = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), np.int64, len(chunks)))
+        upto = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
         cut = np.searchsorted(ends, upto) + 1
         if cut[-1] != len(ids) or (ends[cut - 1] != upto).any():
             raise RuntimeError("the library's ids do not part at chunks")
@@ -138,11 +141,11 @@ class ChunkEncoder:
         return {c: raw[a:b] for c, a, b in zip(chunks, [0, *at], at, strict=False)}
 
 
-def parts_of(batch: list[str | None]) -> Iterator[list[str | None]]:
-    """``batch`` in parts of about SLICE_CHARS characters at most; a longer text is a part of its own."""
+def parts_of(batch: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """``batch`` in parts of about SLICE_SIZE bytes at most; a longer text is a part of its own."""
     part, chars = [], 0
     for t in batch:
-        if part and chars + len(t or "") > SLICE_CHARS:
+        if part and chars + len(t or "") > SLICE_SIZE:
             yield part
             part, chars = [], 0
         part.append(t)
@@ -284,9 +287,18 @@ class ShardReader:
         there[there] = self.keys[first[there] - self.nulls] == keys[there]  # a fingerprint of a key that is not there
         return first, np.where(there, run, 0)
 
-    def ids(self, doc: int) -> np.ndarray:
-        a, b = self.starts[doc : doc + 2].tolist()
-        return np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), f"<u{self.width}")
+    def ids(self, docs: list[int]) -> list[np.ndarray]:
+        """The ids of each document, as unsigned 32-bit integers; neighbours are read together."""
+        out, at = [], 0
+        while at < len(docs):
+            upto, first = at + 1, self.starts[docs[at]]
+            while upto < len(docs) and docs[upto] == docs[upto - 1] + 1 and (self.starts[docs[upto] + 1] - first) * self.width <= READ_BYTES:
+                upto += 1
+            ends = (self.starts[docs[at] : docs[upto - 1] + 2] - first).tolist()
+            own = np.frombuffer(self.file.read_at(ends[-1] * self.width, int(first) * self.width), f"<u{self.width}").astype("<u4")
+            out += [own[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            at = upto
+        return out
 
 
 @dataclass
@@ -339,7 +351,7 @@ def write_shards(docs: DataFrame, vocab_path: str, text: str = "text", key: str
         cols = [[task] * len(made), range(len(made)), *(zip(*made, strict=True) if made else [[]] * 6)]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.int64(), pa.int64(), *types], strict=True)], names="task seq name docs ids nulls least most".split())
 
-    slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
     slim = slim.withColumn("digest", F.xxhash64("text")).withColumn("tie", F.monotonically_increasing_id())
     by = [F.asc_nulls_first("key"), "digest", "tie"]
     ordered = slim.repartitionByRange(*by).sortWithinPartitions(*by).select("key", "text")
@@ -395,13 +407,13 @@ def lookup(shards: Shards, keys: DataFrame, with_ids: bool = False) -> DataFrame
 
     routed = emit_arrow(keys.select(F.col(name).cast("long").alias("key")), route, "shard long, key long")
     # keys are few bytes, what they find is not: tasks are dealt by shards, not by the size of the keys
-    dealt = routed.repartition(max(1, min(len(shards.names), TASKS)), "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"))
+    dealt = routed.repartition(1 + len(shards.names) // TASK_SHARDS, "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"))
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def _rows(reader: ShardReader, before: int, docs: list[tuple], with_ids: bool) -> pa.RecordBatch:
-    ids = [reader.ids(d) for _, d in docs]
-    cols = [pa.array([k for k, _ in docs], pa.int64()), pa.array(before + reader.starts[[d for _, d in docs]], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
+    ids = reader.ids([d for _, d in docs])
+    cols = [pa.array([k for k, _ in docs], pa.int64()), pa.array(before + reader.starts[[d for _, d in docs]], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     if with_ids:
         cols.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))

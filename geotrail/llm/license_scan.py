@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,7 +18,7 @@ PHRASES = (("mit", "MIT License"), ("apache", "Apache License"), ("gpl", "Genera
 NOTICES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0-notice", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd-conditions", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-conditions", "Redistribution and use in source and binary forms, with or without modification, *are *permitted provided that the following conditions are met"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("apache-1.1", "Licensed under the Apache License, Version 1.1"),
     ("bsd-names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
@@ -28,21 +30,30 @@ NOTICES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the *GNU *General Public License as published by the Free Software Foundation"),
     ("mit-grant", "Released under the MIT License"),
-    ("mit-permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit-permission", "Permission is hereby *granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
 )
 #: Words of a gram, the step between neighbouring diagonals, and the share of a template's grams that verifies a span.
 GRAM, NEIGHBOUR, SHARE = 2, 2, 0.8
 #: Template positions up to which the join may broadcast them.
 BROADCAST_ROWS = 100_000
 
-_CUT = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+#: Stands before a number that a point joins to the one before it: 2.0 is 2 and JOINED 0.
+JOINED = b"\x02"
+_POINT = re.compile(rb"(?<=[0-9])\.(?=[0-9])")
+_CUT = bytes(b if b == JOINED[0] or 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: The same words as a pattern over the text as it is: lowering A-Z moves no border.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Runs of digits, letters a-z (A-Z lowered) and all other than ASCII."""
-    return text.encode().lower().translate(_CUT).split() if text else []
+    """Runs of digits, letters a-z (A-Z lowered) and all other than ASCII; parts of one number are marked as joined."""
+    return _POINT.sub(b" " + JOINED, text.encode().lower().replace(JOINED, b" ")).translate(_CUT).split() if text else []
+
+
+def numbers_go_on(words: list[bytes]) -> list[bool]:
+    """For each gram whether the word behind it is joined to it: version 2 of 2.1 is not version 2."""
+    after = [w[:1] == JOINED for w in words[GRAM:]]
+    return [*after, False] if len(words) >= GRAM else []
 
 
 def gram_hashes(words: list[bytes]) -> np.ndarray:
@@ -66,7 +77,7 @@ def template_rows(phrases: tuple = PHRASES, notices: tuple = NOTICES) -> list[tu
         for part in wording.split():
             own = words_of(part)
             words += own
-            fixed += [part[0] == "*" or w[:1].isdigit() for w in own]
+            fixed += [part[0] == "*" or w.lstrip(JOINED)[:1].isdigit() for w in own]
         grams = gram_hashes(words).tolist()
         needed = [any(fixed[k : k + GRAM]) for k in range(len(grams))]
         if not grams:
@@ -80,7 +91,8 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     Base: a diagonal with the votes of all grams of a phrase is a place of it. Notices: neighbouring diagonals, as
     insertions and deletions make them, count together; a span is verified by the share of the template's grams found
-    in it, among which must be all that hold a number or a word with a star (else the share counts as a half at most). ``score``: the largest share of any template, 1 for a phrase or a whole notice, 0 without a shared gram. Null
+    in it, among which must be all that hold a number or a word with a star (else the share counts as a half at most); a
+    number at a notice's end must end there in the text, too. ``score``: the largest share of any template, 1 for a phrase or a whole notice, 0 without a shared gram. Null
     and empty texts have no word, no label, null places and score 0. Texts are known by 128 bits of hash: copies are
     scanned but voted on once, and repeated rows stay. Templates are a parameter, broadcast only below BROADCAST_ROWS.
     """
@@ -91,11 +103,15 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     templates = F.broadcast(templates) if len(rows) <= BROADCAST_ROWS else templates
 
     def kernel(batch: pa.RecordBatch) -> list:
-        return [batch.column("k1"), batch.column("k2"), [gram_hashes(words_of(t)) for t in texts(batch, "text")]]
+        words = [words_of(t) for t in texts(batch, "text")]
+        going = [[k for k, on in enumerate(numbers_go_on(w)) if on] for w in words]
+        return [batch.column("k1"), batch.column("k2"), [gram_hashes(w) for w in words], going]
 
-    grams = emit_arrow(own.select("text", "k1", "k2"), kernel, "k1 long, k2 long, grams array<long>").select("k1", "k2", F.posexplode("grams").alias("pos", "h"))
+    grams = emit_arrow(own.select("text", "k1", "k2"), kernel, "k1 long, k2 long, grams array<long>, going array<int>")
+    grams = grams.select("k1", "k2", "going", F.posexplode("grams").alias("pos", "h"))
     key = ["k1", "k2", "template", "label", "base", "grams", "needs"]
     hits = grams.join(templates, "h").withColumn("diagonal", F.col("pos") - F.col("place"))
+    hits = hits.where(~(F.col("needed") & (F.col("place") == F.col("grams") - 1) & F.array_contains("going", F.col("pos"))))
     votes = hits.groupBy(*key, "diagonal").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("needed"), F.col("place"))).alias("numbers"))  # at most the grams of a template
     votes = votes.withColumn("n", F.size("places"))
     places = votes.where("base and n = grams").groupBy("k1", "k2").agg(

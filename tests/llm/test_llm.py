@@ -154,6 +154,18 @@ def test_versions_of_licences_are_told_apart(spark):
     assert got[5][1] <= 0.5 and got[6][1] == 1
 
 
+def test_versions_that_go_on_and_refusals_are_no_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are %spermitted provided that the following conditions are met"
+    texts = [
+        "licensed under the GNU General Public License, version 2.1", "Licensed under the Apache License, Version 2.0.5", "Licensed under CC BY-NC 4.0.1", bsd % "not ",
+        "Licensed under the Apache License, Version 2.0. 5 files", "Licensed under CC BY-NC 4.0", bsd % "", "licensed under the GNU General Public License, version 2. 1 copy", "Licensed under the Apache License, Version 2.0\x025",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (set(r.labels.split(",")) - {"apache", "gpl", "mit", ""}, r.score) for r in license_scan.scan_licenses(df).collect()}
+    assert [got[k][0] for k in range(9)] == [set(), set(), set(), set(), {"apache-2.0"}, {"cc-by-nc-4.0"}, {"bsd-conditions"}, {"gpl-2.0"}, {"apache-2.0"}]
+    assert got[3][1] <= 0.5 and got[2][1] <= 0.5
+
+
 # --- BPE
 
 
@@ -578,3 +590,16 @@ def test_pipeline_stages(spark, sf):
     passes = mixing.training_mix(private).select(F.sum(F.expr("int(position_1 is not null) + int(position_2 is not null)"))).first()[0]
     assert mixed.count() == passes and mixed.columns == docs.columns
     assert p.run(spark, sf).count() == passes
+
+
+def test_stages_keep_columns_whose_names_they_use(spark, sf):
+    import corpus_pipeline as p
+
+    extra = {"Score": F.lit(7.5), "predicted": F.lit(9), "n_pii": F.lit("x"), "pii_kinds": F.lit(3), "__key": F.lit(1)}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns(extra)
+    kept = p.keep_clean(spark, docs, sf)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    assert kept.select("Score", "predicted").distinct().collect() == [(7.5, 9)]
+    hidden = p.replace_personal_data(spark, docs, sf)
+    assert hidden.columns == docs.columns and hidden.select("n_pii", "pii_kinds").distinct().collect() == [("x", 3)]
+    assert hidden.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() > 0

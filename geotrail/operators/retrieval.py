@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats
-from . import scans
+from . import retrieval_index, scans
 
 #: Queries and references that one task multiplies at once.
 QUERY_BLOCK, REFERENCE_SHARD = 1024, 16384
@@ -55,10 +55,13 @@ def top_references(queries: DataFrame, refs: DataFrame, k: int, max_gap_s: float
 
     ``queries`` (q long, v array, t double), ``refs`` (r long, v array, t double, ord long). With ``max_gap_s`` only
     references that close in time count, unless a query has none. Each block of queries meets each shard of references
-    in a task of bounded size and leaves its best ``k``.
+    in a task of bounded size and leaves its best ``k``. More references than a shard holds are searched by cells, which
+    gives the same rows, unless time counts.
     """
-    k = max(1, k)
-    blocks, shards = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-refs.count() // REFERENCE_SHARD))
+    k, n = max(1, k), refs.count()
+    if n > REFERENCE_SHARD and not max_gap_s:
+        return retrieval_index.search(queries, refs, k).tops
+    blocks, shards = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-n // REFERENCE_SHARD))
     qs = queries.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     rs = refs.withColumn("s", F.pmod(F.xxhash64("r"), F.lit(shards)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = qs.groupBy("b", "s").cogroup(rs.groupBy("b", "s")).applyInArrow(_cell(k, max_gap_s), "q long, r long, sim double, allowed boolean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,9 +102,20 @@ def worst(df: DataFrame, error: str, n: int, order: str) -> DataFrame:
 
 
 def write_kml(marks: DataFrame, path: str, title: str) -> None:
-    """Placemark rows as one document; a report for viewing, so its size is that of the paths shown."""
-    body = [r["xml"] for r in marks.toLocalIterator()]
-    Path(path).write_text('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>' + title + "</name>\n" + "\n".join(body) + "\n</Document></kml>\n", encoding="utf-8")
+    """Placemark rows as one local document, with the styles that they name, a row after the other.
+
+    For a report of the size of the paths shown; :mod:`.kml` writes documents of any size from the executors.
+    """
+    from .kml import FOOT, HEAD, style_lines
+
+    named = marks.select(F.explode(F.regexp_extract_all("xml", F.lit("<styleUrl>#([^<]*)</styleUrl>"), F.lit(1))).alias("s")).distinct().collect()  # as many as styles exist
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(HEAD % html.escape(title) + "\n")
+        for r in style_lines(marks.sparkSession, [r["s"] for r in named]).orderBy("item").select("line").collect():
+            f.write(r["line"] + "\n")
+        for r in marks.select("xml").toLocalIterator():
+            f.write(r["xml"] + "\n")
+        f.write(FOOT + "\n")
 
 
 def svg_fit(points: DataFrame, x: str, y: str, width: float = 1000.0, height: float = 700.0, margin: float = 40.0) -> DataFrame:
@@ -125,9 +137,19 @@ def error_lines(points: DataFrame) -> DataFrame:
 
 
 def write_svg(points: DataFrame, path: str, order: str, width: float = 1000.0, height: float = 700.0, errors: DataFrame | None = None) -> None:
-    """A polyline per flight over :func:`svg_fit` points, lines of :func:`error_lines`, and a 50 m bar."""
-    pts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.format_string("%.1f,%.1f", "svg_x", "svg_y").alias("p"))))
-    rows = points.groupBy("dataset_id").agg(F.array_join(F.transform(pts, lambda p: p["p"]), " ").alias("pts"), F.first("scale").alias("scale")).orderBy("dataset_id").collect()
-    lines = [f'<polyline fill="none" stroke="black" points="{r["pts"]}"/>' for r in rows]
-    bar = [f'<line x1="40" y1="{height - 15}" x2="{40 + 50 * rows[0]["scale"]:.1f}" y2="{height - 15}" stroke="black"/>'] if rows else []
-    Path(path).write_text(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}">\n' + "\n".join(lines + ([r["xml"] for r in errors.select("xml").toLocalIterator()] if errors is not None else []) + bar) + "\n</svg>\n", encoding="utf-8")
+    """A polyline per flight over :func:`svg_fit` points, lines of :func:`error_lines`, and a 50 m bar, a row after the other."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="{height:g}">\n')
+        scale, flight = None, None
+        for r in points.orderBy("dataset_id", order).select("dataset_id", "scale", F.format_string("%.1f,%.1f", "svg_x", "svg_y").alias("p")).toLocalIterator():
+            if scale is None or r["dataset_id"] != flight:
+                f.write(('"/>\n' if scale is not None else "") + '<polyline fill="none" stroke="black" points="')
+                scale, flight = (r["scale"] if scale is None else scale), r["dataset_id"]
+            f.write(r["p"] + " ")
+        if scale is not None:
+            f.write('"/>\n')
+        for r in errors.select("xml").toLocalIterator() if errors is not None else ():
+            f.write(r["xml"] + "\n")
+        if scale is not None:
+            f.write(f'<line x1="40" y1="{height - 15}" x2="{40 + 50 * scale:.1f}" y2="{height - 15}" stroke="black"/>\n')
+        f.write("</svg>\n")

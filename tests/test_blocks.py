@@ -147,7 +147,7 @@ def test_index_finds_what_all_pairs_find(spark):
     assert retrieval_index.search(q, r.limit(2), 3).tops.count() == 240
 
 
-def test_index_on_vectors_without_clusters(spark):
+def test_index_on_vectors_without_clusters(spark, monkeypatch):
     """Where bounds rule nothing out all pairs are multiplied, and the result is the same."""
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 24))
@@ -156,6 +156,9 @@ def test_index_on_vectors_without_clusters(spark):
     mine = sorted((a.q, a["rank"], a.r) for a in retrieval_index.search(q, r, 5).tops.collect())
     plain = retrieval.top_references(q.withColumn("t", F.lit(0.0)), r.withColumn("t", F.lit(0.0)), 5)
     assert mine == sorted((a.q, a["rank"], a.r) for a in plain.collect())
+    monkeypatch.setattr(retrieval, "REFERENCE_SHARD", 100)  # more references than a shard holds go to the index
+    large = retrieval.top_references(q.withColumn("t", F.lit(0.0)), r.withColumn("t", F.lit(0.0)), 5)
+    assert mine == sorted((a.q, a["rank"], a.r) for a in large.collect())
 
 
 # --- raster

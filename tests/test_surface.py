@@ -126,6 +126,14 @@ def test_retrieval_document_and_no_rows(spark, tmp_path):
     assert len(list(parsed(kml.retrieval_document(frames.limit(0), results.limit(0), refs, "x"), tmp_path).iter(f"{NS}Placemark"))) == 0
 
 
+def test_local_document_names_its_styles(spark, tmp_path):
+    df = spark.createDataFrame([("a", i, float(i), 32.0, 35.0, 32.1 if i > 2 else None, 35.1) for i in range(12)], "dataset_id string, frame_count long, start_seconds double, gt_lat double, gt_lon double, est_lat double, est_lon double")
+    sinks.write_kml(sinks.point_placemarks(sinks.live_points(df), "label", "lat", "lon", "style"), str(tmp_path / "a.kml"), "x < y & z")
+    doc = ET.parse(tmp_path / "a.kml").getroot().find(f"{NS}Document")
+    assert doc.find(f"{NS}name").text == "x < y & z"
+    assert {s.get("id") for s in doc.findall(f"{NS}Style")} == {s.text[1:] for s in doc.iter(f"{NS}styleUrl")} == {"truth-start", "estimate-start", "truth-dot", "estimate-dot"}
+
+
 def test_tenths_are_those_of_the_exact_double(spark):
     values = [0.0, 0.05, 4.35, 4.25, 4.75, 0.25, 0.15, 12.349999, 12.35, 1e6 + 0.05, 99.95, 0.95] + [round(i * 0.01, 2) for i in range(2000)]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", sinks.tenths(F.col("v")).alias("t")).collect()

@@ -16,9 +16,9 @@ from .sinks import escape, kml_coord, tenths, valid_coord, worst
 
 PLACE = ("section", "item", "part", "seq")
 LINE = "section int, item long, part int, seq long, line string"
-#: Colours (alpha, blue, green, red) and widths of lines.
+#: Colours (alpha, blue, green, red) and widths of lines.
 LINE_STYLES = {"drone-path": ("ffff7f00", 4), "truth-path": ("ff00aa00", 4), "estimate-path": ("ff0000ff", 4), "fix-path": ("ff00aa00", 3), "satellite-path": ("ffff5500", 3), "fallback-path": ("ff0055ff", 3), "error-line": ("44ffffff", 1)}
-#: Colours and sizes of points.
+#: Colours and sizes of points.
 POINT_STYLES = {"worst-point": ("ff00ffff", 0.9), "fix-point": ("ff00aa00", 0.6), "satellite-point": ("ffff5500", 0.6), "fallback-point": ("ff0055ff", 0.6), "truth-start": ("ff00aa00", 1.0), "estimate-start": ("ff0000ff", 1.0), "truth-dot": ("ff00aa00", 0.4), "estimate-dot": ("ff0000ff", 0.4)}
 #: Statuses of the fused positions, in the order of their paths, with the kind that they are drawn as.
 STATUSES = (("VPR_FIX", "fix"), ("SAT_FIX", "satellite"), ("VPR_FALLBACK", "fallback"), ("INTERP", "fallback"))

@@ -1,4 +1,4 @@
-"""The three definitions of median and 90th percentile that results are reported with."""
+"""Percentiles of groups of the size of one flight; ``operators.scans.order_statistics`` has those of any size."""
 
 from __future__ import annotations
 
@@ -11,17 +11,5 @@ def linear(x: Column, q: float) -> Column:
     return F.percentile(x, F.lit(q))
 
 
-def at_index(x: Column, q: float) -> Column:
-    """The order statistic at ``floor(q n)``, from 0. For groups of the size of one flight."""
-    s = F.array_sort(F.collect_list(x))
-    return F.get(s, F.floor(F.size(s) * F.lit(q)).cast("int"))
-
-
 def or_zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
-
-
-def error_summary(x: str) -> list[Column]:
-    """count, mean, median, p90 (linear) and max; zeros for no rows."""
-    v = F.col(x)
-    return [F.count("*").alias("queries"), or_zero(F.avg(v)).alias("mean_error_m"), or_zero(linear(v, 0.5)).alias("median_error_m"), or_zero(linear(v, 0.9)).alias("p90_error_m"), or_zero(F.max(v)).alias("max_error_m")]

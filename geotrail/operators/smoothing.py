@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, stats
+from ..functions import geo
+from ..sources.scratch import written
+from . import scans
 from .sequence import FLIGHT, along, from_here, so_far
 
 
@@ -42,9 +44,18 @@ def live_path(fixes: DataFrame, half: int = 4) -> DataFrame:
     return f.withColumn("smoothed_lat", causal("filled_lat", half)).withColumn("smoothed_lon", causal("filled_lon", half))
 
 
-def index_stats(x: str) -> list[Column]:
+def index_stats(rows: DataFrame, groups: list[str], x: str) -> DataFrame:
+    """Count, mean, the values at ``int(0.5 n)`` and ``int(0.9 n)``, and maximum of ``x`` in each group, at four places.
+
+    The values are read twice and so are to be a table; order statistics come from a range sort over all groups.
+    """
     v = F.col(x)
-    return [F.count("*").alias("count"), F.round(F.avg(v), 4).alias("mean_m"), F.round(stats.at_index(v, 0.5), 4).alias("median_m"), F.round(stats.at_index(v, 0.9), 4).alias("p90_m"), F.round(F.max(v), 4).alias("max_m")]
+    plain = rows.groupBy(*groups).agg(F.count(v).alias("count"), F.round(F.avg(v), 4).alias("mean_m"), F.round(F.max(v), 4).alias("max_m"))
+    at = scans.order_statistics(rows, groups, x, (0.5, 0.9)).select(*[F.col(g).alias(f"__k_{g}") for g in groups], F.round("at_0", 4).alias("median_m"), F.round("at_1", 4).alias("p90_m"))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__k_{g}"))
+    return plain.join(at, same).select(*groups, "count", "mean_m", "median_m", "p90_m", "max_m")
 
 
 def window_sweep(path: DataFrame, smooth, lat: str, lon: str, most: int = 6) -> DataFrame:
@@ -55,7 +66,7 @@ def window_sweep(path: DataFrame, smooth, lat: str, lon: str, most: int = 6) ->
     p = p.where("gt_lat is not null and gt_lon is not null")
     each = F.array(*[F.struct(F.lit(h).alias("half_window"), geo.haversine(f"__a{h}", f"__b{h}", "gt_lat", "gt_lon").alias("error_m")) for h in range(most + 1)])
     p = p.select(FLIGHT, F.explode(each).alias("e")).select(FLIGHT, "e.*").where("error_m is not null")
-    return p.groupBy(FLIGHT, "half_window").agg(*index_stats("error_m"))
+    return index_stats(written(p), [FLIGHT, "half_window"], "error_m")
 
 
 def best_window(sweep: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ class Block:
 
 
 def decode_blocks(candidates: DataFrame, order: int = 1, cfg: Costs = Costs(), block: int = BLOCK) -> DataFrame:
-    """(dataset_id, step, rank) like ``decoding.decode``; a flight's steps are numbered from 0 without gaps.
+    """(dataset_id, step, rank) like ``decoding.decode``; flights have names, and their steps are numbered from 0 without gaps.
 
     A task holds one block of frames and, in the two scans, a matrix or a map a block of one flight. With second order a
     block has three frames at least, so the last one may take up to two more.

@@ -10,7 +10,6 @@ on with the best of those before. Scores are integers, so results are exact.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append_arrow, cut_table
+from .common import append_arrow, cut_table, emit_arrow, texts
 
 #: Terms of a group of items; a group's terms and items are broadcast, and each group is searched over all documents.
 GROUP_TERMS = 1 << 14
@@ -265,14 +264,13 @@ def ranked_documents(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFram
 
 def _frequencies(rows: DataFrame) -> DataFrame:
     """(term, df) over restricted vectors; counted in each task before the shuffle."""
-    from .common import emit_arrow
 
     def kernel(batch: pa.RecordBatch) -> list:
-        found = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(t, np.int32) for t in batch.column(batch.schema.get_field_index("terms")).to_pylist())])
-        return [*np.unique(found, return_counts=True)]
+        found = [np.zeros(0, np.int32), *(np.frombuffer(t, np.int32) for t in texts(batch, "terms"))]
+        term, n = np.unique(np.concatenate(found), return_counts=True)
+        return [pa.array(term, pa.int32()), pa.array(n, pa.int64())]
 
-    counted = emit_arrow(rows.select("terms"), lambda b: [pa.array(x, t) for x, t in zip(kernel(b), (pa.int32(), pa.int64()), strict=True)], "term int, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("df"))
+    return emit_arrow(rows.select("terms"), kernel, "term int, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"

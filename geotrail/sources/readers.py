@@ -16,12 +16,13 @@ from ..operators.sequence import union_tagged
 
 # The forms of the subtitle format.
 FRAME = r"(FrameCnt|SrtCnt)\s*:?\s*(\d+),\s*DiffTime\s*:?\s*(\d+)ms"
-TIME_RANGE = r"(\d{2}:\d{2}:\d{2},\d{3})\s+-->\s+(\d{2}:\d{2}:\d{2},\d{3})"
+# Hours take more than two digits from the hundredth on; their first digits are not to be left out.
+TIME_RANGE = r"(\d{2,}:\d{2}:\d{2},\d{3})\s+-->\s+(\d{2,}:\d{2}:\d{2},\d{3})"
 DATETIME = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+"
 
 
 def srt_seconds(t: Column) -> Column:
-    """``HH:MM:SS,mmm`` as seconds; null for anything else."""
+    """``HH:MM:SS,mmm`` as seconds, with as many digits of hours as there are; null for anything else."""
     p = F.split(t, "[:,]")
     n = lambda k: F.get(p, F.lit(k)).try_cast("double")
     return n(0) * 3600 + n(1) * 60 + n(2) + n(3) / 1000

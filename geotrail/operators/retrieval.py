@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, stats
+from ..sources import scratch
 from . import retrieval_index, scans
 
 #: Queries and references that one task multiplies at once.
-QUERY_BLOCK, REFERENCE_SHARD = 1024, 16384
+QUERY_BLOCK, REFERENCE_SHARD = 8192, 16384
+#: Tasks that the cells of blocks and shards are dealt to, at most.
+MOST_TASKS = 4096
 
 
 def similarity(a: str, b: str) -> Column:
@@ -24,28 +27,22 @@ def l2_normalise(v: str) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
 
 
-def _matrix(table: pa.Table, name: str) -> np.ndarray:
-    return np.stack([np.asarray(v.values, np.float64) for v in table[name]]) if table.num_rows else np.zeros((0, 0))
-
-
 def _cell(k: int, max_gap_s: float | None):
     def best(queries: pa.Table, refs: pa.Table) -> pa.Table:
         rows: list[list] = [[], [], [], []]
         if queries.num_rows and refs.num_rows:
-            s = _matrix(queries, "v") @ _matrix(refs, "v").T
-            order = refs["ord"].to_numpy()
-            names, keys = queries["q"].to_pylist(), refs["r"].to_pylist()
+            x, y, order = retrieval_index.matrix(queries["v"]), retrieval_index.matrix(refs["v"]), refs["ord"].to_numpy()
+            names, keys = queries["q"].to_numpy(), refs["r"].to_numpy()
             t_q, t_r = queries["t"].to_numpy(), refs["t"].to_numpy()
-            for i, row in enumerate(s):
-                masks = [(True, np.arange(len(row)))]
-                if max_gap_s:
-                    near = np.flatnonzero(np.abs(t_r - t_q[i]) <= max_gap_s)
-                    masks = [(False, masks[0][1]), (True, near)]
-                for allowed, at in masks:
-                    top = at[np.lexsort((-order[at], -row[at]))[:k]]
-                    for col, x in zip(rows, ([names[i]] * len(top), [keys[j] for j in top], row[top].tolist(), [allowed] * len(top)), strict=True):
-                        col.extend(x)
-        return pa.table({"q": pa.array(rows[0], pa.int64()), "r": pa.array(rows[1], pa.int64()), "sim": pa.array(rows[2], pa.float64()), "allowed": pa.array(rows[3], pa.bool_())})
+            masks = [(True, None)]
+            if max_gap_s:
+                masks = [(False, None), (True, lambda a, b: np.abs(t_r[None, b] - t_q[a, None]) <= max_gap_s)]
+            for allowed, mask in masks:
+                i, j, sim = retrieval_index.largest(x, y, order, k, mask)
+                for col, c in zip(rows, (names[i], keys[j], sim, np.full(len(i), allowed)), strict=True):
+                    col.append(c)
+        made = [np.concatenate(c) if c else [] for c in rows]
+        return pa.table([pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["q", "r", "sim", "allowed"])
 
     return best
 
@@ -55,19 +52,21 @@ def top_references(queries: DataFrame, refs: DataFrame, k: int, max_gap_s: float
 
     ``queries`` (q long, v array, t double), ``refs`` (r long, v array, t double, ord long). With ``max_gap_s`` only
     references that close in time count, unless a query has none. Each block of queries meets each shard of references
-    in a task of bounded size and leaves its best ``k``. More references than a shard holds are searched by cells, which
-    gives the same rows, unless time counts.
+    in a task of bounded size and leaves its best ``k``; a query moves once a shard, a reference once a block. The rows
+    are written once, so that what is built on them several times does not search again. For descriptors that cluster
+    ``retrieval_index.search`` gives the same rows from fewer pairs.
     """
-    k, n = max(1, k), refs.count()
-    if n > REFERENCE_SHARD and not max_gap_s:
-        return retrieval_index.search(queries, refs, k).tops
-    blocks, shards = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-n // REFERENCE_SHARD))
+    k = max(1, k)
+    blocks, shards = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-refs.count() // REFERENCE_SHARD))
     qs = queries.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     rs = refs.withColumn("s", F.pmod(F.xxhash64("r"), F.lit(shards)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    n = min(2 * blocks * shards, MOST_TASKS)  # by number: a cell is a few MB, but seconds of work
+    qs, rs = qs.repartition(n, "b", "s"), rs.repartition(n, "b", "s")
     met = qs.groupBy("b", "s").cogroup(rs.groupBy("b", "s")).applyInArrow(_cell(k, max_gap_s), "q long, r long, sim double, allowed boolean")
     met = met.withColumn("use", F.max("allowed").over(Window.partitionBy("q"))).where("allowed = use")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), F.desc("ord"))
-    return met.join(refs.select("r", "ord"), "r").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "r", "sim", "rank")
+    tops = met.join(refs.select("r", "ord"), "r").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scratch.written(tops.select("q", "r", "sim", "rank"))
 
 
 def located(tops: DataFrame, frames: DataFrame, lat0: float | Column, lon0: float | Column) -> DataFrame:

@@ -9,11 +9,12 @@ descriptors cluster, and is reported.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ ROUNDS = 5
 #: Relative slack of a bound over the rounding of a product.
 SLACK = 1e-9
 QUERY_BLOCK, REFERENCE_SHARD = 1024, 16384
+#: Queries and references whose products are held at once, and pairs that are multiplied alone at once.
+TILE_ROWS, TILE_REFS, PIECE = 256, 4096, 1 << 15
 
 
 class Found(NamedTuple):
@@ -35,8 +38,55 @@ class Found(NamedTuple):
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    rows = [np.asarray(v.values, np.float64) for v in column]
-    return np.stack(rows) if rows else np.zeros((0, 0))
+    """Vectors of one length as rows."""
+    parts = [c for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]) if len(c)]
+    if not parts:
+        return np.zeros((0, 0))
+    if any(c.null_count for c in parts) or len({n for c in parts for n in np.unique(pc.list_value_length(c).to_numpy(zero_copy_only=False)).tolist()}) > 1:
+        return np.stack([np.asarray(v.values, np.float64) for c in parts for v in c])  # which says what is wrong with them
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1).astype(np.float64) for c in parts])
+
+
+def largest(x: np.ndarray, refs: np.ndarray, order: np.ndarray, k: int, allowed: Callable[[slice, slice], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, sim): of each row ``i`` of ``x`` the ``k`` rows ``j`` of ``refs`` with the largest products, ties to the higher ``order``.
+
+    Products are taken a tile at a time. From a row's second tile on only those that reach its k-th best so far go on, so
+    nearly all are passed over by one comparison. What goes on is multiplied anew, each pair alone: equal vectors then
+    have equal products, wherever they stand. ``allowed`` masks the pairs of a tile.
+    """
+    found: list[list[np.ndarray]] = [[], [], []]
+    slack = SLACK * np.sqrt((x**2).sum(axis=1)) * (np.sqrt((refs**2).sum(axis=1).max()) if len(refs) else 0.0)
+    odd = not np.isfinite(slack).all()  # products that are no numbers come last
+    slack = np.where(np.isfinite(slack), slack, 0.0)
+    for at in range(0, len(x), TILE_ROWS):
+        rows = slice(at, min(len(x), at + TILE_ROWS))
+        floor = np.full(rows.stop - rows.start, -np.inf)
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for first in range(0, len(refs), TILE_REFS):
+            cols = slice(first, min(len(refs), first + TILE_REFS))
+            s = x[rows] @ refs[cols].T
+            mask = None if allowed is None else allowed(rows, cols)
+            if mask is not None:
+                s[~mask] = -np.inf
+            if odd:
+                s[np.isnan(s)] = -np.inf
+            if not first and s.shape[1] > k:
+                floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            reach = s >= (floor - slack[rows])[:, None]
+            i, j = np.nonzero(reach if mask is None else reach & mask)
+            if not len(i):
+                continue
+            exact = np.concatenate([np.einsum("ij,ij->i", x[at + i[p : p + PIECE]], refs[first + j[p : p + PIECE]]) for p in range(0, len(i), PIECE)])
+            i, j, exact = np.concatenate([best[0], i]), np.concatenate([best[1], first + j]), np.concatenate([best[2], exact])
+            by = np.lexsort((-order[j], -exact, i))
+            i, j, exact = i[by], j[by], exact[by]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            best = [c[place < k] for c in (i, j, exact)]
+            full = place == k - 1
+            floor[i[full]] = np.where(np.isnan(exact[full]), -np.inf, exact[full])
+        for out, c in zip(found, (at + best[0], best[1], best[2]), strict=True):
+            out.append(c)
+    return tuple(np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(found, (np.int64, np.int64, np.float64), strict=True))
 
 
 def fit_pivots(refs: DataFrame, n: int) -> np.ndarray:
@@ -125,15 +175,9 @@ def _multiplied(visits: DataFrame, refs: DataFrame, sizes: DataFrame, k: int) ->
     qs, rs = qs.select("cell", "s", "b", "q", "v"), rs.select("cell", "s", "b", "r", "v", "ord")
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        rows: list[list] = [[], [], [], []]
-        if a.num_rows and b.num_rows:
-            s = matrix(a["v"]) @ matrix(b["v"]).T
-            order, keys, names = b["ord"].to_numpy(), b["r"].to_numpy(), a["q"].to_pylist()
-            for name, row in zip(names, s, strict=True):
-                top = np.lexsort((-order, -row))[:k]
-                for col, x in zip(rows, ([name] * len(top), keys[top].tolist(), row[top].tolist(), order[top].tolist()), strict=True):
-                    col.extend(x)
-        return pa.table([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["q", "r", "sim", "ord"])
+        order, keys, names = b["ord"].to_numpy(), b["r"].to_numpy(), a["q"].to_numpy()
+        i, j, sim = largest(matrix(a["v"]), matrix(b["v"]), order, k) if a.num_rows and b.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table([pa.array(x, t) for x, t in zip((names[i], keys[j], sim, order[j]), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["q", "r", "sim", "ord"])
 
     return qs.groupBy("cell", "s", "b").cogroup(rs.groupBy("cell", "s", "b")).applyInArrow(best, "q long, r long, sim double, ord long")
 
@@ -159,6 +203,6 @@ def search(queries: DataFrame, refs: DataFrame, k: int, pivots: int = PIVOTS) ->
     near = written(best(_multiplied(one, dealt, sizes, k)))
     floors = near.groupBy("q").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(float("-inf")).alias("floor"))
     two = _visits(slim.join(floors, "q"), centres, cells, k, False)
-    tops = best(near.drop("rank").unionByName(_multiplied(two, dealt, sizes, k)))
+    tops = written(best(near.drop("rank").unionByName(_multiplied(two, dealt, sizes, k))))  # or each use would multiply anew
     visits = one.select("q", "cell").unionByName(two.select("q", "cell")).join(F.broadcast(sizes), "cell")
     return Found(tops.select("q", "r", "sim", "rank"), visits.groupBy("q").agg(F.sum("n").alias("pairs")))

@@ -1,12 +1,15 @@
 """Queries on rows that only larger tables hold, against their SQL or brute force."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_queries import plain
 
-from geotrail.plans import registry
+from geotrail.operators import retrieval, retrieval_index
+from geotrail.plans import queries_stream, registry, views
 from geotrail.sources import readers
+from geotrail.streaming import ordered
 
 REG = registry.load()
 
@@ -46,3 +49,61 @@ def test_time_ranges_keep_all_digits_of_hours(spark):
     df = spark.createDataFrame([(f"{k + 1}\n{t}\n[iso: 1]",) for k, t in enumerate(times)], "block string")
     got = [(r.start_seconds, r.end_seconds) for r in readers.parse_blocks(df).orderBy("subtitle_index").collect()]
     assert got == [(359999.999, 360000.001), (3600001.5, 3600002.0)]
+
+
+# --- retrieval
+
+
+@pytest.mark.parametrize(("rows", "refs", "piece"), [(256, 4096, 1 << 15), (7, 13, 5), (1, 3, 1)])
+def test_largest_products_in_tiles(monkeypatch, rows, refs, piece):
+    for name, v in (("TILE_ROWS", rows), ("TILE_REFS", refs), ("PIECE", piece)):
+        monkeypatch.setattr(retrieval_index, name, v)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(-2, 3, (30, 4)).astype(float), rng.integers(-2, 3, (200, 4)).astype(float)  # exact products, many ties
+    y[::9] = y[0]
+    order, s = rng.permutation(200), x @ y.T
+    near = rng.random((30, 200)) < 0.1
+    for mask, k in ((None, 6), (near, 6), (None, 300)):
+        i, j, sim = retrieval_index.largest(x, y, order, k, None if mask is None else lambda a, b: near[a, b])
+        for q in range(30):
+            at = np.arange(200) if mask is None else np.flatnonzero(near[q])
+            want = at[np.lexsort((-order[at], -s[q][at]))[:k]]
+            assert j[i == q].tolist() == want.tolist() and sim[i == q].tolist() == s[q][want].tolist()
+    y[5], x[2] = np.nan, np.inf
+    i, j, _ = retrieval_index.largest(x, y, order, 200)
+    assert np.bincount(i, minlength=30).tolist() == [200] * 30 and all(j[i == q][-1] == 5 for q in range(30) if q != 2)
+
+
+def test_a_search_is_made_once(spark, sf, monkeypatch):
+    """Rows that several branches of a plan use come from a table, also where references fill many shards."""
+    monkeypatch.setattr(retrieval, "REFERENCE_SHARD", 100)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 30)
+    tops = views.top_candidates(spark, sf, 6)
+    assert "CoGroup" not in tops._jdf.queryExecution().toString() and tops.count() == 600
+    refs = views.frames(spark, sf).where("role = 'reference'").select(F.col("frame_count").alias("r"), "v", F.col("frame_count").alias("ord"))
+    indexed = retrieval_index.search(refs.limit(5).select(F.col("r").alias("q"), "v"), refs, 3).tops
+    assert "CoGroup" not in indexed._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["retrieval_cross_topk", "retrieval_stride", "retrieval_time_gap"])
+def test_blocks_and_shards_find_what_the_sql_finds(spark, duck, sf, monkeypatch, name):
+    monkeypatch.setattr(retrieval, "REFERENCE_SHARD", 60)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 30)
+    same_as_sql(spark, duck, sf, name)
+
+
+# --- streams
+
+
+def test_a_stream_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    rows = spark.range(40).selectExpr("id % 2 dataset_id", f"{queries_stream.EPOCH_US} + id us", "id frame_count", "double(id) raw_lat", "double(id) raw_lon")
+    rows = rows.mapInPandas(count, rows.schema)
+    out = queries_stream._out_of_order(spark, rows, F.lit(0.0), lambda s: ordered.localise_unordered(s, 1.0, queries_stream.GAP_S))
+    assert out.where("not late").count() == 40 and seen.value == 40

@@ -282,9 +282,24 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("common") * whole >= (F.col("total") - F.col("common")) * part).select("a", "b")
 
 
-def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth: int = GROWTH) -> DataFrame:
-    """(a, b) links that join all similar sets, transitively; ``sets`` as of ``blocks_of_similar``.
+def simhash_links(sets: DataFrame, distance: int = 3) -> DataFrame:
+    """(a, b) of similar sets that SimHash finds; ``sets`` as of ``blocks_of_similar``.
 
+    Fingerprints within ``distance`` bits meet under the masks of ``near_links``, of which links to the first of each
+    component come out, and equal ones link to the least node; an exact check of the sets follows. Links grow with the
+    sets, not with the pairs of a group.
+    """
+    first = cut(sets.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("first")))
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    equal = sets.select(F.col("f0").alias("fp"), "node").join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    close = near_links(first.select("fp"), distance).join(end("a"), "a").join(end("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    return cut(verified(equal.unionByName(close), sets))
+
+
+def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth: int = GROWTH, found: DataFrame | None = None) -> DataFrame:
+    """(a, b) links that join all similar sets, transitively; ``sets`` as of ``blocks_of_similar``, ``found`` links known so far.
+
+    Blocks whose rows the links found so far already join are done.
     Sets that share a block are compared: sizes, then fingerprints, then the sets themselves. A block of few rows is
     compared at once. In a larger one some rows, picked by hash, are compared with all; if it then still holds rows of
     several components, ``growth`` times as many, until none does or all pairs were compared; from the third turn on only
@@ -297,8 +312,15 @@ def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth:
     blocks = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     similar = lambda a, b, total: F.size(F.array_intersect(a, b)) * whole >= (total - F.size(F.array_intersect(a, b))) * part
     place = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53)
-    met = cut(rows.join(blocks, "key").withColumn("place", place * F.col("n")).withColumn("label", F.col("node")))
-    links, seen, turn = None, None, 0
+    met = rows.join(blocks, "key").withColumn("place", place * F.col("n"))
+    if found is None:
+        met = cut(met.withColumn("label", F.col("node")))
+    else:
+        met = cut(met.join(labelled(sets, found, "node"), "node"))
+        met = cut(met.join(mixed_blocks(met), "key"))
+        if met.isEmpty():
+            return found
+    links, seen, turn = found, None, 0
     while True:
         x = met.where((F.col("n") <= few) | (F.col("place") < pivots)).alias("x")
         y = met.alias("y")
@@ -317,8 +339,7 @@ def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth:
         if rest.isEmpty():
             return links
         rest = cut(rest.join(labelled(rest, links, "node"), "node"))
-        mixed = cut(rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
-        met, pivots, turn = rest.join(mixed, "key"), pivots * growth, turn + 1
+        met, pivots, turn = rest.join(cut(mixed_blocks(rest)), "key"), pivots * growth, turn + 1
         if turn == 2:
             met = met.join(sets.select("node", "shared"), "node")
         met = cut(met)
@@ -326,6 +347,11 @@ def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth:
             return links
 
 
+def mixed_blocks(rows: DataFrame) -> DataFrame:
+    """The ``key`` of blocks with more than one ``label``."""
+    return rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+
+
 def labelled(nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
     """Distinct ``node`` -> (node, label): the smallest node reached over links."""
     found = connected_components(links)
@@ -351,8 +377,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """``docs`` without near-copies: of each component the row with the smallest id (nulls last), then text digest.
 
-    Texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Null and empty texts are
-    copies of each other. Columns stay as they are; of repeated equal rows one stays.
+    Texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash joins the sets whose
+    64-bit fingerprints differ in 3 bits at most (``simhash_links``); an exact step then compares the sets that share a
+    block and are not yet joined, for similar sets may differ in more bits. Null and empty texts are copies of each
+    other. Columns stay as they are; of repeated equal rows one stays.
     """
     cols = docs.columns
     keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id).isNull(), doc_id, F.col(text).isNull(), text))
@@ -367,6 +395,6 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("h").alias("h"), F.col("key").alias("key"))
     classes = cut(slim.groupBy("node").agg(F.min(order).alias("first"), F.min("size").alias("size")))
     sets = blocks_of_similar(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), classes.select("node", "size", "first.key"), width)
-    labels = labelled(classes, similar_links(sets), "node").join(classes.select("node", "first"), "node")
+    labels = labelled(classes, similar_links(sets, found=simhash_links(sets)), "node").join(classes.select("node", "first"), "node")
     kept = labels.groupBy("label").agg(F.min("first").alias("k")).select(F.col("k.key").alias("__key"))
     return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*cols)

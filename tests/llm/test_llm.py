@@ -497,6 +497,25 @@ def test_large_blocks_are_compared_until_no_link_is_missing(spark, few, pivots,
     assert {i: got.get(i, i) for i in docs} == brute_similar(docs)
 
 
+def test_simhash_finds_links_before_the_exact_step(spark, monkeypatch):
+    docs = similar_fixture()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    held, known = {}, simhash.similar_links
+
+    def exact(sets, *args, found=None, **more):
+        held["found"] = [] if found is None else [(r.a, r.b) for r in found.collect()]
+        held["sets"] = {r.node: set(r.shared) for r in sets.collect()}
+        held["size"] = {r.node: r.size for r in sets.collect()}
+        return known(sets, *args, found=found, **more)
+
+    monkeypatch.setattr(simhash, "similar_links", exact)
+    assert {r.doc_id for r in simhash.one_of_each_group(df).collect()} == set(brute_similar(docs).values())
+    assert len(held["found"]) > 10  # SimHash's own links, each of which is exact
+    for a, b in held["found"]:
+        common = len(held["sets"][a] & held["sets"][b])
+        assert common * 5 >= (held["size"][a] + held["size"][b] - common) * 4
+
+
 def test_similar_texts_of_the_shared_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     docs = docs.union(docs.where("doc_id % 7 = 0").selectExpr("doc_id + 1000000", "concat_ws(' ', text, 'and', 'more', 'words')"))

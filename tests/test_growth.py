@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import plain
 
-from geotrail.operators import retrieval, retrieval_index
+from geotrail.operators import raster, retrieval, retrieval_index
 from geotrail.plans import queries_stream, registry, views
 from geotrail.sources import readers
 from geotrail.streaming import ordered
@@ -107,3 +107,24 @@ def test_a_stream_computes_its_rows_once(spark):
     rows = rows.mapInPandas(count, rows.schema)
     out = queries_stream._out_of_order(spark, rows, F.lit(0.0), lambda s: ordered.localise_unordered(s, 1.0, queries_stream.GAP_S))
     assert out.where("not late").count() == 40 and seen.value == 40
+
+
+# --- views from above
+
+
+def test_equal_cameras_are_viewed_once_and_as_one_row(spark, monkeypatch):
+    cameras = [(40.0, 50.0, 30.0), (15.5, 21.0, 297.0), (80.0, 79.0, 0.0), (None, 50.0, 1.0)]
+    rows = [(f"d{k % 3}", k, *cameras[k % 4]) for k in range(40)]
+    frames = spark.createDataFrame(rows, "dataset_id string, frame_count long, altitude double, angle double, heading double")
+    keys, held, known = ["dataset_id", "frame_count"], {}, raster.grid_rows
+
+    def grid_rows(*args, **more):
+        held["made"] = known(*args, **more)
+        return held["made"]
+
+    monkeypatch.setattr(raster, "grid_rows", grid_rows)
+    got = {(r.dataset_id, r.frame_count): r for r in raster.camera_coverage(frames, keys, size=64).collect()}
+    assert held["made"].count() == 3 and len(got) == 30
+    for r in raster.view_coverage(known(frames, keys, size=64, arrays=False), keys).collect():
+        mine = got[r.dataset_id, r.frame_count]
+        assert (mine.n_ahead, mine.n_inside) == (r.n_ahead, r.n_inside) and mine.mean_x == pytest.approx(r.mean_x) and mine.mean_y == pytest.approx(r.mean_y)

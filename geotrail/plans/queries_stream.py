@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..sources.scratch import shared_folder
+from ..sources.scratch import shared_folder, written
 from ..streaming import ordered
 from ..streaming.causal import localise
 from . import oracle as o
@@ -24,11 +24,16 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _middle(rows: DataFrame, column: str) -> float:
+    """About the median: where a stream is cut, its output is the same, so no task need hold all values."""
+    return rows.agg(F.percentile_approx(column, 0.5)).first()[0] or 0.0
+
+
 def _streamed(spark, sf) -> DataFrame:
     """The fixes view written as files in time order, read as a stream of micro-batches, and its output as a table."""
     at = _folder(spark)
-    fixes = views.fixes(spark, sf)
-    half = fixes.agg(F.expr("percentile(start_seconds, 0.5)")).first()[0] or 0.0
+    fixes = written(views.fixes(spark, sf))  # the parts read it, not the view
+    half = _middle(fixes, "start_seconds")
     fixes.where(F.col("start_seconds") <= half).write.parquet(f"{at}/in/part=1")
     fixes.where(F.col("start_seconds") > half).write.parquet(f"{at}/in/part=2")
     out = None
@@ -60,7 +65,8 @@ LAST_FLIGHT = -1
 def _out_of_order(spark, rows: DataFrame, jitter_s, loop) -> DataFrame:
     """``rows`` (with ``us``) in two parts, parted by time and ``jitter_s``, through ``loop``; the rows that come out."""
     at = _folder(spark)
-    half = rows.agg(F.expr("percentile(us, 0.5)")).first()[0] or 0.0
+    rows = written(rows)  # four passes follow
+    half = _middle(rows, "us")
     early = F.col("us") + jitter_s * 1e6 <= half
     rows.where(early).write.parquet(f"{at}/in/part=1")
     rows.where(~early).write.parquet(f"{at}/in/part=2")

@@ -12,7 +12,7 @@ from ..sources import scratch
 from . import retrieval_index, scans
 
 #: Queries and references that one task multiplies at once.
-QUERY_BLOCK, REFERENCE_SHARD = 8192, 16384
+QUERY_BLOCK, REFERENCE_SHARD = 16384, 65536
 #: Tasks that the cells of blocks and shards are dealt to, at most.
 MOST_TASKS = 4096
 
@@ -29,20 +29,20 @@ def l2_normalise(v: str) -> Column:
 
 def _cell(k: int, max_gap_s: float | None):
     def best(queries: pa.Table, refs: pa.Table) -> pa.Table:
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
         if queries.num_rows and refs.num_rows:
-            x, y, order = retrieval_index.matrix(queries["v"]), retrieval_index.matrix(refs["v"]), refs["ord"].to_numpy()
+            x, y, order = retrieval_index.matrix(queries["q_v"]), retrieval_index.matrix(refs["r_v"]), refs["ord"].to_numpy()
             names, keys = queries["q"].to_numpy(), refs["r"].to_numpy()
-            t_q, t_r = queries["t"].to_numpy(), refs["t"].to_numpy()
+            t_q, t_r = queries["q_t"].to_numpy(), refs["r_t"].to_numpy()
             masks = [(True, None)]
             if max_gap_s:
                 masks = [(False, None), (True, lambda a, b: np.abs(t_r[None, b] - t_q[a, None]) <= max_gap_s)]
             for allowed, mask in masks:
                 i, j, sim = retrieval_index.largest(x, y, order, k, mask)
-                for col, c in zip(rows, (names[i], keys[j], sim, np.full(len(i), allowed)), strict=True):
+                for col, c in zip(rows, (names[i], keys[j], sim, order[j], np.full(len(i), allowed)), strict=True):
                     col.append(c)
         made = [np.concatenate(c) if c else [] for c in rows]
-        return pa.table([pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["q", "r", "sim", "allowed"])
+        return pa.table([pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()), strict=True)], names=["q", "r", "sim", "ord", "allowed"])
 
     return best
 
@@ -58,14 +58,17 @@ def top_references(queries: DataFrame, refs: DataFrame, k: int, max_gap_s: float
     """
     k = max(1, k)
     blocks, shards = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-refs.count() // REFERENCE_SHARD))
+    # names of their own: sides that come from one table would share the columns, and one of them would lose them
+    queries, refs = queries.select("q", F.col("v").alias("q_v"), F.col("t").alias("q_t")), refs.select("r", F.col("v").alias("r_v"), F.col("t").alias("r_t"), "ord")
     qs = queries.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     rs = refs.withColumn("s", F.pmod(F.xxhash64("r"), F.lit(shards)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     n = min(2 * blocks * shards, MOST_TASKS)  # by number: a cell is a few MB, but seconds of work
     qs, rs = qs.repartition(n, "b", "s"), rs.repartition(n, "b", "s")
-    met = qs.groupBy("b", "s").cogroup(rs.groupBy("b", "s")).applyInArrow(_cell(k, max_gap_s), "q long, r long, sim double, allowed boolean")
-    met = met.withColumn("use", F.max("allowed").over(Window.partitionBy("q"))).where("allowed = use")
+    met = qs.groupBy("b", "s").cogroup(rs.groupBy("b", "s")).applyInArrow(_cell(k, max_gap_s), "q long, r long, sim double, ord long, allowed boolean")
+    if max_gap_s:
+        met = met.withColumn("use", F.max("allowed").over(Window.partitionBy("q"))).where("allowed = use")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), F.desc("ord"))
-    tops = met.join(refs.select("r", "ord"), "r").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    tops = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return scratch.written(tops.select("q", "r", "sim", "rank"))
 
 

@@ -27,7 +27,9 @@ ROUNDS = 5
 SLACK = 1e-9
 QUERY_BLOCK, REFERENCE_SHARD = 1024, 16384
 #: Queries and references whose products are held at once, and pairs that are multiplied alone at once.
-TILE_ROWS, TILE_REFS, PIECE = 256, 4096, 1 << 15
+TILE_ROWS, TILE_REFS, PIECE = 256, 4096, 1 << 12
+#: References whose products give the first floor of a row.
+PROBE = 512
 
 
 class Found(NamedTuple):
@@ -47,44 +49,84 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1).astype(np.float64) for c in parts])
 
 
+def _exact(x: np.ndarray, refs: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of pairs, each alone: equal vectors then have equal products, wherever they stand."""
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[i[p : p + PIECE]], refs[j[p : p + PIECE]]) for p in range(0, len(i), PIECE))])
+
+
+def _nonzero(flags: np.ndarray) -> np.ndarray:
+    """Places of the few set bytes; ``flags`` has a length that 8 divides."""
+    words = np.flatnonzero(flags.view(np.uint64))
+    w, at = np.nonzero(flags.reshape(-1, 8)[words])
+    return words[w] * 8 + at
+
+
 def largest(x: np.ndarray, refs: np.ndarray, order: np.ndarray, k: int, allowed: Callable[[slice, slice], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, sim): of each row ``i`` of ``x`` the ``k`` rows ``j`` of ``refs`` with the largest products, ties to the higher ``order``.
 
-    Products are taken a tile at a time. From a row's second tile on only those that reach its k-th best so far go on, so
-    nearly all are passed over by one comparison. What goes on is multiplied anew, each pair alone: equal vectors then
-    have equal products, wherever they stand. ``allowed`` masks the pairs of a tile.
+    Products are taken a tile at a time, in single precision. ``slack`` bounds their error, so what lies more than twice
+    that below a row's k-th best so far is none of its best, and nearly all are passed over by one comparison. What is
+    left in the end is multiplied anew in double precision. ``allowed`` masks the pairs of a tile.
     """
-    found: list[list[np.ndarray]] = [[], [], []]
-    slack = SLACK * np.sqrt((x**2).sum(axis=1)) * (np.sqrt((refs**2).sum(axis=1).max()) if len(refs) else 0.0)
-    odd = not np.isfinite(slack).all()  # products that are no numbers come last
+    width, found = x.shape[1], [[], [], []]
+    own, others = np.sqrt((x**2).sum(axis=1)), np.sqrt((refs**2).sum(axis=1))
+    odd = not (np.isfinite(own).all() and np.isfinite(others).all())  # products that are no numbers come last
+    others = np.max(others[np.isfinite(others)], initial=0.0)
+    single = not odd and max(np.max(own, initial=0.0), others) < 1e15
+    a, b = (x.astype(np.float32), refs.astype(np.float32)) if single else (x, refs)
+    with np.errstate(invalid="ignore", over="ignore"):
+        # rounding of ``width`` sums of products and of both factors, and numbers too small for single precision
+        slack = 2 * ((width + 4) * 2.0**-23 * own * others + width * 2.0**-125 * (1 + own + others)) if single else 2 * SLACK * own * others
     slack = np.where(np.isfinite(slack), slack, 0.0)
+    products = np.empty(TILE_ROWS * TILE_REFS, a.dtype)
+    flags = np.zeros(-(-TILE_ROWS * TILE_REFS // 8) * 8, np.uint8)
     for at in range(0, len(x), TILE_ROWS):
         rows = slice(at, min(len(x), at + TILE_ROWS))
-        floor = np.full(rows.stop - rows.start, -np.inf)
-        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        n, off = rows.stop - at, slack[rows]
+        floor = np.full(n, -np.inf)
+        i, j, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+        def best(i: np.ndarray, j: np.ndarray, at: int = at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            sim = _exact(x, refs, at + i, j)
+            by = np.lexsort((-order[j], -sim, i))
+            i, j, sim = i[by], j[by], sim[by]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < k
+            return i[top], j[top], sim[top]
+
         for first in range(0, len(refs), TILE_REFS):
             cols = slice(first, min(len(refs), first + TILE_REFS))
-            s = x[rows] @ refs[cols].T
+            m = cols.stop - first
+            tile, reach = products[: n * m].reshape(n, m), flags[: n * m].view(bool).reshape(n, m)
+            np.matmul(a[rows], b[cols].T, out=tile)
             mask = None if allowed is None else allowed(rows, cols)
             if mask is not None:
-                s[~mask] = -np.inf
+                tile[~mask] = -np.inf
             if odd:
-                s[np.isnan(s)] = -np.inf
-            if not first and s.shape[1] > k:
-                floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            reach = s >= (floor - slack[rows])[:, None]
-            i, j = np.nonzero(reach if mask is None else reach & mask)
-            if not len(i):
+                tile[np.isnan(tile)] = -np.inf
+            some = tile[:, : max(PROBE, 4 * k)]
+            if not first and some.shape[1] > k:
+                floor = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k].astype(np.float64)
+            least = floor - off
+            np.greater_equal(tile, (np.nextafter(least.astype(np.float32), np.float32(-np.inf)) if single else least)[:, None], out=reach)
+            if mask is not None:
+                reach &= mask
+            used = -(-n * m // 8) * 8
+            flags[n * m : used] = 0
+            new = _nonzero(flags[:used])
+            if not len(new):
                 continue
-            exact = np.concatenate([np.einsum("ij,ij->i", x[at + i[p : p + PIECE]], refs[first + j[p : p + PIECE]]) for p in range(0, len(i), PIECE)])
-            i, j, exact = np.concatenate([best[0], i]), np.concatenate([best[1], first + j]), np.concatenate([best[2], exact])
-            by = np.lexsort((-order[j], -exact, i))
-            i, j, exact = i[by], j[by], exact[by]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            best = [c[place < k] for c in (i, j, exact)]
-            full = place == k - 1
-            floor[i[full]] = np.where(np.isnan(exact[full]), -np.inf, exact[full])
-        for out, c in zip(found, (at + best[0], best[1], best[2]), strict=True):
+            i, j, s = np.concatenate([i, new // m]), np.concatenate([j, first + new % m]), np.concatenate([s, products[new]])
+            by = np.lexsort((-s, i))
+            i, j, s = i[by], j[by], s[by]
+            full = np.arange(len(i)) - np.searchsorted(i, i) == k - 1
+            floor[i[full]] = s[full]
+            keep = s >= (floor - off)[i]
+            i, j, s = i[keep], j[keep], s[keep]
+            if len(i) > 4 * k * n + PIECE:  # very many equal or nearly equal ones
+                i, j, s = best(i, j)
+                s = np.where(np.isnan(s), -np.inf, s)
+        i, j, s = best(i, j)
+        for out, c in zip(found, (at + i, j, s), strict=True):
             out.append(c)
     return tuple(np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(found, (np.int64, np.int64, np.float64), strict=True))
 

@@ -54,6 +54,24 @@ def test_time_ranges_keep_all_digits_of_hours(spark):
 # --- retrieval
 
 
+def test_few_pairs_are_multiplied_twice(monkeypatch):
+    """Nearly all pairs are passed over in single precision; what that can't tell apart is decided in double precision."""
+    seen, known = [], retrieval_index._exact
+    monkeypatch.setattr(retrieval_index, "_exact", lambda x, refs, i, j: seen.append(len(i)) or known(x, refs, i, j))
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(40, 64)), rng.normal(size=(9000, 64))
+    y[10:400:3] = y[7] * (1 + rng.permutation(130)[:, None] * 1e-12)  # equal in single precision
+    x[0], order, s = y[7], rng.permutation(9000), x @ y.T
+    s[0] = y @ y[7]
+    for scale in (1.0, 1e-30, 1e20):
+        seen.clear()
+        i, j, sim = retrieval_index.largest(x * scale, y * scale, order, 6)
+        for q in range(40):
+            assert j[i == q].tolist() == np.lexsort((-order, -np.einsum("j,ij->i", x[q], y)))[:6].tolist()
+        assert np.allclose(sim, s[i, j] * scale**2, rtol=1e-9, atol=0)
+        assert scale != 1.0 or sum(seen) < 40 * 20
+
+
 @pytest.mark.parametrize(("rows", "refs", "piece"), [(256, 4096, 1 << 15), (7, 13, 5), (1, 3, 1)])
 def test_largest_products_in_tiles(monkeypatch, rows, refs, piece):
     for name, v in (("TILE_ROWS", rows), ("TILE_REFS", refs), ("PIECE", piece)):

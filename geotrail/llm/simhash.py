@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_arrow, cut, cut_table, emit_arrow, texts
+from .common import append_arrow, cut, cut_table, emit_arrow, freed, texts
 from .components import connected_components
 from .substring_dedup import mix
 
@@ -343,6 +343,8 @@ def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth:
         if turn == 2:
             met = met.join(sets.select("node", "shared"), "node")
         met = cut(met)
+        x = y = pairs = rest = None
+        freed(sets.sparkSession)
         if met.isEmpty():
             return links
 
@@ -396,5 +398,6 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     classes = cut(slim.groupBy("node").agg(F.min(order).alias("first"), F.min("size").alias("size")))
     sets = blocks_of_similar(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), classes.select("node", "size", "first.key"), width)
     labels = labelled(classes, similar_links(sets, found=simhash_links(sets)), "node").join(classes.select("node", "first"), "node")
+    freed(docs.sparkSession)
     kept = labels.groupBy("label").agg(F.min("first").alias("k")).select(F.col("k.key").alias("__key"))
     return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*cols)

@@ -1,11 +1,15 @@
 """Queries on rows that only larger tables hold, against their SQL or brute force."""
 
+import glob
+import time
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_queries import plain
 
+from geotrail.llm.components import connected_components
 from geotrail.operators import raster, retrieval, retrieval_index
 from geotrail.plans import queries_stream, registry, views
 from geotrail.sources import readers
@@ -146,3 +150,20 @@ def test_equal_cameras_are_viewed_once_and_as_one_row(spark, monkeypatch):
     for r in raster.view_coverage(known(frames, keys, size=64, arrays=False), keys).collect():
         mine = got[r.dataset_id, r.frame_count]
         assert (mine.n_ahead, mine.n_inside) == (r.n_ahead, r.n_inside) and mine.mean_x == pytest.approx(r.mean_x) and mine.mean_y == pytest.approx(r.mean_y)
+
+
+# --- near-duplicates
+
+
+def test_components_leave_no_shuffle_files(spark):
+    """What the rounds shuffled is let go, so that disk does not grow with the number of rounds."""
+    here = spark.sparkContext.getConf().get("spark.local.dir")
+    files = lambda: set(glob.glob(f"{here}/**/shuffle_*.data", recursive=True))
+    before = files()
+    found = connected_components(spark.range(300).selectExpr("id a", "id + 1 b").repartition(16, "a"))
+    for _ in range(40):
+        if len(files() - before) <= 16:
+            break
+        time.sleep(0.5)
+    assert len(files() - before) <= 16
+    assert found.count() == 301 and found.where("label <> 0").isEmpty()

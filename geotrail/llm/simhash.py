@@ -189,6 +189,8 @@ MAP_BITS = 1 << 24
 COUNT_AT_ONCE = 1 << 20
 #: Rows up to which all pairs of a block are compared at once, the rows that stand for a larger one, and their growth.
 FEW, PIVOTS, GROWTH = 3, 4, 8
+#: Turns that join rows; the later ones compare chunks of a block, of so many rows, and so many shingles at a time.
+JOINED_TURNS, CHUNK, SHINGLES_AT_ONCE = 2, 512, 4096
 
 
 def bit_map(keys: DataFrame, key: str) -> np.ndarray:
@@ -296,21 +298,85 @@ def simhash_links(sets: DataFrame, distance: int = 3) -> DataFrame:
     return cut(verified(equal.unionByName(close), sets))
 
 
+def _common(shared: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles the sets ``x`` have in common with the sets ``y``, by products of a few shingles' columns."""
+    total = np.zeros((len(x), len(y)), np.int64)
+    sides = []
+    for side in (x, y):
+        own = shared.take(pa.array(side))
+        n = np.diff(own.offsets.to_numpy())
+        sides.append((np.repeat(np.arange(len(side)), n), own.flatten().to_numpy(zero_copy_only=False)))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    placed = []
+    for row, g in sides:
+        known = np.isin(g, both)
+        row, at = row[known], np.searchsorted(both, g[known])
+        by = np.argsort(at, kind="stable")
+        placed.append((row[by], at[by]))
+    for first in range(0, len(both), SHINGLES_AT_ONCE):
+        parts = []
+        for (row, at), n in zip(placed, (len(x), len(y)), strict=True):
+            part = slice(*np.searchsorted(at, [first, first + SHINGLES_AT_ONCE]))
+            held = np.zeros((n, min(SHINGLES_AT_ONCE, len(both) - first)), np.float32)
+            held[row[part], at[part] - first] = 1
+            parts.append(held)
+        total += (parts[0] @ parts[1].T).astype(np.int64)
+    return total
+
+
+def _similar_in_chunks(rows: pa.Table) -> pa.Table:
+    """(a, b) links among the rows of chunk ``i`` of a block and those of chunk ``j``: each to the first of its component."""
+    part, whole = SIMILAR
+    rows = rows.combine_chunks()
+    node, label, size, own = (rows[c].to_numpy() for c in ("node", "label", "size", "own"))
+    f = np.column_stack([rows[f"f{k}"].to_numpy() for k in range(WORDS)])
+    x, y = (np.flatnonzero(own == rows[c][0].as_py()) for c in ("i", "j"))
+    fits = (label[x][:, None] != label[y][None, :]) & (np.minimum(size[x][:, None], size[y][None, :]) * whole >= np.maximum(size[x][:, None], size[y][None, :]) * part) & (_apart(f[x], f[y]) <= DISTANCE)
+    some_x, some_y = fits.any(axis=1), fits.any(axis=0)
+    x, y, fits = x[some_x], y[some_y], fits[some_x][:, some_y]
+    root = np.arange(len(node))
+    if len(x):
+        common = _common(rows["shared"].chunk(0), x, y)
+        alike = fits & (common * whole >= (size[x][:, None] + size[y][None, :] - common) * part)
+        while True:
+            before = root.copy()
+            root[x] = np.minimum(root[x], np.where(alike, root[y][None, :], len(node)).min(axis=1))
+            root[y] = np.minimum(root[y], np.where(alike, root[x][:, None], len(node)).min(axis=0))
+            if (root == before).all():
+                break
+    far = np.flatnonzero(root != np.arange(len(node)))
+    return pa.table({"a": pa.array(node[root[far]], pa.int64()), "b": pa.array(node[far], pa.int64())})
+
+
+def chunk_links(met: DataFrame, sets: DataFrame, first: int, end: int) -> DataFrame:
+    """(a, b) links that join the similar sets of each block of ``met``, of which one lies in the chunks from ``first`` to before ``end``.
+
+    A block is dealt to pairs of chunks of about ``CHUNK`` rows. A task compares a pair of them and sends on a link a row at
+    most, never all pairs; no join sees a block, so a block of many rows is not cut in very many tasks.
+    """
+    last = F.ceil(F.col("n") / CHUNK).cast("int") - 1
+    dealt = met.withColumn("own", F.least(F.floor(F.col("place") / CHUNK).cast("int"), last))
+    with_ones = F.filter(F.sequence(F.lit(0), last), lambda other: (F.least("own", other) >= first) & (F.least("own", other) < end))
+    dealt = dealt.select("key", "node", "label", "own", F.explode(with_ones).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+    rows = dealt.join(sets.select("node", "size", *[f"f{k}" for k in range(WORDS)], "shared"), "node")
+    return rows.groupBy("key", "i", "j").applyInArrow(_similar_in_chunks, "a long, b long").distinct()
+
+
 def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth: int = GROWTH, found: DataFrame | None = None) -> DataFrame:
     """(a, b) links that join all similar sets, transitively; ``sets`` as of ``blocks_of_similar``, ``found`` links known so far.
 
     Blocks whose rows the links found so far already join are done.
     Sets that share a block are compared: sizes, then fingerprints, then the sets themselves. A block of few rows is
     compared at once. In a larger one some rows, picked by hash, are compared with all; if it then still holds rows of
-    several components, ``growth`` times as many, until none does or all pairs were compared; from the third turn on only
-    similar pairs leave the join. No row is ever copied but to those rows, and no pair is left out that could change a
-    component. A block of many rows that are close but hardly similar costs their pairs in the end.
+    several components, ``growth`` times as many, until none does or all pairs were compared; from the third turn on chunks
+    of rows are compared (``chunk_links``). No row is ever copied but to those rows, and no pair is left out that could
+    change a component. A block of many rows that are close but hardly similar costs their pairs in the end.
     """
     part, whole = SIMILAR
     f = [f"f{k}" for k in range(WORDS)]
     rows = sets.select("node", "size", *f, F.explode("keys").alias("key"))
     blocks = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    similar = lambda a, b, total: F.size(F.array_intersect(a, b)) * whole >= (total - F.size(F.array_intersect(a, b))) * part
     place = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53)
     met = rows.join(blocks, "key").withColumn("place", place * F.col("n"))
     if found is None:
@@ -320,29 +386,28 @@ def similar_links(sets: DataFrame, few: int = FEW, pivots: int = PIVOTS, growth:
         met = cut(met.join(mixed_blocks(met), "key"))
         if met.isEmpty():
             return found
-    links, seen, turn = found, None, 0
+    links, seen, turn, done = found, None, 0, 0
     while True:
-        x = met.where((F.col("n") <= few) | (F.col("place") < pivots)).alias("x")
-        y = met.alias("y")
-        c = lambda side, name: F.col(f"{side}.{name}")
-        before = (c("x", "place") < c("y", "place")) | (c("x", "place") == c("y", "place")) & (c("x", "node") < c("y", "node"))
-        apart = sum((F.bit_count(c("x", k).bitwiseXOR(c("y", k))) for k in f), F.lit(0))
-        fits = before & (c("x", "label") != c("y", "label")) & (F.least(c("x", "size"), c("y", "size")) * whole >= F.greatest(c("x", "size"), c("y", "size")) * part) & (apart <= DISTANCE)
-        if turn > 1:  # few rows are left, which are mostly close but not similar: they bring their sets along
-            fits &= similar(c("x", "shared"), c("y", "shared"), c("x", "size") + c("y", "size"))
-        pairs = x.join(y, (c("x", "key") == c("y", "key")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        good = pairs if turn > 1 else cut(verified(pairs, sets))
+        if turn < JOINED_TURNS:
+            x = met.where((F.col("n") <= few) | (F.col("place") < pivots)).alias("x")
+            y = met.alias("y")
+            c = lambda side, name: F.col(f"{side}.{name}")
+            before = (c("x", "place") < c("y", "place")) | (c("x", "place") == c("y", "place")) & (c("x", "node") < c("y", "node"))
+            apart = sum((F.bit_count(c("x", k).bitwiseXOR(c("y", k))) for k in f), F.lit(0))
+            fits = before & (c("x", "label") != c("y", "label")) & (F.least(c("x", "size"), c("y", "size")) * whole >= F.greatest(c("x", "size"), c("y", "size")) * part) & (apart <= DISTANCE)
+            pairs = x.join(y, (c("x", "key") == c("y", "key")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+            good = cut(verified(pairs, sets))
+            seen = pairs if seen is None else seen.unionByName(pairs)
+        else:
+            ends = -(-pivots // CHUNK)
+            good, done, pivots = cut(chunk_links(met, sets, done, ends)), ends, ends * CHUNK
         links = good if links is None else links.unionByName(good)
-        seen = pairs if seen is None else seen.unionByName(pairs)
         rest = met.where((F.col("n") > few) & (F.col("n") > pivots) & (F.col("place") >= pivots)).drop("label")
         if rest.isEmpty():
             return links
         rest = cut(rest.join(labelled(rest, links, "node"), "node"))
-        met, pivots, turn = rest.join(cut(mixed_blocks(rest)), "key"), pivots * growth, turn + 1
-        if turn == 2:
-            met = met.join(sets.select("node", "shared"), "node")
-        met = cut(met)
+        met, pivots, turn = cut(rest.join(cut(mixed_blocks(rest)), "key")), pivots * growth, turn + 1
         x = y = pairs = rest = None
         freed(sets.sparkSession)
         if met.isEmpty():

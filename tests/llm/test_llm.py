@@ -497,6 +497,31 @@ def test_large_blocks_are_compared_until_no_link_is_missing(spark, few, pivots,
     assert {i: got.get(i, i) for i in docs} == brute_similar(docs)
 
 
+def test_a_large_block_of_close_sets_is_not_cut_in_very_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = {}
+    for i in range(240):  # fingerprints are equal; only the last 60 are similar to another, which differs from them in one shingle
+        sets[i] = sets[i - 60][:-1] + [i] if i >= 180 else list(range(1000, 1014)) + rng.integers(1 << 40, 1 << 62, 106).tolist()
+    df = spark.createDataFrame([(i, len(g), 0, 0, 0, 0, g, [7]) for i, g in sets.items()], "node long, size long, f0 long, f1 long, f2 long, f3 long, shared array<long>, keys array<long>").repartition(24)
+    monkeypatch.setattr(simhash, "CHUNK", 64, raising=False)
+    small = {"shuffle.partitions": "24", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
+    tracker, most = spark.sparkContext.statusTracker(), 0
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        spark.sparkContext.setJobGroup("close sets", "")
+        got = {r.node: r.label for r in connected_components(simhash.similar_links(df, 0, 1, 2)).collect()}
+        for job in tracker.getJobIdsForGroup("close sets"):
+            most = max([most, *(x.numTasks for k in tracker.getJobInfo(job).stageIds if (x := tracker.getStageInfo(k)))])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert {i: got.get(i, i) for i in sets} == {i: i - 60 if i >= 180 else i for i in sets}
+    assert most <= 400  # a side has 24 parts, so pairs of them would be 576
+
+
 def test_simhash_finds_links_before_the_exact_step(spark, monkeypatch):
     docs = similar_fixture()
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")

@@ -155,7 +155,7 @@ def improved_worsened(spark, sf):
 
 
 def _gate_rows(spark, sf) -> DataFrame:
-    c = views.candidates(spark, sf).where("rank = 1")
+    c = views.candidates(spark, sf, 1)  # no candidate but the best is searched
     return c.select("dataset_id", F.col("q").alias("frame_count"), F.col("q").cast("double").alias("start_seconds"), (F.col("q") % 6 + 1).alias("rank"), "lg_inlier_count", (F.col("q") % 100 / 100).alias("lg_inlier_ratio"), (0.9 + F.col("q") % 10 / 100).alias("sim"), "error_m")
 
 
@@ -259,5 +259,5 @@ def candidates_verified(spark, sf):
 def reference_by_path(spark, sf):
     path = lambda c: F.concat(F.lit("frame_"), F.col(c).cast("string"))
     refs = views.frames(spark, sf).where("role = 'reference' and frame_count % 3 <> 0").select(path("frame_count").alias("frame_path"), F.lit(0).alias("src_ord"), F.col("frame_count").alias("seq"), "ground_latitude", "ground_longitude")
-    best = views.candidates(spark, sf).where("rank = 1").select("q", path("r").alias("reference_frame_path"))
+    best = views.candidates(spark, sf, 1).select("q", path("r").alias("reference_frame_path"))
     return rounded(retrieval.position_by_path(best, refs), "q reference_frame_path", "", "ref_lat ref_lon")

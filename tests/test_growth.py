@@ -114,6 +114,15 @@ def test_blocks_and_shards_find_what_the_sql_finds(spark, duck, sf, monkeypatch,
     same_as_sql(spark, duck, sf, name)
 
 
+@pytest.mark.parametrize("name", ["gate_decisions", "gate_sweep_best", "gate_policy_summary", "reference_by_path"])
+def test_the_best_candidate_alone_is_searched(spark, duck, sf, monkeypatch, name):
+    """What uses the first candidate of each frame does not find six of them."""
+    asked, known = [], views.top_references
+    monkeypatch.setattr(views, "top_references", lambda q, r, k, gap=None: asked.append(k) or known(q, r, k, gap))
+    same_as_sql(spark, duck, sf, name)
+    assert asked == [1]
+
+
 # --- streams
 
 

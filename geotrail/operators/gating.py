@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +44,28 @@ class Grid:
             step *= len(values)
         return F.struct(number.alias("grid_ord"), *fields[::-1])
 
+    def accepting(self, rows: DataFrame) -> DataFrame:
+        """``rows`` once for each policy that accepts them, with its number ``grid_ord``.
 
-def accepts(p: Column, rank="rank", inliers="lg_inlier_count", ratio="lg_inlier_ratio", sim="sim") -> Column:
-    return (F.col(rank) <= p["max_rank"]) & (F.col(inliers) >= p["min_inliers"]) & (F.col(ratio) >= p["min_ratio"]) & (F.col(sim) >= p["min_similarity"])
+        Values of one threshold after the other are tried, so a row costs what accepts it, not all combinations.
+        """
+        number, step = F.lit(0), 1
+        for name, values in zip(POLICY[:0:-1], self.parts[::-1], strict=True):
+            added = [F.when(TESTS[name](F.lit(v)), F.lit(i * step)) for i, v in enumerate(values)]
+            rows = rows.withColumn(f"__{name}", F.explode(F.array(*added))).where(F.col(f"__{name}").isNotNull())
+            number, step = number + F.col(f"__{name}"), step * len(values)
+        return rows.withColumn("grid_ord", number).drop(*[f"__{name}" for name in POLICY])
+
+
+#: What each threshold asks of a row.
+TESTS = {
+    "max_rank": lambda x: F.col("rank") <= x, "min_inliers": lambda x: F.col("lg_inlier_count") >= x,
+    "min_ratio": lambda x: F.col("lg_inlier_ratio") >= x, "min_similarity": lambda x: F.col("sim") >= x,
+}
+
+
+def accepts(p: dict[str, Column]) -> Column:
+    return reduce(and_, (test(p[name]) for name, test in TESTS.items()))
 
 
 def policy_summaries(rows: DataFrame, grid: Grid = Grid(), cfg: Gate = Gate()) -> DataFrame:
@@ -53,7 +74,7 @@ def policy_summaries(rows: DataFrame, grid: Grid = Grid(), cfg: Gate = Gate()) -
     Each row goes on only under the policies that accept it; gaps include those before the first and after the last fix.
     """
     span = rows.groupBy(FLIGHT).agg(F.count("*").alias("total_frames"), F.min("start_seconds").alias("t0"), F.max("start_seconds").alias("t1"))
-    hits = rows.select(FLIGHT, "start_seconds", "frame_count", "error_m", F.explode(F.filter(grid.numbers(), lambda k: accepts(grid.policy(k)))).alias("grid_ord"))
+    hits = grid.accepting(rows).select(FLIGHT, "start_seconds", "frame_count", "error_m", "grid_ord")
     w = Window.partitionBy(FLIGHT, "grid_ord").orderBy("start_seconds", "frame_count")
     hits = hits.withColumn("gap", F.col("start_seconds") - F.lag("start_seconds").over(w))
     e = F.col("error_m")

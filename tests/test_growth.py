@@ -1,6 +1,7 @@
 """Queries on rows that only larger tables hold, against their SQL or brute force."""
 
 import glob
+import itertools
 import time
 
 import duckdb
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from test_queries import plain
 
 from geotrail.llm.components import connected_components
-from geotrail.operators import raster, retrieval, retrieval_index
+from geotrail.operators import gating, raster, retrieval, retrieval_index
 from geotrail.plans import queries_stream, registry, views
 from geotrail.sources import readers
 from geotrail.streaming import ordered
@@ -123,6 +124,18 @@ def test_the_best_candidate_alone_is_searched(spark, duck, sf, monkeypatch, name
     assert asked == [1]
 
 
+def test_policies_that_accept_a_row_are_found_without_trying_all(spark):
+    grid = gating.Grid(ranks=(1, 3), inliers=(0, 50, 100), ratios=(0.0, 0.2), similarities=(0.9, 0.95))
+    rows = [(1, 60, 0.2, 0.95), (3, 100, 0.1, 0.9), (4, 500, 1.0, 1.0), (1, 0, 0.0, 0.89), (2, None, 0.5, 0.99), (None, 60, 0.5, 0.99), (1, 200, float("nan"), 1.0)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, rank int, lg_inlier_count long, lg_inlier_ratio double, sim double")
+    got = grid.accepting(df)
+    want = [(k, n) for k, (r, i, t, s) in enumerate(rows) for n, (a, b, c, d) in enumerate(itertools.product(*grid.parts)) if r is not None and i is not None and r <= a and i >= b and (t >= c or t != t) and s >= d]
+    assert sorted((r.id, r.grid_ord) for r in got.collect()) == want and got.columns == [*df.columns, "grid_ord"]
+    summaries = gating.policy_summaries(df.selectExpr("'a' dataset_id", "id frame_count", "double(id) start_seconds", "*", "1.0 error_m"), grid)
+    plan = summaries._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and summaries.agg(F.sum("accepted_fixes")).first()[0] == len(want)
+
+
 # --- streams
 
 
